@@ -44,7 +44,10 @@ def read_documents(spark: SparkSession, dataset: str, paths: str | Sequence[str]
         spark.read.schema(BRONZE[dataset]).option("multiLine", multiline).option("mode", "FAILFAST")
         .json(paths if isinstance(paths, str) else list(paths))
     )
-    return raw.select("*", legislature_in_path(F.col("_metadata.file_path")).alias("legislatura"))
+    # Named columns only: a folder name such as leg=L17 would add one.
+    return raw.select(
+        *BRONZE[dataset].names, legislature_in_path(F.col("_metadata.file_path")).alias("legislatura")
+    )
 
 
 def activities_in(documents: DataFrame) -> DataFrame:
@@ -56,9 +59,10 @@ def activities_in(documents: DataFrame) -> DataFrame:
 
 def read_topics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Topic codes from CSV; a value that isn't of its declared type is an error."""
-    return spark.read.schema(BRONZE["cap"]).option("header", True).option("mode", "FAILFAST").csv(
+    raw = spark.read.schema(BRONZE["cap"]).option("header", True).option("mode", "FAILFAST").csv(
         paths if isinstance(paths, str) else list(paths)
     )
+    return raw.select(*BRONZE["cap"].names)
 
 
 def read_dataset(
