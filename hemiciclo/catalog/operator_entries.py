@@ -665,12 +665,17 @@ def _(w):
     return vote_positions(parsed, ["vot_id"])
 
 
-# --- data quality -------------------------------------------------------------------------------
+# --- data quality: what a rule finds, or where it finds nothing how much it looked at -------------
 
 
-@entry("d1_duplicate_initiatives", "SELECT ini_id, count(*) AS n FROM ini GROUP BY ini_id HAVING count(*) > 1")
+def verdict_sql(checked: str, bad: str) -> str:
+    return f"SELECT (SELECT count(*) FROM {checked}) AS n_checked, (SELECT count(*) FROM ({bad})) AS n_bad"
+
+
+@entry("d1_duplicate_initiatives", verdict_sql("ini", "SELECT ini_id FROM ini GROUP BY ini_id HAVING count(*) > 1"))
 def _(w):
-    return quality.duplicate_initiatives(w.table("iniciativas"))
+    table = w.table("iniciativas")
+    return quality.verdict(headers(table), quality.duplicate_initiatives(table))
 
 
 @entry("d2_number_collisions", """
@@ -694,34 +699,37 @@ def _(w):
     return quality.wrong_counts(w.table("partidos"), {"L13": 6, "L14": 8, "L15": 8, "L16": 9, "L17": 9})
 
 
-@entry("d5_independent_names", """
-    SELECT vot_id, position, party FROM pos WHERE contains(party, 'Ninsc') AND NOT regexp_matches(party, '^\\S.* \\(Ninsc\\)$')""")
+@entry("d5_independent_names", verdict_sql(
+    "pos", r"SELECT party FROM pos WHERE contains(party, 'Ninsc') AND NOT regexp_matches(party, '^\S.* \(Ninsc\)$')"
+))
 def _(w):
-    return quality.malformed_independents(w.table("votacoes"))
+    votes = w.table("votacoes")
+    return quality.verdict(vote_positions(votes, ["vot_id"]), quality.malformed_independents(votes))
 
 
-@entry("d6_detail_flags", """
-    SELECT vot_id, has_party_details FROM avot WHERE has_party_details <> (event_id % 8 = 0)""")
+@entry("d6_detail_flags", verdict_sql(
+    "avot", "SELECT vot_id FROM avot WHERE has_party_details <> (vot_id IN (SELECT vot_id FROM apos))"
+))
 def _(w):
-    return quality.detail_flag_mismatches(w.table("atividades_votacoes"))
+    table = w.table("atividades_votacoes")
+    return quality.verdict(table, quality.detail_flag_mismatches(table))
 
 
-@entry("d7_source_totals", """
-    SELECT legislatura, total, counted FROM (
-      SELECT v.legislatura, nv + na AS total, n AS counted FROM
-        (SELECT legislatura, count(*) AS nv FROM vot GROUP BY 1) v
-        JOIN (SELECT legislatura, count(*) AS na FROM avot GROUP BY 1) a ON a.legislatura = v.legislatura
-        JOIN (SELECT legislatura, count(*) AS n FROM (SELECT legislatura FROM vot UNION ALL SELECT legislatura FROM avot)
-          GROUP BY 1) c ON c.legislatura = v.legislatura) WHERE total <> counted""")
+@entry("d7_source_totals", verdict_sql(
+    "(SELECT legislatura FROM vot UNION ALL SELECT legislatura FROM avot)", "SELECT 1 FROM legs WHERE k IS NULL"
+))
 def _(w):
-    return quality.source_total_mismatches(w.table("votacoes"), w.table("atividades_votacoes"))
+    votes, others = w.table("votacoes"), w.table("atividades_votacoes")
+    both = votes.select(LEG).unionByName(others.select(LEG))
+    return quality.verdict(both, quality.source_total_mismatches(votes, others))
 
 
-@entry("d8_activity_keys", """
-    SELECT legislatura, ativ_id FROM act
-    WHERE NOT (starts_with(ativ_id, legislatura || '_') AND length(ativ_id) > length(legislatura) + 1)""")
+@entry("d8_activity_keys", verdict_sql("act", """
+    SELECT ativ_id FROM act
+    WHERE NOT (starts_with(ativ_id, legislatura || '_') AND length(ativ_id) > length(legislatura) + 1)"""))
 def _(w):
-    return quality.bad_activity_keys(w.table("atividades"))
+    table = w.table("atividades")
+    return quality.verdict(table, quality.bad_activity_keys(table))
 
 
 @entry("d9_topic_codebook", """
@@ -739,32 +747,37 @@ def _(w):
     return quality.contract_report({n: w.table(n) for n in names})
 
 
-@entry("d11_over_classified", """
-    SELECT t.legislatura, n_topics, n_initiatives FROM
+@entry("d11_over_classified", verdict_sql("topic", """
+    SELECT t.legislatura FROM
       (SELECT legislatura, count(*) AS n_topics FROM topic GROUP BY 1) t
       JOIN (SELECT legislatura, count(*) AS n_initiatives FROM ini GROUP BY 1) i ON i.legislatura = t.legislatura
-    WHERE n_topics > n_initiatives""")
+    WHERE n_topics > n_initiatives"""))
 def _(w):
-    return quality.over_classified(w.table("cap"), w.table("iniciativas"))
+    topics = w.table("cap")
+    return quality.verdict(topics, quality.over_classified(topics, w.table("iniciativas")))
 
 
-@entry("d12_disjoint_pages", """
-    SELECT vot_id, data FROM (SELECT vot_id, data FROM vot WHERE data >= DATE '1996-01-01') WHERE data < DATE '1996-01-01'""")
+@entry("d12_disjoint_pages", verdict_sql(
+    "(SELECT * FROM vot WHERE data >= DATE '1996-01-01')", "SELECT 1 FROM vot WHERE data <> data"
+))
 def _(w):
     from hemiciclo.plans.votes import list_votes
 
-    votes = w.table("votacoes")
-    since = date(1996, 1, 1)
-    first, second = quality.pages(list_votes(votes, data_desde=since, limit=500), 2)
-    shared = quality.repeated_rows(first, second, "vot_id").withColumn("data", F.lit(None).cast("date"))
-    outside = quality.out_of_bounds(list_votes(votes, data_desde=since).rows, "data", since).select("vot_id", "data")
-    return shared.unionByName(outside)
+    votes, since = w.table("votacoes"), date(1996, 1, 1)
+    listing = list_votes(votes, data_desde=since, limit=500)
+    first, second = quality.pages(listing, 2)
+    bad = quality.repeated_rows(first, second, "vot_id").unionByName(
+        quality.out_of_bounds(listing.rows, "data", since).select("vot_id")
+    )
+    return quality.verdict(listing.rows, bad)
 
 
 @entry("d13_active_deputies_and_source", """
-    SELECT 'deputado' AS kind, nome_parlamentar AS id FROM dep WHERE situacao_atual = 'Efetivo' AND c_custkey % 3 <> 0""")
+    SELECT 'deputado' AS kind, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_bad FROM dep WHERE situacao_atual = 'Efetivo'
+    UNION ALL SELECT 'voto', count(*), 0 FROM avot""")
 def _(w):
     active = w.table("deputados").where(F.col("situacao_atual") == people.ACTIVE)
-    return quality.inactive(active).select(F.lit("deputado").alias("kind"), F.col("nome_parlamentar").alias("id")).unionByName(
-        quality.wrong_source(w.table("atividades_votacoes")).select(F.lit("voto").alias("kind"), F.col("vot_id").alias("id"))
+    votes = w.table("atividades_votacoes")
+    return quality.verdict(active, quality.inactive(active)).withColumn("kind", F.lit("deputado")).unionByName(
+        quality.verdict(votes, quality.wrong_source(votes)).withColumn("kind", F.lit("voto"))
     )

@@ -90,15 +90,14 @@ def _(w):
     WITH hit AS (SELECT * FROM vot WHERE legislatura = 'L16' AND resultado = 'Aprovado' AND ini_titulo ILIKE '%medium%'
       AND data BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
       AND vot_id IN (SELECT vot_id FROM pos WHERE position = 'a_favor' AND party = 'PS')
-      AND vot_id IN (SELECT vot_id FROM pos WHERE position = 'contra' AND party = 'CH')
-      AND vot_id IN (SELECT vot_id FROM pos WHERE position = 'abstencao' AND party = 'PSD'))
+      AND vot_id IN (SELECT vot_id FROM pos WHERE position = 'contra' AND party = 'PSD')
+      AND vot_id IN (SELECT vot_id FROM pos WHERE position = 'abstencao' AND party = 'CH'))
     SELECT vot_id, ini_nr, legislatura, ini_titulo, fase, data, resultado, (SELECT count(*) FROM hit) AS total
     FROM hit ORDER BY data DESC NULLS LAST, vot_id DESC LIMIT 500""")
 def _(w):
-    # i of PS, PSD, CH is 0, 1, 2: a part key of remainder 0 sets a_favor, contra, abstencao in turn.
     return votes.list_votes(
         w.table("votacoes"), legislatura="L16", resultado="Aprovado", q="medium", data_desde=date(1996, 1, 1),
-        data_ate=date(1999, 12, 31), partido_favor="ps", partido_contra="ch", partido_abstencao="psd", limit=500,
+        data_ate=date(1999, 12, 31), partido_favor="ps", partido_contra="psd", partido_abstencao="ch", limit=500,
     ).page_with_total()
 
 
@@ -181,11 +180,11 @@ def _(w):
 
 
 @entry("q8_deputies_of_party_and_circle", f"""
-    WITH hit AS (SELECT * FROM dep WHERE legislatura = 'L15' AND partido_atual = 'CDS-PP' )
+    WITH hit AS (SELECT * FROM dep WHERE legislatura = 'L15' AND partido_atual = 'PAN' AND circulo_atual = 'NATION_7')
     SELECT {_DEPUTY}, (SELECT count(*) FROM hit) AS total FROM hit
     ORDER BY nome_parlamentar, legislatura, dep_cad_id LIMIT 50""")
 def _(w):
-    return people.list_deputies(w.table("deputados"), legislatura="L15", partido="cds-pp").page_with_total()
+    return people.list_deputies(w.table("deputados"), legislatura="L15", partido="pan", circulo="NATION_7").page_with_total()
 
 
 @entry("q9_deputy_record", """
@@ -266,7 +265,8 @@ _SUPPORT = """
 
 @entry("q18_vote_support", f"{_SUPPORT} GROUP BY pos.legislatura, a.gp, fase, party")
 def _(w):
-    return statistics.vote_support(w.table("iniciativas"), w.table("votacoes"))
+    support = statistics.vote_support(w.table("iniciativas"), w.table("votacoes"))
+    return statistics.ranked(support, None, "author", "fase", "party")
 
 
 @entry("q18_vote_support_of_party", f"""
@@ -323,7 +323,7 @@ _AVOT = "vot_id, ativ_id, legislatura, assunto, tipo, data, resultado, has_party
 
 
 @entry("q21_activity_votes", f"""
-    WITH hit AS (SELECT * FROM avot WHERE resultado = 'Aprovado' AND has_party_details AND assunto ILIKE '%e%'
+    WITH hit AS (SELECT * FROM avot WHERE resultado = 'Rejeitado' AND has_party_details AND assunto ILIKE '%e%'
       AND data BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'
       AND vot_id IN (SELECT vot_id FROM apos WHERE position = 'a_favor' AND party = 'IL')
       AND vot_id IN (SELECT vot_id FROM apos WHERE position = 'contra' AND party = 'PSD')
@@ -331,7 +331,7 @@ _AVOT = "vot_id, ativ_id, legislatura, assunto, tipo, data, resultado, has_party
     SELECT {_AVOT}, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY data DESC NULLS LAST, vot_id LIMIT 50""")
 def _(w):
     return activities.list_activity_votes(
-        w.table("atividades_votacoes"), resultado="Aprovado", has_party_details=True, q="E",
+        w.table("atividades_votacoes"), resultado="Rejeitado", has_party_details=True, q="E",
         data_desde=date(2024, 1, 5), data_ate=date(2024, 1, 25), partido_favor="IL", partido_contra="PSD",
         partido_abstencao="PCP",
     ).page_with_total()
@@ -419,12 +419,14 @@ _Q31 = """
 
 @entry("q25_initiatives_by_phase", _Q25)
 def _(w):
-    return statistics.initiatives_by_phase(w.table("votacoes"))
+    return statistics.ranked(statistics.initiatives_by_phase(w.table("votacoes")), None, "fase", "resultado")
 
 
 @entry("q26_initiatives_by_party", _Q26)
 def _(w):
-    report = statistics.initiatives_by_party(w.table("iniciativas"), w.table("votacoes"))
+    report = statistics.ranked(
+        statistics.initiatives_by_party(w.table("iniciativas"), w.table("votacoes")), "total_initiatives", "party"
+    )
     return report.select(LEG, "party", "total_initiatives", F.inline_outer("fase_outcomes")).withColumnRenamed(
         "count", "vote_count"
     )
@@ -432,27 +434,27 @@ def _(w):
 
 @entry("q27_votes_by_phase", _Q27)
 def _(w):
-    return statistics.votes_by_phase(w.table("votacoes"))
+    return statistics.ranked(statistics.votes_by_phase(w.table("votacoes")), "vote_count", "fase")
 
 
 @entry("q28_votes_by_party_position", _Q28)
 def _(w):
-    return statistics.votes_by_party_and_position(w.table("votacoes"))
+    return statistics.ranked(statistics.votes_by_party_and_position(w.table("votacoes")), None, "party", "vote_type")
 
 
 @entry("q29_activities_by_type", _Q29)
 def _(w):
-    return statistics.activities_by_type(w.table("atividades"))
+    return statistics.ranked(statistics.activities_by_type(w.table("atividades")), "count", "tipo")
 
 
 @entry("q30_activity_votes_by_type", _Q30)
 def _(w):
-    return statistics.activity_votes_by_type(w.table("atividades_votacoes"))
+    return statistics.ranked(statistics.activity_votes_by_type(w.table("atividades_votacoes")), "vote_count", "tipo")
 
 
 @entry("q31_vote_sources", _Q31)
 def _(w):
-    return statistics.vote_sources(w.table("votacoes"), w.table("atividades_votacoes"))
+    return statistics.ranked(statistics.vote_sources(w.table("votacoes"), w.table("atividades_votacoes")), None)
 
 
 @entry("q32_statistics_bundle", f"""

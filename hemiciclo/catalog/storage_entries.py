@@ -11,7 +11,7 @@ from hemiciclo.fixtures import LEGISLATURES
 from hemiciclo.plans import inventory, silver
 from hemiciclo.plans.initiatives import headers
 from hemiciclo.plans.silver import JOBS
-from hemiciclo.schemas import SILVER
+from hemiciclo.schemas import POSITIONS, SILVER
 from hemiciclo.sources import readers, writers
 from hemiciclo.sources.document_check import check_documents, summarize_check
 
@@ -166,6 +166,12 @@ def _(w: Workspace):
     )
 
 
+def _lists():
+    """The parsed lists as text; an empty one and none at all look alike."""
+    parsed = {p: F.col(f"detalhe_parsed.{p}") for p in POSITIONS}
+    return [F.when(F.size(c) > 0, joined(c)).alias(p) for p, c in parsed.items()]
+
+
 # --- jobs ---------------------------------------------------------------------------------------
 
 
@@ -195,12 +201,18 @@ def _(w: Workspace):
 
 @entry("t3_votes", """
     SELECT vot_id, ini_id, ini_nr, legislatura, ini_titulo, ini_tipo, fase, data_fase, data, resultado, reuniao,
-      tipo_reuniao, unanime, is_nominal, parsed FROM vot""")
+      tipo_reuniao, unanime, is_nominal, parsed, a_favor, contra, abstencao, ausencia
+    FROM vot LEFT JOIN (
+      SELECT vot_id AS id, string_agg(party, '|' ORDER BY party) FILTER (position = 'a_favor') AS a_favor,
+        string_agg(party, '|' ORDER BY party) FILTER (position = 'contra') AS contra,
+        string_agg(party, '|' ORDER BY party) FILTER (position = 'abstencao') AS abstencao,
+        string_agg(party, '|' ORDER BY party) FILTER (position = 'ausencia') AS ausencia FROM pos GROUP BY vot_id
+    ) ON id = vot_id""")
 def _(w: Workspace):
     return silver.votes(w.table("iniciativas")).select(
         "vot_id", "ini_id", "ini_nr", "legislatura", "ini_titulo", "ini_tipo", "fase", "data_fase", "data",
         "resultado", "reuniao", "tipo_reuniao", "unanime", "is_nominal",
-        F.col("detalhe_parsed").isNotNull().alias("parsed"),
+        F.col("detalhe_parsed").isNotNull().alias("parsed"), *_lists(),
     )
 
 
@@ -244,11 +256,16 @@ def _(w: Workspace):
 
 @entry("t8_activity_votes", """
     SELECT vot_id, ativ_id, legislatura, assunto, tipo, numero, data_entrada, data, resultado, has_party_details,
-      'atividade' AS source FROM avot""")
+      'atividade' AS source, a_favor, contra, abstencao, CAST(NULL AS VARCHAR) AS ausencia
+    FROM avot LEFT JOIN (
+      SELECT vot_id AS id, string_agg(party, '|' ORDER BY party) FILTER (position = 'a_favor') AS a_favor,
+        string_agg(party, '|' ORDER BY party) FILTER (position = 'contra') AS contra,
+        string_agg(party, '|' ORDER BY party) FILTER (position = 'abstencao') AS abstencao FROM apos GROUP BY vot_id
+    ) ON id = vot_id""")
 def _(w: Workspace):
     return silver.activity_votes(w.table("atividades")).select(
         "vot_id", "ativ_id", "legislatura", "assunto", "tipo", "numero", "data_entrada", "data", "resultado",
-        "has_party_details", "source",
+        "has_party_details", "source", *_lists(),
     )
 
 

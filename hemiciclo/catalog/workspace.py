@@ -21,15 +21,13 @@ _built: dict[tuple[str, str], Workspace] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; set here only for local runs that have none."""
+    """`spark.checkpoint.dir` of the session; a folder of our own only for local runs that have none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="hemiciclo-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return tempfile.mkdtemp(prefix="hemiciclo-")
 
 
 class Workspace:

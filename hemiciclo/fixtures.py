@@ -126,7 +126,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _initiative_records(spark: SparkSession, sf_dir: str, max_events: int) -> DataFrame:
-    """(orders columns, IniEventos, Parte)."""
+    """(orders columns, IniEventos, Parte, Partes)."""
     events, orders = _events(spark, sf_dir), table(spark, sf_dir, "orders")
     crowded = oversized_keys(events, "o_orderkey", max_events)
     listed = F.sort_array(F.collect_list("event")).alias("IniEventos")
@@ -143,16 +143,18 @@ def _initiative_records(spark: SparkSession, sf_dir: str, max_events: int) -> Da
         F.min_by("salt", F.struct(F.coalesce("event.DataFase", undated), "salt")).alias("lead")
     )
     parts = (
-        salted.groupBy("o_orderkey", "salt").agg(listed)
+        salted.groupBy("o_orderkey", "salt", "n_parts").agg(listed)
         .join(small_side(lead), "o_orderkey")
         .select(
-            "o_orderkey", "IniEventos",
+            "o_orderkey", "IniEventos", F.col("n_parts").alias("Partes"),
             F.when(F.col("salt") == F.col("lead"), 0).otherwise(
                 F.col("salt") + (F.col("salt") < F.col("lead")).cast("int")
             ).cast("int").alias("Parte"),
         )
     )
-    return whole.unionByName(small_side(orders.join(crowded, "o_orderkey", "left_semi")).join(parts, "o_orderkey"))
+    return whole.unionByName(
+        small_side(orders.join(crowded, "o_orderkey", "left_semi")).join(parts, "o_orderkey")
+    )
 
 
 def _whole(orders: DataFrame, events: DataFrame, listed: Column) -> DataFrame:
@@ -161,7 +163,7 @@ def _whole(orders: DataFrame, events: DataFrame, listed: Column) -> DataFrame:
     empty = F.array().cast(nested.schema["IniEventos"].dataType)
     return orders.join(nested, "o_orderkey", "left").withColumn(
         "IniEventos", F.coalesce("IniEventos", empty)
-    ).withColumn("Parte", F.lit(0))
+    ).withColumns({"Parte": F.lit(0), "Partes": F.lit(1)})
 
 
 def initiatives(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS) -> DataFrame:
@@ -189,7 +191,7 @@ def initiatives(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS)
         F.transform(authors, lambda gp: F.struct(gp.alias("GP"))).alias("IniAutorGruposParlamentares"),
         F.when(customer % 3 != 0, F.array(F.struct(customer.cast("string").alias("idCadastro"))))
         .alias("IniAutorDeputados"),
-        "IniEventos", F.when(F.col("Parte") > 0, F.col("Parte")).alias("Parte"),
+        "IniEventos", *[F.when(F.col("Partes") > 1, F.col(c)).alias(c) for c in ("Parte", "Partes")],
     )
 
 

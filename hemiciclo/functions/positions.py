@@ -19,15 +19,19 @@ SECTION_MARK = "<BR>"
 TAG_PATTERN = "</?I>"
 INDEPENDENT_MARK = "(Ninsc)"
 
-# White space at both ends, including the no-break space and the four ASCII separators that SQL
-# trim() leaves. Patterns are Unicode aware (U) and treat only \n as a line end (d).
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters that count as white space at an end, the no-break space among them,
+# which a plain trim() leaves.
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# Digits are those of any script (U); only \n is a line end (d).
 _AGGREGATE = r"(?Ud)^\d+(-|$)"
 _MEMBER_OF_PARTY = r"(?d)^.+\(.+\)$"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _section_key(head: Column, fold_accents: bool) -> Column:
@@ -40,8 +44,10 @@ def _keep(token: Column) -> Column:
     """Party codes and independent members stay; counts and members of a party go."""
     counted = token.rlike(_AGGREGATE)
     independent = F.contains(token, F.lit(INDEPENDENT_MARK))
+    # The cheap test of the last character spares most tokens the pattern.
+    member = F.endswith(token, F.lit(")")) & token.rlike(_MEMBER_OF_PARTY)
     # "6-..." is dropped even for an independent member; digits alone can't hold the mark.
-    return (token != "") & ~counted & (independent | ~token.rlike(_MEMBER_OF_PARTY))
+    return (token != "") & ~counted & (independent | ~member)
 
 
 def _tokens(body: Column) -> Column:
@@ -58,15 +64,11 @@ def parse_positions(
     key and is left out unless ``fold_accents`` is set.
     """
     text = F.col(source)
-
-    def section(part: Column) -> Column:
-        halves = F.split(part, ":", 2)
-        return F.struct(
-            _section_key(halves[0], fold_accents).alias("key"), F.get(halves, F.lit(1)).alias("body")
-        )
-
-    sections = F.filter(
-        F.transform(F.split(text, SECTION_MARK), section), lambda s: s["body"].isNotNull()
+    halves = F.filter(
+        F.transform(F.split(text, SECTION_MARK), lambda part: F.split(part, ":", 2)), lambda h: F.size(h) == 2
+    )
+    sections = F.transform(
+        halves, lambda h: F.struct(_section_key(h[0], fold_accents).alias("key"), h[1].alias("body"))
     )
 
     def body_of(position: str) -> Column:
@@ -87,7 +89,8 @@ def vote_positions(
     votes: DataFrame, keep: Sequence[str], positions: Sequence[str] = POSITIONS, parsed: str = "detalhe_parsed"
 ) -> DataFrame:
     """One row per vote, position and party in one pass over the votes; empty lists give no rows."""
-    pairs = ", ".join(f"'{p}', {parsed}.{p}" for p in positions)
+    # The cast only levels out whether a list may hold NULLs, which stack() takes for different types.
+    pairs = ", ".join(f"'{p}', CAST({parsed}.{p} AS array<string>)" for p in positions)
     listed = votes.select(*keep, F.expr(f"stack({len(positions)}, {pairs}) AS (position, parties)"))
     return listed.select(*keep, "position", F.explode("parties").alias("party"))
 

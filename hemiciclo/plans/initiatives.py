@@ -44,8 +44,8 @@ def with_matching_event(
     """Headers of the initiatives with one event that meets all conditions at once.
 
     The test runs on each row's own event list, so nothing is shuffled, and zipping the two fields
-    first keeps the other event fields out of the scan. Only matches found in further parts of
-    long initiatives, if there are any, are joined back to their headers.
+    first keeps the other event fields out of the scan. Only for initiatives in several parts are
+    matches joined back to a header; where there are none, statistics skip the files of that branch.
     """
     zipped = F.arrays_zip(F.col("ini_eventos.Fase"), F.col("ini_eventos.DataFase"))
     found = F.exists(zipped, lambda e: _event_condition(e["DataFase"], e["Fase"], since, until, phases))
@@ -53,7 +53,7 @@ def with_matching_event(
     later = initiatives.where((F.col("parte") > 0) & found).select("legislatura", "ini_id").distinct()
     heads = headers(initiatives)
     return heads.where(found).unionByName(
-        heads.where(~found).join(later, ["legislatura", "ini_id"], "left_semi").select(heads.columns)
+        heads.where((F.col("partes") > 1) & ~found).join(later, ["legislatura", "ini_id"], "left_semi").select(heads.columns)
     )
 
 

@@ -13,7 +13,7 @@ from hemiciclo.functions.columns import (
     activity_key, as_structs, first_date, has_text, is_nominal, last_of, rename_to,
 )
 from hemiciclo.functions.positions import parse_positions
-from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, PART_FIELD, SILVER
+from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, PART_COUNT_FIELD, PART_FIELD, SILVER
 from hemiciclo.sources.readers import activities_in, bronze_path, legislature_in_path, read_documents, read_topics
 from hemiciclo.sources.writers import cluster, legislature_of_slice, stored_bytes, write_dataset
 
@@ -26,6 +26,7 @@ def initiatives(documents: DataFrame) -> DataFrame:
         *rename_to(INITIATIVE_NAMES),
         first_date("IniEventos", "DataFase").alias("ini_data"),
         F.coalesce(PART_FIELD, F.lit(0)).alias("parte"),
+        F.coalesce(PART_COUNT_FIELD, F.lit(1)).alias("partes"),
         F.current_timestamp().alias("etl_timestamp"),
         "legislatura",
     )

@@ -1,4 +1,8 @@
-"""Aggregate reports. Each gives all legislatures at once, or one if a code is passed."""
+"""Aggregate reports. Each gives all legislatures at once, or one if a code is passed.
+
+Their rows are unordered, so that reports built on reports don't sort on the way; `ranked` orders
+what is shown.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +27,18 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
+def ranked(report: DataFrame, measure: str | None, *names: str) -> DataFrame:
+    """A report in reading order: by legislature, then the largest measure, then the names."""
+    largest = [F.col(measure).desc()] if measure else []
+    return report.orderBy(LEG, *largest, *names)
+
+
 def initiatives_by_phase(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
     """Votes and distinct initiatives by phase and result."""
     known = _of(votes, legislatura, F.col("fase").isNotNull(), F.col("resultado").isNotNull())
     return known.groupBy(LEG, "fase", "resultado").agg(
         _rows().alias("vote_count"), F.countDistinct("ini_id").alias("initiative_count")
-    ).orderBy(LEG, "fase", "resultado")
+    )
 
 
 def _author_lists(initiatives: DataFrame, legislatura: str | None) -> DataFrame:
@@ -76,13 +86,13 @@ def initiatives_by_party(initiatives: DataFrame, votes: DataFrame, legislatura:
     empty = F.array().cast(outcomes.schema["fase_outcomes"].dataType)
     return party_totals(initiatives, legislatura).join(outcomes, [LEG, "party"], "left").withColumn(
         "fase_outcomes", F.coalesce("fase_outcomes", empty)
-    ).orderBy(LEG, F.col("total_initiatives").desc(), "party")
+    )
 
 
 def votes_by_phase(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
     return _of(votes, legislatura, F.col("fase").isNotNull()).groupBy(LEG, "fase").agg(
         _rows().alias("vote_count")
-    ).orderBy(LEG, F.col("vote_count").desc(), "fase")
+    )
 
 
 def votes_by_party_and_position(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
@@ -92,19 +102,19 @@ def votes_by_party_and_position(votes: DataFrame, legislatura: str | None = None
     label = F.col("position")
     for position, text in POSITION_LABELS.items():
         label = F.when(F.col("position") == position, text).otherwise(label)
-    return counted.select(LEG, "party", label.alias("vote_type"), "vote_count").orderBy(LEG, "party", "vote_type")
+    return counted.select(LEG, "party", label.alias("vote_type"), "vote_count")
 
 
 def activities_by_type(activities: DataFrame, legislatura: str | None = None) -> DataFrame:
     return _of(activities, legislatura, F.col("ativ_tipo").isNotNull()).groupBy(
         LEG, F.col("ativ_tipo").alias("tipo")
-    ).agg(_rows().alias("count")).orderBy(LEG, F.col("count").desc(), "tipo")
+    ).agg(_rows().alias("count"))
 
 
 def activity_votes_by_type(activity_votes: DataFrame, legislatura: str | None = None) -> DataFrame:
     return _of(activity_votes, legislatura, F.col("tipo").isNotNull()).groupBy(LEG, "tipo").agg(
         _rows().alias("vote_count")
-    ).orderBy(LEG, F.col("vote_count").desc(), "tipo")
+    )
 
 
 def vote_sources(votes: DataFrame, activity_votes: DataFrame, legislatura: str | None = None) -> DataFrame:
@@ -119,7 +129,7 @@ def vote_sources(votes: DataFrame, activity_votes: DataFrame, legislatura: str |
     counts = [n("i").alias("iniciativas"), n("a").alias("atividades"), (n("i") + n("a")).alias("total")]
     if legislatura is not None:
         return both.agg(F.lit(legislature_code(legislatura)).alias(LEG), *counts)
-    return both.groupBy(LEG).agg(*counts).orderBy(LEG)
+    return both.groupBy(LEG).agg(*counts)
 
 
 def vote_support(
@@ -151,7 +161,7 @@ def vote_support(
         counted = spread.groupBy(LEG, "author", "fase", "party").agg(*[
             F.sum(f"{p}_count").alias(f"{p}_count") for p in VOTED
         ])
-    return counted.orderBy(LEG, "author", "fase", "party")
+    return counted
 
 
 def nested_vote_support(support: DataFrame) -> DataFrame:
@@ -176,9 +186,10 @@ def bundle(
 ) -> DataFrame:
     """All reports as one nested record a legislature.
 
-    The lists are built from aggregates (parties, phases, types), never from data rows.
+    The lists are built from aggregates (parties, phases, types), never from data rows. Report
+    rows are stacked, a column each, and gathered in one shuffle.
     """
-    sections = {
+    reports = {
         "initiatives_by_fase": initiatives_by_phase(votes, legislatura),
         "initiatives_by_party": initiatives_by_party(initiatives, votes, legislatura),
         "votes_by_event_type": votes_by_phase(votes, legislatura),
@@ -187,13 +198,10 @@ def bundle(
         "atividades_votes_by_tipo": activity_votes_by_type(activity_votes, legislatura),
         "vote_source_breakdown": vote_sources(votes, activity_votes, legislatura),
     }
-    out = None
-    for name, report in sections.items():
-        fields = [c for c in report.columns if c != LEG]
-        nested = report.groupBy(LEG).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-        out = nested if out is None else out.join(nested, LEG, "full")
-    lists = [c for c in out.columns if c not in (LEG, "vote_source_breakdown")]
-    filled = out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in lists})
-    return filled.withColumn("vote_source_breakdown", F.get("vote_source_breakdown", F.lit(0)))
-
-
+    stacked = None
+    for name, report in reports.items():
+        rows = report.select(LEG, F.struct(*[c for c in report.columns if c != LEG]).alias(name))
+        stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
+    lists = {name: F.sort_array(F.collect_list(name)).alias(name) for name in reports}
+    lists["vote_source_breakdown"] = F.first("vote_source_breakdown", ignorenulls=True).alias("vote_source_breakdown")
+    return stacked.groupBy(LEG).agg(*lists.values())

@@ -51,10 +51,12 @@ INITIATIVES_RAW = struct(
     PropostasAlteracao=STR,
 )
 # Our own addition: an initiative too long for one bounded record comes as several records with
-# the same IniId, Parte = 0, 1, 2, ... Every part repeats the header; part 0 holds the earliest
-# dated event. Documents without the field are whole (part 0).
-PART_FIELD = "Parte"
-INITIATIVES_READ = T.StructType(INITIATIVES_RAW.fields + [T.StructField(PART_FIELD, INT)])
+# the same IniId, Parte = 0, 1, 2, ... of Partes. Every part repeats the header; part 0 holds the
+# earliest dated event. Records without the fields are whole (part 0 of 1).
+PART_FIELD, PART_COUNT_FIELD = "Parte", "Partes"
+INITIATIVES_READ = T.StructType(
+    INITIATIVES_RAW.fields + [T.StructField(PART_FIELD, INT), T.StructField(PART_COUNT_FIELD, INT)]
+)
 
 INFO_BASE_RAW = struct(
     DetalheLegislatura=struct(sigla=STR, dtini=DATE, dtfim=DATE),
@@ -114,7 +116,7 @@ def _renamed(raw: T.StructType, names: dict[str, str], **more: T.DataType) -> T.
 
 SILVER = {
     "iniciativas": _renamed(
-        INITIATIVES_RAW, INITIATIVE_NAMES, ini_data=DATE, parte=INT, etl_timestamp=TS, legislatura=STR
+        INITIATIVES_RAW, INITIATIVE_NAMES, ini_data=DATE, parte=INT, partes=INT, etl_timestamp=TS, legislatura=STR
     ),
     "votacoes": struct(
         vot_id=STR, ini_id=STR, ini_nr=STR, ini_titulo=STR, ini_tipo=STR, fase=STR, data_fase=DATE,

@@ -24,7 +24,7 @@ def check_documents(spark: SparkSession, dataset: str, paths: str | list[str], w
 
     ``whole_files`` takes a file as one document, else a line.
     """
-    lines = spark.read.option("wholetext", whole_files).text(paths).select(
+    lines = spark.read.text(paths, wholetext=whole_files).select(
         "value", legislature_in_path(F.col("_metadata.file_path")).alias("legislatura")
     )
     text = F.col("value")
