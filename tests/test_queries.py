@@ -98,13 +98,13 @@ def test_event_filter_wants_one_event_for_all_conditions(spark):
 def test_unknown_parent_has_no_children(w):
     deputies, parties = w.table("deputados"), w.table("partidos")
     assert people.party_deputies(parties, deputies, "PS", "L13").total.first().total > 0
-    # CDS-PP has deputies in L13 but isn't a party of it.
-    assert deputies.where("partido_atual = 'CDS-PP' AND legislatura = 'L13'").count() > 0
-    assert people.party_deputies(parties, deputies, "cds-pp", "L13").total.first().total == 0
+    # JPP has deputies in L14 but isn't a party of it.
+    assert deputies.where("partido_atual = 'JPP' AND legislatura = 'L14'").count() > 0
+    assert people.party_deputies(parties, deputies, "jpp", "L14").total.first().total == 0
     assert people.circle_deputies(w.table("circulos"), deputies, 99, "L13").page.count() == 0
     ini = w.table("iniciativas")
-    assert people.party_initiatives(parties, ini, "JPP", "L13").total.first().total == 0
-    assert statistics.party_vote_support(parties, ini, w.table("votacoes"), "jpp", "l13").count() == 0
+    assert people.party_initiatives(parties, ini, "JPP", "L14").total.first().total == 0
+    assert statistics.party_vote_support(parties, ini, w.table("votacoes"), "jpp", "l14").count() == 0
 
 
 def test_deputy_id_forms_agree(w):
@@ -156,7 +156,7 @@ def test_checks_find_faults(spark, w):
     ini = w.table("iniciativas").limit(5)
     assert quality.duplicate_initiatives(ini.unionAll(ini.limit(1))).count() == 1
     votes_ = w.table("votacoes").where("detalhe_parsed IS NOT NULL").limit(4)
-    lists = {"a_favor": F.array(F.lit("Ninsc"), F.lit(" (Ninsc)"), F.lit("A B (Ninsc)"))}
+    lists = {"a_favor": F.array(F.lit("Ninsc"), F.lit(" (Ninsc)"), F.when(F.col("vot_id") != "", "A B (Ninsc)"))}
     bad = votes_.withColumn("detalhe_parsed", F.col("detalhe_parsed").withField("a_favor", lists["a_favor"]))
     assert quality.malformed_independents(bad).count() == 8
     av = w.table("atividades_votacoes").limit(10)
