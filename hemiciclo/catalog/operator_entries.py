@@ -42,7 +42,7 @@ def _(w):
     renamed = raw(w, "iniciativas").select(*fn.rename_to(INITIATIVE_NAMES))
     return renamed.select(
         "ini_nr", "ini_tipo", "ini_desc_tipo", "ini_titulo", "ini_id", "data_inicio_leg",
-        big(F.size("ini_eventos")).alias("n_events"),
+        big(F.array_size("ini_eventos")).alias("n_events"),
     )
 
 
@@ -444,7 +444,7 @@ def _(w):
     authors = F.array_sort(F.col(AUTHOR_GROUPS)).alias("authors")
     unique = headers(w.table("iniciativas")).select(LEG, "ini_tipo", authors).distinct()
     return unique.select(
-        LEG, "ini_tipo", F.when(F.size("authors") > 0, F.array_join("authors", "|")).alias("autor_gp")
+        LEG, "ini_tipo", F.when(F.array_size("authors") > 0, F.array_join("authors", "|")).alias("autor_gp")
     ).distinct()
 
 
@@ -584,7 +584,7 @@ def _(w):
     number = F.when(F.col("ativ_numero").isNotNull(), F.col("ativ_numero").cast("bigint"))
     ids = F.coalesce(number, F.regexp_extract("ativ_assunto", r"(\d+)$", 1).try_cast("bigint"), F.regexp_extract(
         F.get("votacao_debate", F.lit(0))["id"], r"(\d+)$", 1).try_cast("bigint"))
-    return w.table("atividades").select(ids.alias("event_id"), big(F.size("ativ_autores_gp")).alias("n_authors"))
+    return w.table("atividades").select(ids.alias("event_id"), big(F.array_size("ativ_autores_gp")).alias("n_authors"))
 
 
 @entry("c7_synthetic_key", "SELECT ativ_id, legislatura, tipo, numero FROM act")
@@ -623,7 +623,7 @@ def _(w):
     """transform to a list of structs, a lambda over it, membership."""
     flags = F.transform("ini_eventos", lambda e: F.struct(
         e["EvtId"].alias("evt_id"), F.array_contains(F.array(e["Fase"]), "Entrada").alias("is_entry"),
-        F.coalesce(F.size(e["Votacao"]) > 0, F.lit(False)).alias("has_vote"),
+        F.coalesce(F.array_size(e["Votacao"]) > 0, F.lit(False)).alias("has_vote"),
     ))
     return w.table("iniciativas").select(F.inline(flags))
 

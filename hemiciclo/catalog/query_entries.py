@@ -354,7 +354,7 @@ def _(w):
     last = table.agg(F.max("vot_id")).scalar()
     return table.where(F.col("vot_id") == last).limit(1).select(
         *activities.VOTE_COLUMNS, "numero", "data_entrada",
-        F.when(F.size("autores_gp") > 0, joined("autores_gp")).alias("autores_gp"),
+        F.when(F.array_size("autores_gp") > 0, joined("autores_gp")).alias("autores_gp"),
     )
 
 

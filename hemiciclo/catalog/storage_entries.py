@@ -23,7 +23,7 @@ from hemiciclo.sources.document_check import check_documents, summarize_check
 def _(w: Workspace):
     raw = readers.read_documents(w.spark, "iniciativas", w.documents("iniciativas"), multiline=False)
     return raw.groupBy("legislatura").agg(
-        rows().alias("n"), big(F.sum(F.size("IniEventos"))).alias("n_events"),
+        rows().alias("n"), big(F.sum(F.array_size("IniEventos"))).alias("n_events"),
         F.countDistinct("IniTitulo").alias("n_titles"), F.min("DataInicioleg").alias("first_day"),
     )
 
@@ -37,9 +37,9 @@ def _(w: Workspace):
     raw = readers.read_documents(w.spark, "info_base", w.documents("info_base"), multiline=False)
     head = raw.select("*", "DetalheLegislatura.*")
     return head.groupBy("legislatura", "sigla", "dtini", "dtfim").agg(
-        big(F.sum(F.size("CirculosEleitorais"))).alias("n_circulos"),
-        big(F.sum(F.size("GruposParlamentares"))).alias("n_grupos"),
-        big(F.sum(F.size("Deputados"))).alias("n_deputados"),
+        big(F.sum(F.array_size("CirculosEleitorais"))).alias("n_circulos"),
+        big(F.sum(F.array_size("GruposParlamentares"))).alias("n_grupos"),
+        big(F.sum(F.array_size("Deputados"))).alias("n_deputados"),
     )
 
 
@@ -169,7 +169,7 @@ def _(w: Workspace):
 def _lists():
     """The parsed lists as text; an empty one and none at all look alike."""
     parsed = {p: F.col(f"detalhe_parsed.{p}") for p in POSITIONS}
-    return [F.when(F.size(c) > 0, joined(c)).alias(p) for p, c in parsed.items()]
+    return [F.when(F.array_size(c) > 0, joined(c)).alias(p) for p, c in parsed.items()]
 
 
 # --- jobs ---------------------------------------------------------------------------------------
@@ -185,7 +185,7 @@ def _(w: Workspace):
         "ini_id", "ini_nr", "legislatura", "ini_tipo", "ini_desc_tipo", "ini_titulo", "data_inicio_leg", "ini_data",
         F.col("ini_autor_outros.nome").alias("autor_tipo"),
         F.get("ini_autor_deputados.idCadastro", F.lit(0)).alias("dep_id"),
-        F.when(F.size(authors) > 0, joined(authors)).alias("autor_gp"), big(F.size("ini_eventos")).alias("n_events"),
+        F.when(F.array_size(authors) > 0, joined(authors)).alias("autor_gp"), big(F.array_size("ini_eventos")).alias("n_events"),
     )
 
 
@@ -228,7 +228,7 @@ def _(w: Workspace):
     parties = F.col("partido_historico.gp_sigla")
     return w.table("deputados").select(
         "legislatura", "dep_cad_id", "nome_parlamentar", "nome_completo", "circulo_atual", "circulo_id",
-        "partido_atual", "situacao_atual", F.when(F.size(parties) > 0, F.array_join(parties, ">")).alias("parties"),
+        "partido_atual", "situacao_atual", F.when(F.array_size(parties) > 0, F.array_join(parties, ">")).alias("parties"),
         F.array_join("situacao_historico.sio_des", ">").alias("states"),
     )
 

@@ -6,7 +6,6 @@ which outlives any of them, so a lost executor costs no more than re-reading.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -15,21 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from hemiciclo.fixtures import LEGISLATURES, write_bronze
 from hemiciclo.plans.silver import JOBS, run_job
 from hemiciclo.sources.readers import read_dataset
+from hemiciclo.sources.shared import shared_folder
 
 _RUN = uuid.uuid4().hex[:12]
 _built: dict[tuple[str, str], Workspace] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only for local runs that have none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="hemiciclo-")
-
-
 class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hemiciclo.operators.skew import oversized_keys, small_side
 from hemiciclo.schemas import TOPIC_LABELS
+from hemiciclo.sources.shared import settled
 
 PARTIES = ("PS", "PSD", "CH", "IL", "BE", "PCP", "L", "PAN", "CDS-PP", "JPP")
 LEGISLATURES = ("L13", "L14", "L15", "L16", "L17")
@@ -128,9 +129,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _initiative_records(spark: SparkSession, sf_dir: str, max_events: int) -> DataFrame:
     """(orders columns, IniEventos, Parte, Partes)."""
     events, orders = _events(spark, sf_dir), table(spark, sf_dir, "orders")
-    crowded = oversized_keys(events, "o_orderkey", max_events)
+    crowded = settled(oversized_keys(events, "o_orderkey", max_events))
     listed = F.sort_array(F.collect_list("event")).alias("IniEventos")
-    if crowded.limit(1).count() == 0:
+    if crowded.isEmpty():
         return _whole(orders, events, listed)
     crowded = small_side(crowded)
     whole = _whole(
@@ -139,9 +140,9 @@ def _initiative_records(spark: SparkSession, sf_dir: str, max_events: int) -> Da
     salted = events.join(crowded, "o_orderkey").withColumn("salt", F.pmod("row_id", "n_parts"))
     undated = F.to_date(F.lit("9999-12-31"))
     # The part with the earliest event is part 0; the minimum is combined before the shuffle.
-    lead = salted.groupBy("o_orderkey").agg(
+    lead = settled(salted.groupBy("o_orderkey").agg(
         F.min_by("salt", F.struct(F.coalesce("event.DataFase", undated), "salt")).alias("lead")
-    )
+    ))
     parts = (
         salted.groupBy("o_orderkey", "salt", "n_parts").agg(listed)
         .join(small_side(lead), "o_orderkey")
@@ -152,9 +153,8 @@ def _initiative_records(spark: SparkSession, sf_dir: str, max_events: int) -> Da
             ).cast("int").alias("Parte"),
         )
     )
-    return whole.unionByName(
-        small_side(orders.join(crowded, "o_orderkey", "left_semi")).join(parts, "o_orderkey")
-    )
+    heads = settled(orders.join(crowded, "o_orderkey", "left_semi"))
+    return whole.unionByName(small_side(heads).join(parts, "o_orderkey"))
 
 
 def _whole(orders: DataFrame, events: DataFrame, listed: Column) -> DataFrame:

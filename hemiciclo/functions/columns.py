@@ -34,7 +34,7 @@ def non_empty(value: Column, size: Column) -> Column:
 
 
 def has_items(items: str) -> Column:
-    return non_empty(F.col(items), F.size(items))
+    return non_empty(F.col(items), F.array_size(items))
 
 
 def has_text(text: str) -> Column:

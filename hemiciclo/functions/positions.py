@@ -65,7 +65,7 @@ def parse_positions(
     """
     text = F.col(source)
     halves = F.filter(
-        F.transform(F.split(text, SECTION_MARK), lambda part: F.split(part, ":", 2)), lambda h: F.size(h) == 2
+        F.transform(F.split(text, SECTION_MARK), lambda part: F.split(part, ":", 2)), lambda h: F.array_size(h) == 2
     )
     sections = F.transform(
         halves, lambda h: F.struct(_section_key(h[0], fold_accents).alias("key"), h[1].alias("body"))

@@ -20,6 +20,5 @@ def oversized_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
 
 def small_side(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
     """Hint a broadcast only if a count shows at most ``bound`` rows; else leave the join to AQE,
-    which splits skewed sort-merge partitions."""
-    checked = df.limit(bound + 1).count()
-    return F.broadcast(df) if checked <= bound else df
+    which splits skewed sort-merge partitions. ``df`` should be cheap to count: see `settled`."""
+    return F.broadcast(df) if df.count() <= bound else df

@@ -18,8 +18,8 @@ def described_legislatures(info_base: DataFrame) -> DataFrame:
         F.min("DetalheLegislatura.sigla").alias("sigla"),
         F.min("DetalheLegislatura.dtini").alias("dtini"),
         F.max("DetalheLegislatura.dtfim").alias("dtfim"),
-        F.sum(F.size("Deputados")).cast("bigint").alias("num_deputados"),
-        F.sum(F.size("GruposParlamentares")).cast("bigint").alias("num_grupos"),
+        F.sum(F.array_size("Deputados")).cast("bigint").alias("num_deputados"),
+        F.sum(F.array_size("GruposParlamentares")).cast("bigint").alias("num_grupos"),
     )
 
 

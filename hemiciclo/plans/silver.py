@@ -13,7 +13,7 @@ from hemiciclo.functions.columns import (
     activity_key, as_structs, first_date, has_text, is_nominal, last_of, rename_to,
 )
 from hemiciclo.functions.positions import parse_positions
-from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, PART_COUNT_FIELD, PART_FIELD, SILVER
+from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, LOOKUP_KEYS, PART_COUNT_FIELD, PART_FIELD, SILVER
 from hemiciclo.sources.readers import activities_in, bronze_path, legislature_in_path, read_documents, read_topics
 from hemiciclo.sources.writers import cluster, legislature_of_slice, stored_bytes, write_dataset
 
@@ -167,7 +167,7 @@ def run_job(
     else:
         paths = [p for leg in legislatures if (p := bronze_path(spark, bronze, name, leg))]
         source = read_topics(spark, paths) if name == "cap" else read_documents(spark, name, paths, multiline)
-    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures)
+    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()))
 
 
 def run_all(

@@ -43,7 +43,7 @@ def initiatives_by_phase(votes: DataFrame, legislatura: str | None = None) -> Da
 
 def _author_lists(initiatives: DataFrame, legislatura: str | None) -> DataFrame:
     return _of(headers(initiatives), legislatura).select(LEG, "ini_id", F.col(AUTHOR_GROUPS).alias("authors")).where(
-        F.size("authors") > 0
+        F.array_size("authors") > 0
     )
 
 

@@ -147,6 +147,12 @@ SILVER = {
 }
 CORE_DATASETS = ("iniciativas", "votacoes")
 
+# Key columns that records are looked up by. They get Bloom filters, as no file order serves them.
+LOOKUP_KEYS = {
+    "iniciativas": ("ini_id",), "votacoes": ("vot_id",), "atividades": ("ativ_id",),
+    "atividades_votacoes": ("vot_id",),
+}
+
 # Columns that may not be NULL in a result record (output contract).
 REQUIRED = {
     "iniciativas": ("ini_nr", "legislatura"),

@@ -54,5 +54,5 @@ def summarize_check(checked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_documents"),
         F.sum("n_records").alias("n_records"),
         F.bool_and("root_ok").alias("ok"),
-        F.max(F.size("missing_keys")).cast("bigint").alias("max_missing_keys"),
+        F.max(F.array_size("missing_keys")).cast("bigint").alias("max_missing_keys"),
     )

@@ -21,16 +21,23 @@ def cluster(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_dataset(df: DataFrame, path: str, legislatures: Sequence[str] = ()) -> dict[str, int]:
+def write_dataset(
+    df: DataFrame, path: str, legislatures: Sequence[str] = (), lookup: Sequence[str] = ()
+) -> dict[str, int]:
     """Write ``df`` by legislature, replacing the slices it holds and no others.
 
     Gives the rows of each named legislature, counted while writing. A named one without rows
-    becomes an empty slice.
+    becomes an empty slice. ``lookup`` columns get Bloom filters: a point lookup then skips the row
+    groups that don't hold its key.
     """
     counted = Observation()
     counts = [F.count_if(F.col("legislatura") == leg).alias(leg) for leg in legislatures]
     out = df.observe(counted, F.count(F.lit(1)).alias("_all"), *counts)
-    _parquet(out).option("partitionOverwriteMode", "dynamic").partitionBy("legislatura").parquet(path)
+    writer = _parquet(out).option("parquet.bloom.filter.adaptive.enabled", True)
+    for column in lookup:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", ROW_GROUP_ROWS)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("legislatura").parquet(path)
     rows = {leg: counted.get[leg] for leg in legislatures}
     for leg, n in rows.items():
         if n == 0:

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hemiciclo import fixtures
-from hemiciclo.catalog.workspace import shared_folder
 from hemiciclo.operators.skew import oversized_keys, small_side
 from hemiciclo.plans import initiatives, silver, statistics
 from hemiciclo.sources.readers import read_documents
+from hemiciclo.sources.shared import settled, shared_folder
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -93,7 +93,8 @@ class Session:
 
     def __init__(self, master, folder):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master})
+        self.sparkContext = self
+        self.master, self.applicationId, self.setCheckpointDir = master, "app", print
 
 
 def test_shared_folder_is_the_session_s():
@@ -101,3 +102,9 @@ def test_shared_folder_is_the_session_s():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session("spark://host", None))
     assert "hemiciclo-" in shared_folder(Session("local[2]", None))
+
+
+def test_settled_rows_keep_no_lineage(spark):
+    df = settled(spark.range(5).withColumn("x", F.rand()))
+    assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.collect() == df.collect()

@@ -186,6 +186,27 @@ def test_parquet_layout(spark, tmp_path):
     assert max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= writers.ROW_GROUP_ROWS
 
 
+def scanned_rows(df):
+    """Rows that the scan of a collected query gave out."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    while "Scan" not in node.nodeName():
+        node = node.children().head()
+    return node.metrics().get("numOutputRows").get().value()
+
+
+def test_lookup_skips_row_groups_without_the_key(spark, tmp_path):
+    rows = spark.range(400_000).select(
+        F.sha1(F.col("id").cast("string")).alias("vot_id"), F.lit("L17").alias("legislatura")
+    ).coalesce(1)
+    key = rows.first().vot_id
+    for lookup, scanned in (((), 400_000), (["vot_id"], writers.ROW_GROUP_ROWS)):
+        path = str(tmp_path / f"t{len(lookup)}")
+        writers.write_dataset(rows, path, lookup=lookup)
+        found = spark.read.parquet(path).where(F.col("vot_id") == key)
+        assert found.count() == 1 and scanned_rows(found) == scanned
+
+
 def test_clustering_splits_one_big_legislature(spark, tmp_path):
     """Files of a legislature hold ranges that don't overlap, each sorted; no task gets it whole."""
     rows = spark.range(200_000).select(
