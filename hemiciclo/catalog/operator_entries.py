@@ -203,7 +203,7 @@ def _(w):
 @entry("f10_comma_list", """
     SELECT evt_id, fase FROM evt JOIN orders ON l_orderkey = o_orderkey WHERE fase IN ('Entrada', 'Admissão')""")
 def _(w):
-    found = p.select_where(events(w.table("iniciativas")), p.one_of("fase", p.comma_list(" Entrada, ,Admissão,")))
+    found = p.select_where(events(w.table("iniciativas"), ["evt_id", "fase"]), p.one_of("fase", p.comma_list(" Entrada, ,Admissão,")))
     return found.select("evt_id", "fase")
 
 
@@ -256,7 +256,9 @@ def _(w):
 @entry("u1_unnest_events", """
     SELECT ini_id, ini_nr, legislatura, evt_id, fase, data_fase FROM evt JOIN ini ON l_orderkey = o_orderkey""")
 def _(w):
-    return events(w.table("iniciativas")).select("ini_id", "ini_nr", LEG, "evt_id", "fase", "data_fase")
+    return events(w.table("iniciativas"), ["evt_id", "fase", "data_fase"]).select(
+        "ini_id", "ini_nr", LEG, "evt_id", "fase", "data_fase"
+    )
 
 
 @entry("u2_unnest_votes", "SELECT vot_id, ini_id, fase, data_fase, data, resultado FROM vot")
@@ -356,7 +358,7 @@ def _(w):
 @entry("j6_parent_attributes", """
     SELECT evt_id, ini_nr, legislatura, ini_titulo, ini_tipo FROM evt JOIN ini ON l_orderkey = o_orderkey""")
 def _(w):
-    return events(w.table("iniciativas")).select("evt_id", "ini_nr", LEG, "ini_titulo", "ini_tipo")
+    return events(w.table("iniciativas"), ["evt_id"]).select("evt_id", "ini_nr", LEG, "ini_titulo", "ini_tipo")
 
 
 # --- aggregates ---------------------------------------------------------------------------------
@@ -500,8 +502,8 @@ def _(w):
     ORDER BY fase NULLS LAST, data_fase NULLS LAST, evt_id LIMIT 500""")
 def _(w):
     return Listing(
-        events(w.table("iniciativas")), ascending("fase", "data_fase", "evt_id"), ["evt_id", "data_fase", "fase"],
-        limit=500,
+        events(w.table("iniciativas"), ["evt_id", "fase", "data_fase"]), ascending("fase", "data_fase", "evt_id"),
+        ["evt_id", "data_fase", "fase"], limit=500,
     ).page
 
 

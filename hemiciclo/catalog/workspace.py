@@ -6,6 +6,7 @@ which outlives any of them, so a lost executor costs no more than re-reading.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from pathlib import Path
 
@@ -26,26 +27,29 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/hemiciclo-{_RUN}/{Path(sf_dir).name}-{uuid.uuid4().hex[:8]}"
         self.bronze, self.silver = f"{self.root}/bronze", f"{self.root}/silver"
         self._done: set[str] = set()
+        self._building = threading.RLock()
 
     def documents(self, dataset: str) -> str:
         """Path of the raw documents of a dataset."""
-        if f"bronze/{dataset}" not in self._done:
-            write_bronze(self.spark, self.sf_dir, self.bronze, dataset)
-            self._done.add(f"bronze/{dataset}")
+        with self._building:
+            if f"bronze/{dataset}" not in self._done:
+                write_bronze(self.spark, self.sf_dir, self.bronze, dataset)
+                self._done.add(f"bronze/{dataset}")
         return f"{self.bronze}/{dataset}"
 
     def build(self, *names: str) -> Workspace:
         """Make sure that the tables are written, their inputs first."""
-        for name in names:
-            if name in self._done:
-                continue
-            parent = JOBS[name].parent
-            if parent:
-                self.build(parent)
-            else:
-                self.documents(name)
-            run_job(self.spark, name, self.bronze, self.silver, LEGISLATURES, multiline=False)
-            self._done.add(name)
+        with self._building:
+            for name in names:
+                if name in self._done:
+                    continue
+                parent = JOBS[name].parent
+                if parent:
+                    self.build(parent)
+                else:
+                    self.documents(name)
+                run_job(self.spark, name, self.bronze, self.silver, LEGISLATURES, multiline=False)
+                self._done.add(name)
         return self
 
     def table(self, name: str) -> DataFrame:

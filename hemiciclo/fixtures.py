@@ -85,6 +85,10 @@ def _initiative_vote_text() -> Column:
     )
 
 
+def _phase_day() -> Column:
+    return F.when(F.col("l_suppkey") % 11 != 0, F.col("l_shipdate").cast("date"))
+
+
 def _event(event_id: Column) -> Column:
     supplier, shipped = F.col("l_suppkey"), F.col("l_shipdate").cast("date")
     unanimous = supplier % 7 == 0
@@ -106,7 +110,7 @@ def _event(event_id: Column) -> Column:
     ))
     return F.struct(
         event_id.alias("EvtId"), phase.alias("Fase"),
-        F.when(supplier % 11 != 0, shipped).alias("DataFase"), votes.alias("Votacao"),
+        _phase_day().alias("DataFase"), votes.alias("Votacao"),
     )
 
 
@@ -116,50 +120,50 @@ _VOTE_TYPE = (
 )
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    event_id = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return lines.select(
-        F.col("l_orderkey").alias("o_orderkey"), _event(event_id).alias("event"),
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "l_returnflag", "l_shipdate",
         # Where the row is stored: tells apart even exact copies, and the same on every attempt.
         F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row_id"),
     )
 
 
+def _nested(lines: DataFrame, *keys: str) -> DataFrame:
+    """Events by key. The narrow rows are shuffled first and the event texts made after that; the
+    grouping needs no second shuffle."""
+    event_id = F.concat_ws("-", "o_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    events = lines.repartition(*[F.col(k) for k in keys]).select(*keys, _event(event_id).alias("event"))
+    return events.groupBy(*keys).agg(F.sort_array(F.collect_list("event")).alias("IniEventos"))
+
+
 def _initiative_records(spark: SparkSession, sf_dir: str, max_events: int) -> DataFrame:
     """(orders columns, IniEventos, Parte, Partes)."""
-    events, orders = _events(spark, sf_dir), table(spark, sf_dir, "orders")
-    crowded = settled(oversized_keys(events, "o_orderkey", max_events))
-    listed = F.sort_array(F.collect_list("event")).alias("IniEventos")
+    lines, orders = _lines(spark, sf_dir), table(spark, sf_dir, "orders")
+    crowded = settled(oversized_keys(lines, "o_orderkey", max_events))
     if crowded.isEmpty():
-        return _whole(orders, events, listed)
+        return _whole(orders, lines)
     crowded = small_side(crowded)
-    whole = _whole(
-        orders.join(crowded, "o_orderkey", "left_anti"), events.join(crowded, "o_orderkey", "left_anti"), listed
-    )
-    salted = events.join(crowded, "o_orderkey").withColumn("salt", F.pmod("row_id", "n_parts"))
+    whole = _whole(orders.join(crowded, "o_orderkey", "left_anti"), lines.join(crowded, "o_orderkey", "left_anti"))
+    salted = lines.join(crowded, "o_orderkey").withColumn("salt", F.pmod("row_id", "n_parts"))
     undated = F.to_date(F.lit("9999-12-31"))
     # The part with the earliest event is part 0; the minimum is combined before the shuffle.
     lead = settled(salted.groupBy("o_orderkey").agg(
-        F.min_by("salt", F.struct(F.coalesce("event.DataFase", undated), "salt")).alias("lead")
+        F.min_by("salt", F.struct(F.coalesce(_phase_day(), undated), "salt")).alias("lead")
     ))
-    parts = (
-        salted.groupBy("o_orderkey", "salt", "n_parts").agg(listed)
-        .join(small_side(lead), "o_orderkey")
-        .select(
-            "o_orderkey", "IniEventos", F.col("n_parts").alias("Partes"),
-            F.when(F.col("salt") == F.col("lead"), 0).otherwise(
-                F.col("salt") + (F.col("salt") < F.col("lead")).cast("int")
-            ).cast("int").alias("Parte"),
-        )
+    parts = _nested(salted, "o_orderkey", "salt", "n_parts").join(small_side(lead), "o_orderkey").select(
+        "o_orderkey", "IniEventos", F.col("n_parts").alias("Partes"),
+        F.when(F.col("salt") == F.col("lead"), 0).otherwise(
+            F.col("salt") + (F.col("salt") < F.col("lead")).cast("int")
+        ).cast("int").alias("Parte"),
     )
     heads = settled(orders.join(crowded, "o_orderkey", "left_semi"))
     return whole.unionByName(small_side(heads).join(parts, "o_orderkey"))
 
 
-def _whole(orders: DataFrame, events: DataFrame, listed: Column) -> DataFrame:
+def _whole(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Orders with at most MAX_EVENTS events, nested in one record; orders without any stay."""
-    nested = events.groupBy("o_orderkey").agg(listed)
+    nested = _nested(lines, "o_orderkey")
     empty = F.array().cast(nested.schema["IniEventos"].dataType)
     return orders.join(nested, "o_orderkey", "left").withColumn(
         "IniEventos", F.coalesce("IniEventos", empty)

@@ -33,7 +33,7 @@ def list_activities(
         at_least("data_entrada", data_desde), at_most("data_entrada", data_ate),
         holds("ativ_autores_gp", party_code(autor_gp)), contains_text("ativ_assunto", q),
     )
-    columns = [*ACTIVITY_COLUMNS, has_items("votacao_debate").alias("has_votes")]
+    columns = [*ACTIVITY_COLUMNS, has_items("votacao_debate.id").alias("has_votes")]
     return Listing(rows, newest_first("data_entrada", F.col("ativ_id").asc()), columns, limit, offset)
 
 

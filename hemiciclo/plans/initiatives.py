@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hemiciclo.functions.columns import picked
 from hemiciclo.operators.paging import Listing, ascending, newest_first
 from hemiciclo.operators.predicates import (
     DEFAULT_LIMIT, all_of, at_least, at_most, comma_list, contains_text, equals, holds, legislature_code, one_of,
@@ -43,12 +45,11 @@ def with_matching_event(
 ) -> DataFrame:
     """Headers of the initiatives with one event that meets all conditions at once.
 
-    The test runs on each row's own event list, so nothing is shuffled, and zipping the two fields
-    first keeps the other event fields out of the scan. Only for initiatives in several parts are
+    The test runs on each row's own event list, so nothing is shuffled, and reads no more than the
+    two fields. Only for initiatives in several parts are
     matches joined back to a header; where there are none, statistics skip the files of that branch.
     """
-    zipped = F.arrays_zip(F.col("ini_eventos.Fase"), F.col("ini_eventos.DataFase"))
-    found = F.exists(zipped, lambda e: _event_condition(e["DataFase"], e["Fase"], since, until, phases))
+    found = F.exists(picked("ini_eventos", "Fase", "DataFase"), lambda e: _event_condition(e["DataFase"], e["Fase"], since, until, phases))
     found = F.coalesce(found, F.lit(False))
     later = initiatives.where((F.col("parte") > 0) & found).select("legislatura", "ini_id").distinct()
     heads = headers(initiatives)
@@ -83,11 +84,13 @@ def initiative(initiatives: DataFrame, ini_id: str) -> DataFrame:
     return initiatives.where(F.col("ini_id") == ini_id)
 
 
-def events(initiatives: DataFrame) -> DataFrame:
-    """A row an event, with what identifies its initiative."""
+def events(initiatives: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """A row an event, with what identifies its initiative; all event columns or those named."""
     head = ["ini_id", "ini_nr", "legislatura", "ini_titulo", "ini_tipo"]
-    exploded = initiatives.select(*head, F.explode("ini_eventos").alias("e"))
-    return exploded.select(*head, *[F.col(f"e.{old}").alias(new) for old, new in _EVENT_COLUMNS.items()])
+    names = {old: new for old, new in _EVENT_COLUMNS.items() if columns is None or new in columns}
+    items = "ini_eventos" if columns is None else picked("ini_eventos", *names)
+    exploded = initiatives.select(*head, F.explode(items).alias("e"))
+    return exploded.select(*head, *[F.col(f"e.{old}").alias(new) for old, new in names.items()])
 
 
 def list_events(

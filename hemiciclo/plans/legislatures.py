@@ -13,13 +13,16 @@ COLUMNS = ["legislatura", "sigla", "dtini", "dtfim", "num_deputados", "num_grupo
 
 
 def described_legislatures(info_base: DataFrame) -> DataFrame:
-    """Dates and sizes from the base documents, which may come in parts."""
+    """Dates and sizes from the base documents, which may come in parts.
+
+    A list is measured by one of its fields, which is then all that is read of it.
+    """
     return info_base.groupBy("legislatura").agg(
         F.min("DetalheLegislatura.sigla").alias("sigla"),
         F.min("DetalheLegislatura.dtini").alias("dtini"),
         F.max("DetalheLegislatura.dtfim").alias("dtfim"),
-        F.sum(F.array_size("Deputados")).cast("bigint").alias("num_deputados"),
-        F.sum(F.array_size("GruposParlamentares")).cast("bigint").alias("num_grupos"),
+        F.sum(F.array_size("Deputados.DepCadId")).cast("bigint").alias("num_deputados"),
+        F.sum(F.array_size("GruposParlamentares.sigla")).cast("bigint").alias("num_grupos"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hemiciclo.functions.columns import (
-    activity_key, as_structs, first_date, has_text, is_nominal, last_of, rename_to,
+    activity_key, as_structs, first_date, has_text, is_nominal, last_of, picked, rename_to,
 )
 from hemiciclo.functions.positions import parse_positions
 from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, LOOKUP_KEYS, PART_COUNT_FIELD, PART_FIELD, SILVER
@@ -35,7 +35,7 @@ def initiatives(documents: DataFrame) -> DataFrame:
 def vote_rows(initiatives: DataFrame) -> DataFrame:
     """Votes of the events of the initiatives, still unparsed."""
     head = ["ini_id", "ini_nr", "legislatura", "ini_titulo", "ini_tipo"]
-    events = initiatives.select(*head, F.explode("ini_eventos").alias("e"))
+    events = initiatives.select(*head, F.explode(picked("ini_eventos", "Fase", "DataFase", "Votacao")).alias("e"))
     votes = events.select(
         *head, F.col("e.Fase").alias("fase"), F.col("e.DataFase").alias("data_fase"),
         F.explode("e.Votacao").alias("v"),

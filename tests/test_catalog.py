@@ -8,7 +8,7 @@ import pytest
 from compare import difference, oracle
 from hemiciclo.catalog import EXPECTED, QUERIES
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from hemiciclo.catalog.workspace import workspace
 from hemiciclo.operators import predicates as p
 from hemiciclo.operators.paging import Listing, ascending
-from hemiciclo.plans import activities, initiatives, people, quality, statistics, topics, votes
+from hemiciclo.plans import (
+    activities, initiatives, legislatures, people, quality, silver, statistics, topics, votes,
+)
+from hemiciclo.plans.silver import JOBS
 from hemiciclo.schemas import TOPIC_LABELS
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -208,4 +211,23 @@ def test_position_report_counts_before_its_only_shuffle(w):
 
 
 def test_activity_list_reads_no_vote_text(w):
-    assert "detalhe" not in plan(activities.list_activities(w.table("atividades")).total)
+    text = plan(activities.list_activities(w.table("atividades"), tipo="VOT").page)
+    assert "votacao_debate:array<struct<id:string>>" in text and "detalhe" not in text
+
+
+def test_vote_job_reads_three_event_fields(w):
+    text = plan(silver.vote_rows(w.table("iniciativas")))
+    assert "array<struct<Fase:string,DataFase:date,Votacao:array<" in text and "EvtId" not in text
+
+
+def test_sizes_read_one_field_of_a_list(w):
+    text = plan(legislatures.described_legislatures(w.table("info_base")))
+    assert "Deputados:array<struct<DepCadId:double>>" in text
+
+
+def test_clustering_and_write_share_one_sort(w):
+    """The partitioned write needs rows by legislature, which the clustering sort already gives."""
+    rows = JOBS["votacoes"].plan(w.table("iniciativas"))
+    text = plan(rows, "simple")
+    assert text.count("Exchange") == 1 and text.count("Sort ") == 1
+    assert text.index("CASE WHEN isnotnull(_sections") < text.index("Exchange")  # parsed after it
