@@ -18,7 +18,7 @@ from hemiciclo.sources.document_check import check_documents, summarize_check
 
 
 @entry("s1_json_array_documents", """
-    SELECT legislatura, count(*) AS n, sum(n_events) AS n_events, count(DISTINCT ini_titulo) AS n_titles,
+    SELECT legislatura, count(*) AS n, sum(n_events)::BIGINT AS n_events, count(DISTINCT ini_titulo) AS n_titles,
       min(data_inicio_leg) AS first_day FROM ini GROUP BY legislatura""")
 def _(w: Workspace):
     raw = readers.read_documents(w.spark, "iniciativas", w.documents("iniciativas"), multiline=False)
