@@ -15,7 +15,9 @@ _SUFFIX = {"cap": "csv"}
 
 def legislature_in_path(path: Column) -> Column:
     """'…/iniciativas_l17.json' and '…/leg=L17/part-0.txt' both -> 'L17'."""
-    return F.upper(F.regexp_extract(path, r"(?i)(?:leg=|_)(l[0-9]{1,3})[/.]", 1))
+    # Only the file's own name or its folder count, not what other folders are called.
+    code = r"(?i)(?:/leg=(?=l[0-9]{1,3}/[^/]*$)|_(?=l[0-9]{1,3}\.[^/]*$))(l[0-9]{1,3})"
+    return F.upper(F.regexp_extract(path, code, 1))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

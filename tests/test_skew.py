@@ -43,6 +43,22 @@ def test_long_initiatives_in_parts_give_the_same_results(spark, tmp_path):
         assert a.total.first() == b.total.first() and a.page.collect() == b.page.collect()
 
 
+def test_copies_of_one_event_spread(spark, tmp_path):
+    """Most events are copies of one row of one order: no record grows with them, none is lost."""
+    tables, copies, limit = tmp_path / "tables", 6000, 100
+    lines = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
+    row = lines.where("l_orderkey = 1294").first()
+    hot = spark.range(0, copies, 1, 3).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in lines.schema])
+    others = lines.where("l_orderkey <> 1294")
+    others.unionAll(hot).repartition(4).write.parquet(str(tables / "lineitem.parquet"))
+    spark.read.parquet(f"{SF_DIR}/orders.parquet").write.parquet(str(tables / "orders.parquet"))
+    records = fixtures.initiatives(spark, str(tables), limit).select(
+        "IniId", "Parte", "Partes", F.array_size("IniEventos").alias("n")
+    ).where("IniId = '1294'").collect()
+    assert sum(r.n for r in records) == copies and max(r.n for r in records) < 2 * limit
+    assert sorted(r.Parte for r in records) == list(range(copies // limit)) and {r.Partes for r in records} == {copies // limit}
+
+
 def test_oversized_keys(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"))
     assert [tuple(r) for r in oversized_keys(df, "k", 100).collect()] == [(0, 4)]

@@ -143,6 +143,15 @@ def test_documents_a_line(spark, tmp_path):
     assert sorted((r.IniId, r.legislatura) for r in df.collect()) == [("1", "L17"), ("2", "L17"), ("3", "L17")]
 
 
+@pytest.mark.parametrize("path, leg", [
+    ("s3a://b/x_l9/iniciativas_l17.json", "L17"), ("file:/a/leg=l1/iniciativas/leg=L16/part-0_l3x.txt", "L16"),
+    ("/a/atividades_L8.json.gz", "L8"), ("/a_l17/b.json", ""),
+])
+def test_legislature_in_path(spark, path, leg):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(readers.legislature_in_path(F.col("path"))).first()[0] == leg
+
+
 def test_csv_types_are_enforced(spark, tmp_path):
     (tmp_path / "cap_l17.csv").write_text("ini_id,legislatura,cap,cap_label,model_version\n1,L17,x,A,m\n")
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
