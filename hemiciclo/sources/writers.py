@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,16 +10,27 @@ from pyspark.sql import functions as F
 
 ROW_GROUP_ROWS = 100_000  # Fixed value.
 MAX_ROWS_PER_FILE = 5_000_000
+INPUT_BYTES_PER_TASK = 64 * 2**20  # compressed; several times that once exploded and sorted
 
 
-def cluster(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer estimates from the sizes of the files left after pruning."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def cluster(df: DataFrame, order: Sequence[Column], task_bytes: int = INPUT_BYTES_PER_TASK) -> DataFrame:
     """Sort each legislature across as many files as its size needs.
 
     Range partitioning on (legislature, order) cuts a big legislature into several tasks whose
-    ranges don't overlap; hashing on the legislature alone would give each to one task.
+    ranges don't overlap; hashing on the legislature alone would give each to one task. Inputs too
+    large for the session's number of shuffle partitions get as many as their bytes ask for; below
+    that the number is left to AQE, which joins small partitions.
     """
     keys = [F.col("legislatura").asc(), *order]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    tasks = math.ceil(input_bytes(df) / task_bytes)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(tasks, *keys) if tasks > usual else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def write_dataset(

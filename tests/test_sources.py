@@ -238,6 +238,17 @@ def test_clustering_splits_one_big_legislature(spark, tmp_path):
     assert all(a[1] >= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_clustering_takes_more_tasks_for_more_bytes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.lit("L17").alias("legislatura")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    size = writers.input_bytes(rows)
+    assert writers.input_bytes(spark.range(10**15)) == 8 * 10**15
+    assert size > 1_000_000
+    assert writers.cluster(rows, [F.col("k")], size // 40).rdd.getNumPartitions() in (40, 41)
+    assert "REPARTITION_BY_COL" in writers.cluster(rows, [F.col("k")])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_optional_and_required_datasets(spark, bronze, tmp_path):
     root = str(tmp_path / "silver")
     assert readers.read_dataset(spark, root, "cap", optional=True).count() == 0
