@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +13,23 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a folder of our own only for local runs that have none."""
+    """The folder `spark.checkpoint.dir` names, else the context's checkpoint directory.
+
+    Only a local run that has neither gets a folder of its own, which goes when Python ends.
+    """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.getCheckpointDir() is not None and context.applicationId not in _own:
+        return context.getCheckpointDir().rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _own:
         _own[context.applicationId] = tempfile.mkdtemp(prefix="hemiciclo-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
         context.setCheckpointDir(_own[context.applicationId])
     return _own[context.applicationId]
 
