@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,14 @@ def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, l
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Texts may be long: let Spark hand over fewer rows at once than its default of 10,000."""
-    conf = df.sparkSession.conf
+    """Texts may be long: let Spark hand over fewer rows at once than its default of 10,000.
+
+    Python workers are also told where this package lies, in case they start in another folder.
+    """
+    conf, known = df.sparkSession.conf, df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known.get("PYTHONPATH")]))
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemiciclo.llm import chat, decontamination, html, licenses, quality, sharding, toxicity
+from hemiciclo.llm import chat, decontamination, html, licenses, near_dedup, quality, sharding, toxicity
 from hemiciclo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op10_sharding(spark, sf_dir):
     """Where each document goes, and where it would go if the first shard were drained."""
     placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     return sharding.place(placed, "doc_id", sharding.SHARDS[1:], slot="_slot", shard="shard_if_drained").drop("_slot")
+
+
+@query
+def op8_near_dedup(spark, sf_dir):
+    return near_dedup.report(table(spark, sf_dir, "documents"))
