@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hemiciclo.llm import chat, decontamination, html, licenses, near_dedup, quality, segmentation, sharding, toxicity
+from hemiciclo.llm import chat, decontamination, html, licenses, near_dedup, quality, segmentation, sharding, suffix_dedup, toxicity
 from hemiciclo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op8_near_dedup(spark, sf_dir):
 def op4_sentencepiece_sampling(spark, sf_dir):
     """Distinct sampled segmentations of each document; every one is checked to decode to its text."""
     return segmentation.encode(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
