@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from hemiciclo.llm import chat, decontamination, html, licenses, near_dedup, quality, segmentation, sharding, suffix_dedup, toxicity
 from hemiciclo.llm.common import table
 
@@ -75,3 +76,8 @@ def op4_sentencepiece_sampling(spark, sf_dir):
 @query
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
