@@ -9,6 +9,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -35,6 +36,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, whoever asks and however often."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and read back from the shared folder, whoever asks and however often.
+
+    The shuffle files behind it aren't needed any more, so Spark may remove them at once.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(_REMOVE_SHUFFLES, before)
