@@ -41,7 +41,7 @@ from hemiciclo.llm.common import ROWS_PER_BATCH, free_name, schema_of, small_bat
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 0
 #: Characters that are searched together, and nodes whose lattices a worker remembers.
-CHARS_AT_ONCE, MAX_NODES = 1_500_000, 4_000_000
+CHARS_AT_ONCE, MAX_NODES = 1_000_000, 2_500_000
 PLACES, CLASSES = 128, 128
 #: The largest value that a Gumbel variate made of 53 random bits can take.
 HIGHEST = 36.75
@@ -92,6 +92,18 @@ class Pieces:
         rank[known[np.argsort(-scores[known], kind="stable")]] = np.arange(len(known))
         self.weights = -sharpness * np.log(rank + 10)
         self.chars = frozenset(t for t in self.texts if t and len(t) == 1)
+        self.sizes = np.array([len(x) for x in self.raw])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.raw), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """UTF-8 of the texts of many segmentations, given one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((self.starts[ids] - ends[:-1]).astype(np.int32), sizes)
+        flat = self.joined[at].tobytes()
+        # The blank before a text's first word isn't part of it.
+        return [flat[a + 1:b] if b > a else b"" for a, b in zip(ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist(), strict=True)]
 
 
 class Sampler:
@@ -281,7 +293,7 @@ class Sampler:
         self.learn(list(set(chain.from_iterable(cut)) - self.units.keys()))
         sizes = np.array([len(u) for u in cut])
         start = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        self.used[:self.n_nodes] += np.bincount(start, minlength=self.n_nodes).astype(np.int32)
+        self.used[start] += 1  # batches that use it
         doc = np.repeat(np.arange(len(cut)), sizes)
         at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         base = np.array(seeds, np.uint64)
@@ -418,18 +430,18 @@ def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, seed:
 
     def rows_of(sampler, keys, texts):
         seeds = [xxhash.xxh64_intdigest(str(x), seed=seed) for x in keys]
-        columns = [[] for _ in range(6)]
-        ids = []
+        columns, ids, wanted = [[] for _ in range(6)], [], []
         for row_key, text, samples in zip(keys, texts, sampler.search(texts, seeds, k), strict=True):
             raw = (text or "").encode()
             for i, (log_prob, value, inclusion, found) in enumerate(samples):
-                if b"".join(map(sampler.pieces.raw.__getitem__, found.tolist()))[1:] != raw:
-                    raise ValueError("a segmentation doesn't give its text back")
                 for column, x in zip(columns, (row_key, i + 1, len(found), log_prob, value, inclusion), strict=True):
                     column.append(x)
                 ids.append(found)
+                wanted.append(raw)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        if sampler.pieces.bytes_of(flat, offsets) != wanted:
+            raise ValueError("a segmentation doesn't give its text back")
         arrays = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)]
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), type=arrow.field(6).type)
         return pa.RecordBatch.from_arrays([*arrays, lists], schema=arrow)
