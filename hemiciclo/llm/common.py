@@ -44,6 +44,7 @@ def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, l
                 out = function(batch.slice(start, ROWS_PER_BATCH).to_pydict())
                 if out is not None:
                     yield batch_of(out, arrow)
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, kind)
 
@@ -78,6 +79,7 @@ def with_struct(df: DataFrame, columns: str | list[str], function: Callable[...,
                 part = batch.slice(start, ROWS_PER_BATCH)
                 made = pa.array(function(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in read)), struct.type)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], schema=part.schema.append(struct))
+        pa.default_memory_pool().release_unused()
 
     return small_batches(df).mapInArrow(run, schema)
 

@@ -41,7 +41,7 @@ from hemiciclo.llm.common import ROWS_PER_BATCH, free_name, schema_of, small_bat
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 0
 #: Characters that are searched together, and nodes whose lattices a worker remembers.
-CHARS_AT_ONCE, MAX_NODES = 1_000_000, 2_500_000
+CHARS_AT_ONCE, MAX_NODES = 700_000, 2_000_000
 PLACES, CLASSES = 128, 128
 #: The largest value that a Gumbel variate made of 53 random bits can take.
 HIGHEST = 36.75
@@ -115,7 +115,7 @@ class Sampler:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = None
         self.sizes = np.array([len(t or "") for t in pieces.texts])
         common = Counter(c for t in pieces.texts if t for c in t).most_common(CLASSES - 1)
         self.common = frozenset(c for c, _ in common)
@@ -133,10 +133,6 @@ class Sampler:
                 self.trie[heads[head[:-1]], self.classes[ord(head[-1])]] = state
         for i, text in plain:
             self.accepts[heads[text]] = i
-        for i, text in enumerate(pieces.texts):
-            if text is not None:
-                self.automaton.add_word(text[::-1], i)  # backwards: matches come out in the order of their beginnings
-        self.automaton.make_automaton()
         self.units: dict[str, int] = {}
         self.forget(keep=0)
 
@@ -146,8 +142,8 @@ class Sampler:
         kept = [u for u, often in zip(self.units, used, strict=False) if often]
         self.units = {}
         self.n_nodes = self.n_edges = 0
-        self.chance, self.costs = np.empty(1 << 16), np.empty(1 << 16)
-        self.target, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.chance, self.costs = np.empty(1 << 16, np.float32), np.empty(1 << 16, np.float32)
+        self.target, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32 if len(self.sizes) > 65_536 else np.uint16)
         self.last, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)  # of each node: last edge; uses
         if len(kept) * 8 < MAX_NODES // 2:
             self.learn(kept)
@@ -162,6 +158,12 @@ class Sampler:
 
     def _by_automaton(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin, and which ones; sorted by place and length."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for i, text in enumerate(self.pieces.texts):
+                if text is not None:
+                    self.automaton.add_word(text[::-1], i)  # backwards: matches come out in the order of their beginnings
+            self.automaton.make_automaton()
         found = np.fromiter(chain.from_iterable(self.automaton.iter(joined[::-1])), np.int64).reshape(-1, 2)[::-1]
         return len(joined) - 1 - found[:, 0], found[:, 1]
 
@@ -314,7 +316,7 @@ class Sampler:
                     continue
                 value, path, t, taboo = heap.pop(0)
                 choices = np.array([e for e in self.edges_of(path[t]) if e not in taboo])
-                mass = np.cumsum(np.exp(self.costs[choices]))
+                mass = np.cumsum(np.exp(self.costs[choices].astype(float)))
                 pick = choices[np.searchsorted(mass[:-1], mass[-1] * float(bits(base[d], 2 << 60, sample) >> np.uint64(11)) / 2.0**53, side="right")]
                 # The word in which the paths part: as many words are complete as edges before it end one.
                 unit = int((self.target[path[:t]] < 0).sum())
@@ -341,9 +343,9 @@ class Sampler:
             limit = regions[d][0][0] if regions[d] else -np.inf
             rows = []
             for path, value in samples:
-                log_prob = float(self.costs[path].sum())
+                log_prob = float(self.costs[path].sum(dtype=float))
                 inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(log_prob - limit, 700.0))))
-                rows.append((log_prob, float(value), inclusion, self.piece[path]))
+                rows.append((log_prob, float(value), inclusion, self.piece[path].astype(np.int32)))
             out.append(rows)
         return out
 
@@ -353,19 +355,19 @@ class Sampler:
         Only so many samples are wanted, so more than k regions of a text are never needed. Values are drawn
         in the order of places until none that follows can be among them: mass only falls along a path.
         """
-        before = [float(self.costs[path[:t]].sum()) for _, path, t, _, _ in taken]
+        before = [float(self.costs[path[:t]].sum(dtype=float)) for _, path, t, _, _ in taken]
         while taken:
             sizes = np.array([min(PLACES, len(path) - t) for _, path, t, _, _ in taken])
             there = np.arange(PLACES) < sizes[:, None]
             edges = np.zeros((len(taken), PLACES), np.int64)
             edges[there] = np.concatenate([path[t:t + PLACES] for _, path, t, _, _ in taken])
-            costs = np.where(there, self.costs[edges], 0.0)
+            costs = np.where(there, self.costs[edges], 0.0).astype(float)
             with np.errstate(divide="ignore"):
                 rest = np.log1p(-np.exp(costs))
                 for i, (_, path, t, taboo, _) in enumerate(taken):
                     if taboo:
                         shut = len(taboo) + 1 == len(self.edges_of(path[t]))
-                        rest[i, 0] = -np.inf if shut else np.log(max(0.0, 1 - np.exp(costs[i, 0]) - np.exp(self.costs[list(taboo)]).sum()))
+                        rest[i, 0] = -np.inf if shut else np.log(max(0.0, 1 - np.exp(costs[i, 0]) - np.exp(self.costs[list(taboo)].astype(float)).sum()))
             mass = np.array(before)[:, None] + np.cumsum(costs, 1) - costs + rest
             mass[~there] = -np.inf
             place = np.array([t for _, _, t, _, _ in taken])[:, None] + np.arange(PLACES)
@@ -427,6 +429,7 @@ def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, seed:
                         n += 1
                     yield rows_of(sampler, keys[:n], texts[:n])
                     keys, texts = keys[n:], texts[n:]
+        pa.default_memory_pool().release_unused()
 
     def rows_of(sampler, keys, texts):
         seeds = [xxhash.xxh64_intdigest(str(x), seed=seed) for x in keys]
