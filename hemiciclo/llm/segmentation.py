@@ -113,8 +113,8 @@ class Sampler:
     node's edges lie side by side, the longest piece last, where a draw begins: it is taken most often.
     """
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, max_nodes: int = MAX_NODES):
+        self.pieces, self.max_nodes = pieces, max_nodes
         self.automaton = None
         self.sizes = np.array([len(t or "") for t in pieces.texts])
         common = Counter(c for t in pieces.texts if t for c in t).most_common(CLASSES - 1)
@@ -145,7 +145,7 @@ class Sampler:
         self.chance, self.costs = np.empty(1 << 16, np.float32), np.empty(1 << 16, np.float32)
         self.target, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32 if len(self.sizes) > 65_536 else np.uint16)
         self.last, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)  # of each node: last edge; uses
-        if len(kept) * 8 < MAX_NODES // 2:
+        if len(kept) * 8 < self.max_nodes // 2:
             self.learn(kept)
 
     def learn(self, units: list[str], at_once: int = 20_000) -> None:
@@ -290,7 +290,7 @@ class Sampler:
     def search(self, texts: list[str | None], seeds: list[int], k: int) -> list[list[tuple[float, float, float, np.ndarray]]]:
         """For each text its samples, best first: log probability, perturbed value, inclusion score, ids."""
         cut = self.cut(texts)
-        if self.n_nodes > MAX_NODES:
+        if self.n_nodes > self.max_nodes:
             self.forget()
         self.learn(list(set(chain.from_iterable(cut)) - self.units.keys()))
         sizes = np.array([len(u) for u in cut])
@@ -393,10 +393,12 @@ class Sampler:
 _samplers: dict[tuple, Sampler] = {}
 
 
-def sampler_of(pieces: Pieces, name: tuple) -> Sampler:
-    """A worker's sampler, kept between its tasks."""
+def sampler_of(pieces: Pieces, name: tuple, max_nodes: int, lasting: bool) -> Sampler:
+    """A sampler of a task, or of a worker for all its tasks."""
+    if not lasting:
+        return Sampler(pieces, max_nodes)
     if name not in _samplers:
-        _samplers[name] = Sampler(pieces)
+        _samplers[name] = Sampler(pieces, max_nodes)
     return _samplers[name]
 
 
@@ -405,26 +407,29 @@ def decoded(ids, pieces: Pieces) -> str:
     return b"".join(map(pieces.raw.__getitem__, ids))[1:].decode()
 
 
-def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, seed: int = SEED, model_file: str = MODEL, sharpness: float = SHARPNESS) -> DataFrame:
+def encode(df: DataFrame, key: str, text: str = "text", k: int = SAMPLES, seed: int = SEED, model_file: str = MODEL, sharpness: float = SHARPNESS,
+           chars_at_once: int = CHARS_AT_ONCE, max_nodes: int = MAX_NODES, lasting: bool = True) -> DataFrame:
     """Up to ``k`` rows for each row of ``df``: key, number of the sample, its scores and the piece ids.
 
     The model is read by the driver and sent along. Decoding every row must give its text back, or the task fails.
+    ``chars_at_once`` and ``max_nodes`` bound a worker's memory, and unless ``lasting`` it is freed after each
+    task; they cost time and change no result.
     """
     if k < 1:
         raise ValueError("at least one sample")
     sent = df.sparkSession.sparkContext.broadcast(Pieces(model_file, sharpness))
-    name = (model_file, sharpness)
+    name = (model_file, sharpness, max_nodes)
     kind = schema_of(f"{key} {df.schema[key].dataType.simpleString()}, {KIND}")
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = sampler_of(sent.value, name)
+        sampler = sampler_of(sent.value, name, max_nodes, lasting)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                 keys, texts = (c.to_pylist() for c in batch.slice(start, ROWS_PER_BATCH).columns)
                 while texts:
                     n = size = 0
-                    while n < len(texts) and (not n or size + len(texts[n] or "") <= CHARS_AT_ONCE):
+                    while n < len(texts) and (not n or size + len(texts[n] or "") <= chars_at_once):
                         size += len(texts[n] or "")
                         n += 1
                     yield rows_of(sampler, keys[:n], texts[:n])
