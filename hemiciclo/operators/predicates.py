@@ -81,7 +81,7 @@ def party_code(value: str | None) -> str | None:
 def _code(value: str | None, pattern: str, what: str) -> str | None:
     if value is None:
         return None
-    if not re.match(pattern, value.upper()):
+    if not re.fullmatch(pattern, value.upper()):
         raise ValueError(f"not a {what} code: {value!r}")
     return value.upper()
 
@@ -95,5 +95,6 @@ def page_bounds(limit: int, offset: int) -> tuple[int, int]:
 
 
 def normalize_codes(df: DataFrame, field: str, pattern: str, valid: str = "code_valid") -> DataFrame:
-    """Upper-case a code column and flag the rows whose code doesn't fit the pattern."""
+    """Upper-case a code column and flag the rows whose code doesn't fit the pattern as a whole."""
+    pattern = pattern.removesuffix("$") + r"\z"  # a dollar would let a line end pass
     return df.withColumn(field, F.upper(field)).withColumn(valid, F.coalesce(F.col(field).rlike(pattern), F.lit(False)))

@@ -147,10 +147,10 @@ JOBS: dict[str, Job] = {
     "iniciativas": Job(initiatives, optional=False),
     "votacoes": Job(vote_rows, "iniciativas", _recent_votes, vote_details),
     "info_base": Job(info_base),
-    "deputados": Job(deputies, "info_base", lambda: [F.col("nome_parlamentar").asc_nulls_last()]),
-    "circulos": Job(circles, "info_base", lambda: [F.col("cp_des").asc_nulls_last()]),
+    "deputados": Job(deputies, "info_base", lambda: [F.col("nome_parlamentar").asc_nulls_last(), F.col("dep_cad_id")]),
+    "circulos": Job(circles, "info_base", lambda: [F.col("cp_des").asc_nulls_last(), F.col("cp_id")]),
     "partidos": Job(parties, "info_base", lambda: [F.col("gp_sigla").asc_nulls_last()]),
-    "atividades": Job(activities, order=lambda: [F.col("data_entrada").desc_nulls_last()]),
+    "atividades": Job(activities, order=lambda: [F.col("data_entrada").desc_nulls_last(), F.col("ativ_id")]),
     "atividades_votacoes": Job(activity_vote_rows, "atividades", _recent_votes, activity_vote_details),
     "cap": Job(topics, order=lambda: [F.col("ini_id").asc_nulls_last()]),
 }

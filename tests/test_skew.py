@@ -111,6 +111,7 @@ class Session:
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
         self.sparkContext = self
         self.master, self.applicationId, self.setCheckpointDir = master, "app", print
+        self.getCheckpointDir = lambda: None
 
 
 def test_shared_folder_is_the_session_s():

@@ -289,3 +289,23 @@ def test_contract_report(spark, bronze, tmp_path):
     assert got == {("reuniao", "missing", None), ("is_nominal", "type string", None), ("vot_id", "null", 2)}
     assert quality.contract_violations(votes, "votacoes").count() == 0
     assert quality.contract_violations(headers(readers.read_dataset(spark, root, "iniciativas")), "iniciativas").count() == 0
+
+
+def test_rows_of_other_legislatures_leave_their_slices_alone(spark, tmp_path):
+    from hemiciclo.sources.writers import write_dataset
+
+    path = str(tmp_path / "slices")
+    write_dataset(spark.createDataFrame([("L16", 1), ("L16", 2)], "legislatura string, id int"), path, ["L16"])
+    with pytest.warns(UserWarning, match="1 rows"):
+        rows = write_dataset(spark.createDataFrame([("L17", 3), ("L16", 9)], "legislatura string, id int"), path, ["L17"])
+    assert rows == {"L17": 1}
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_codes_with_a_line_end_are_refused(spark):
+    from hemiciclo.operators.predicates import LEGISLATURE_PATTERN, legislature_code, normalize_codes
+
+    with pytest.raises(ValueError):
+        legislature_code("L17\n")
+    rows = normalize_codes(spark.createDataFrame([("l17",), ("L17\n",)], "leg string"), "leg", LEGISLATURE_PATTERN).collect()
+    assert [r.code_valid for r in rows] == [True, False]
