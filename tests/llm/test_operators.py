@@ -300,11 +300,11 @@ def test_html(spark):
         wrong, total = wrong + sum(a != b for a, b in zip(got, wanted, strict=True)), total + len(wanted)
     assert wrong / total < 0.01
     page = '<body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two &lt;3.<br>more<p>Three <b>bold</article><div class="comments"><p>Nice.</p></div><footer>&copy; x</footer>'
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "just text"), (4, "u", "just text"), (5, "u", "<p>A sentence of the page, and one more.<script>var t='</p>'</script><!-- x"), (None, "u", "<p>" * 3000 + "deep"), (6, "u", "<a href='unclosed")]
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "just text"), (4, "u", "just text"), (5, "u", "<p>A sentence of the page, and one more.<script>var t='</p>'</script><!-- x"), (None, "u", "<p>" * 3000 + "A sentence deep inside, and one more."), (6, "u", "<a href='unclosed")]
     out = html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == len(rows) and out[0].text == "A & B\nOne two <3. more\nThree bold"
     assert [(r.text, r.n_chars) for r in out[1:6]] == [("", 0), ("", 0), ("just text", 9), ("just text", 9), ("A sentence of the page, and one more.", 37)]
-    assert out[6].text == "deep" and out[7].text == ""
+    assert out[6].text == "A sentence deep inside, and one more." and out[7].text == ""
 
 
 def test_html_of_given_pages(spark):
