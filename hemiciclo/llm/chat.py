@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from hemiciclo.llm.common import map_batches, schema_of, small_batches
-from hemiciclo.sources.shared import settled
+from hemiciclo.sources.shared import shared_folder
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -63,55 +64,86 @@ def tree_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
 
-def linear(turns: DataFrame) -> DataFrame:
-    """Messages of plain conversations, each answering the one before it."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", tree_key(F.col("conv_id")).alias("tree"), "turn", "role", "text")
-    rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
-    return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"), "conv_id")
+def chain(turns: DataFrame) -> DataFrame:
+    """Messages of plain conversations, each answering the one before it; numbered as `told` orders them, without texts."""
+    sizes = turns.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.select("tree", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("node"))
+    return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"))
 
 
-def ancestors(nodes: DataFrame) -> list[DataFrame]:
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: such ids take far less room there than in a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/chat-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ancestors(links: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ...: which node is 2**k steps above which; ends when no node has one."""
-    present = nodes.select("tree", F.col("node").alias("up"))
-    steps = [settled(nodes.where("parent is not null").select("tree", "node", F.col("parent").alias("up")).join(present, ["tree", "up"], "left_semi").select("tree", "node", "up"))]
-    rows = nodes.count()
+    present = links.select("tree", F.col("node").alias("up"))
+    steps = [stored(links.where("parent is not null").select("tree", "node", F.col("parent").alias("up")).join(present, ["tree", "up"], "left_semi").select("tree", "node", "up"))]
+    rows = links.count()
     while steps[-1].take(1):
         if 2 ** (len(steps) - 1) > rows:
             raise ValueError("messages answer each other in a circle")
         low = steps[-1]
         high = low.select("tree", F.col("node").alias("up"), F.col("up").alias("_far"))
-        steps.append(settled(low.join(high, ["tree", "up"]).select("tree", "node", F.col("_far").alias("up"))))
+        steps.append(stored(low.join(high, ["tree", "up"]).select("tree", "node", F.col("_far").alias("up"))))
     return steps[:-1]
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(links: DataFrame) -> DataFrame:
     """All nodes of all root-to-leaf paths: tree, leaf, node, steps above the leaf."""
-    steps = ancestors(nodes)
-    parents = steps[0].select("tree", F.col("up").alias("node")) if steps else nodes.select("tree", "node").limit(0)
-    leaves = nodes.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
+    steps = ancestors(links)
+    parents = steps[0].select("tree", F.col("up").alias("node")) if steps else links.select("tree", "node").limit(0)
+    leaves = links.select("tree", "node").join(parents, ["tree", "node"], "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("above"))
     for k in range(len(steps) - 1, -1, -1):
-        found = found.unionByName(found.join(steps[k], ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + 2**k).alias("above")))
+        # Each row and the one above it from one join: naming ``found`` twice would double the plan at every step.
+        both = F.array(F.struct("node", "above"), F.struct(F.col("up").alias("node"), (F.col("above") + 2**k).alias("above")))
+        found = found.join(steps[k], ["tree", "node"], "left").select("tree", "leaf", F.inline(both)).where("node is not null")
     return found
 
 
-def ranked(nodes: DataFrame, top: int | None = None) -> DataFrame:
-    """Messages of each tree's ``top`` best branches (None: all): rank, place on the path, whether the loss is taken here."""
-    on_path = settled(paths(nodes)).join(nodes.select("tree", "node", "role", "text", "score"), ["tree", "node"])
+def chosen(links: DataFrame, top: int | None = None) -> DataFrame:
+    """Nodes of each tree's ``top`` best branches (None: all): rank, place on the path, whether the loss is taken here."""
+    links = stored(links)
+    on_path = stored(paths(links).join(links.select("tree", "node", "score"), ["tree", "node"]))
     branches = on_path.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.max("above").alias("depth"))
     branches = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc_nulls_last("mean"), "leaf")))
     branches = branches.where(F.col("rank") <= top) if top else branches
     on_path = on_path.join(branches.select("tree", "leaf", "rank", "depth"), ["tree", "leaf"])
     first = on_path.groupBy("tree", "node").agg(F.min("rank").alias("first"))
-    return on_path.join(first, ["tree", "node"]).select("tree", "leaf", "rank", (F.col("depth") - F.col("above")).alias("place"), "role", "text", (F.col("first") == F.col("rank")).alias("own"))
+    return stored(on_path.join(first, ["tree", "node"]).select(
+        "tree", "leaf", "node", "rank", (F.col("depth") - F.col("above")).alias("place"), (F.col("first") == F.col("rank")).alias("own")
+    ))
+
+
+def told(turns: DataFrame, branches: DataFrame) -> DataFrame:
+    """Branches of `chain` with roles and texts. Texts are shuffled once: they are numbered, find their
+    branches and are put in order in the partitions of their conversation."""
+    said = turns.select("tree", "turn", "role", "text", F.lit(0).alias("kind"))
+    asked = branches.select("tree", "node", "leaf", "place", "own", F.lit(1).alias("kind"))
+    both = said.unionByName(asked, allowMissingColumns=True)
+    number = F.row_number().over(Window.partitionBy("tree").orderBy("kind", "turn", "role", "text"))
+    both = both.withColumn("node", F.coalesce("node", number.cast("long")))
+    mine = Window.partitionBy("tree", "node").orderBy("kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full = both.select("tree", "leaf", "place", "own", "kind", *[F.first(c).over(mine).alias(c) for c in ("role", "text")])
+    return full.where("kind = 1").sortWithinPartitions("tree", "leaf", "place")
 
 
 def formatted(nodes: DataFrame, top: int | None = None, learned: str = LEARNED) -> DataFrame:
     """A row for each chosen path: the conversation and its loss mask as spans of code points.
 
-    Rows are read in the order of a sort that can spill; a task holds one conversation at a time.
+    Paths are found and chosen by ids; texts join the chosen ones only.
     """
+    branches = chosen(nodes.select("tree", "node", "parent", "score"), top)
+    rows = branches.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    return written_out(rows.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place"), learned)
+
+
+def written_out(rows: DataFrame, learned: str = LEARNED) -> DataFrame:
+    """Rows of a path stand together and in order: a sort that can spill; a task holds one conversation at a time."""
     kind = schema_of(_FORMATTED)
     arrow = to_arrow_schema(kind)
 
@@ -141,7 +173,7 @@ def formatted(nodes: DataFrame, top: int | None = None, learned: str = LEARNED)
             ready.append((*key, "".join(parts), spans))
             yield flush()
 
-    rows = ranked(nodes, top).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place")
+    rows = rows.select("tree", "leaf", "role", "text", "own")
     return small_batches(rows).mapInArrow(run, kind)
 
 
@@ -158,7 +190,8 @@ def digests(conversation: str, spans: list[dict]) -> dict:
 
 def report(conversations: DataFrame) -> DataFrame:
     """Digests of plain conversations, one path each, read back from their formatted text."""
-    done = formatted(linear(conversations))
+    turns = conversations.select(tree_key(F.col("conv_id")).alias("tree"), "turn", "role", "text")
+    done = written_out(told(turns, chosen(chain(turns))))
 
     def read(batch):
         rows = [digests(c, s) for c, s in zip(batch["formatted"], batch["spans"], strict=True)]
