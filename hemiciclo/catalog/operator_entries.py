@@ -19,7 +19,8 @@ from hemiciclo.plans.initiatives import (
 )
 from hemiciclo.plans.legislatures import dated_legislatures, described_legislatures
 from hemiciclo.plans.topics import topics_with_initiative
-from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES
+from hemiciclo.plans.silver import JOBS
+from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, PART_FIELD
 from hemiciclo.sources import readers
 
 LEG = "legislatura"
@@ -39,10 +40,11 @@ def raw(w: Workspace, dataset: str):
 @entry("p1_initiative_names", """
     SELECT ini_nr, ini_tipo, ini_desc_tipo, ini_titulo, ini_id, data_inicio_leg, n_events FROM ini""")
 def _(w):
-    renamed = raw(w, "iniciativas").select(*fn.rename_to(INITIATIVE_NAMES))
-    return renamed.select(
-        "ini_nr", "ini_tipo", "ini_desc_tipo", "ini_titulo", "ini_id", "data_inicio_leg",
-        big(F.array_size("ini_eventos")).alias("n_events"),
+    records = raw(w, "iniciativas")
+    sizes = records.groupBy(F.col("IniId").alias("ini_id")).agg(F.sum(F.array_size("IniEventos.EvtId")).alias("n_events"))
+    renamed = records.where(F.coalesce(PART_FIELD, F.lit(0)) == 0).select(*fn.rename_to(INITIATIVE_NAMES))
+    return renamed.join(sizes, "ini_id").select(
+        "ini_nr", "ini_tipo", "ini_desc_tipo", "ini_titulo", "ini_id", "data_inicio_leg", "n_events",
     )
 
 
@@ -453,9 +455,11 @@ def _(w):
 @entry("a12_dataset_counts", """
     SELECT 'iniciativas' AS dataset, count(*) AS n_rows, true AS available FROM ini
     UNION ALL SELECT 'deputados', count(*), true FROM dep UNION ALL SELECT 'circulos', count(*), true FROM circ
-    UNION ALL SELECT 'partidos', count(*), true FROM part""")
+    UNION ALL SELECT 'partidos', count(*), true FROM part UNION ALL SELECT 'votacoes', count(*), true FROM vot
+    UNION ALL SELECT 'info_base', count(*), true FROM base UNION ALL SELECT 'atividades', count(*), true FROM act
+    UNION ALL SELECT 'atividades_votacoes', count(*), true FROM avot UNION ALL SELECT 'cap', count(*), true FROM topic""")
 def _(w):
-    names = ["iniciativas", "deputados", "circulos", "partidos"]
+    names = list(JOBS)
     w.build(*names)
     return inventory.inventory(w.spark, w.silver, names).select("dataset", "n_rows", "available")
 
@@ -694,11 +698,11 @@ def _(w):
 
 @entry("d4_party_counts", """
     SELECT legislatura, count(*) AS n, CAST(e AS BIGINT) AS expected FROM part
-    JOIN (VALUES ('L13', 6), ('L14', 8), ('L15', 8), ('L16', 9), ('L17', 9)) v(leg, e) ON leg = legislatura
+    JOIN (VALUES ('L13', 2), ('L14', 3), ('L15', 2), ('L16', 2), ('L17', 4)) v(leg, e) ON leg = legislatura
     GROUP BY legislatura, e HAVING count(*) <> e""")
 def _(w):
     """L14 and L17 are expected wrongly, to show what the check reports."""
-    return quality.wrong_counts(w.table("partidos"), {"L13": 6, "L14": 8, "L15": 8, "L16": 9, "L17": 9})
+    return quality.wrong_counts(w.table("partidos"), {"L13": 2, "L14": 3, "L15": 2, "L16": 2, "L17": 4})
 
 
 @entry("d5_independent_names", verdict_sql(
@@ -706,7 +710,7 @@ def _(w):
 ))
 def _(w):
     votes = w.table("votacoes")
-    return quality.verdict(vote_positions(votes, ["vot_id"]), quality.malformed_independents(votes))
+    return quality.verdict_of_rows(vote_positions(votes, ["vot_id"]), quality.is_malformed_independent())
 
 
 @entry("d6_detail_flags", verdict_sql(
@@ -714,7 +718,7 @@ def _(w):
 ))
 def _(w):
     table = w.table("atividades_votacoes")
-    return quality.verdict(table, quality.detail_flag_mismatches(table))
+    return quality.verdict_of_rows(table, quality.has_wrong_detail_flag())
 
 
 @entry("d7_source_totals", verdict_sql(
@@ -731,7 +735,7 @@ def _(w):
     WHERE NOT (starts_with(ativ_id, legislatura || '_') AND length(ativ_id) > length(legislatura) + 1)"""))
 def _(w):
     table = w.table("atividades")
-    return quality.verdict(table, quality.bad_activity_keys(table))
+    return quality.verdict_of_rows(table, quality.is_bad_activity_key())
 
 
 @entry("d9_topic_codebook", """
@@ -745,8 +749,7 @@ def _(w):
     SELECT 'cap' AS dataset, 'cap_label' AS "column", 'null' AS problem, count(*) AS n FROM topic
     WHERE cap_label IS NULL HAVING count(*) > 0""")
 def _(w):
-    names = ["votacoes", "deputados", "circulos", "partidos", "atividades", "atividades_votacoes", "cap"]
-    return quality.contract_report({n: w.table(n) for n in names})
+    return quality.contract_report({n: w.table(n) for n in JOBS})
 
 
 @entry("d11_over_classified", verdict_sql("topic", """
@@ -769,17 +772,18 @@ def _(w):
     listing = list_votes(votes, data_desde=since, limit=500)
     first, second = quality.pages(listing, 2)
     bad = quality.repeated_rows(first, second, "vot_id").unionByName(
-        quality.out_of_bounds(listing.rows, "data", since).select("vot_id")
+        quality.out_of_bounds(first.page.unionByName(second.page), "data", since).select("vot_id")
     )
     return quality.verdict(listing.rows, bad)
 
 
 @entry("d13_active_deputies_and_source", """
-    SELECT 'deputado' AS kind, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_bad FROM dep WHERE situacao_atual = 'Efetivo'
+    SELECT 'deputado' AS kind, count(*) AS n_checked, CAST(0 AS BIGINT) AS n_bad FROM dep
+    WHERE situacao_atual = 'Efetivo' AND circulo_id = 11 AND legislatura = 'L14'
     UNION ALL SELECT 'voto', count(*), 0 FROM avot""")
 def _(w):
-    active = w.table("deputados").where(F.col("situacao_atual") == people.ACTIVE)
+    listed = people.circle_deputies(w.table("circulos"), w.table("deputados"), 11, "L14").rows
     votes = w.table("atividades_votacoes")
-    return quality.verdict(active, quality.inactive(active)).withColumn("kind", F.lit("deputado")).unionByName(
-        quality.verdict(votes, quality.wrong_source(votes)).withColumn("kind", F.lit("voto"))
+    return quality.verdict_of_rows(listed, quality.is_inactive()).withColumn("kind", F.lit("deputado")).unionByName(
+        quality.verdict_of_rows(votes, quality.has_wrong_source()).withColumn("kind", F.lit("voto"))
     )

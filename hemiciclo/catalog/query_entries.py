@@ -270,10 +270,10 @@ def _(w):
 
 
 @entry("q18_vote_support_of_party", f"""
-    {_SUPPORT} AND a.gp = 'PCP' AND pos.legislatura = 'L17' GROUP BY pos.legislatura, a.gp, fase, party""")
+    {_SUPPORT} AND a.gp = 'JPP' AND pos.legislatura = 'L17' GROUP BY pos.legislatura, a.gp, fase, party""")
 def _(w):
     nested = statistics.party_vote_support(
-        w.table("partidos"), w.table("iniciativas"), w.table("votacoes"), "pcp", "l17"
+        w.table("partidos"), w.table("iniciativas"), w.table("votacoes"), "jpp", "l17"
     )
     return nested.select(LEG, "author", "fase", F.inline("vote_details")).withColumnsRenamed(
         {p: f"{p}_count" for p in statistics.VOTED}
@@ -495,11 +495,11 @@ def _(w):
     UNION ALL SELECT 'votacoes', count(*), true, true, 'healthy' FROM vot
     UNION ALL SELECT 'deputados', count(*), false, true, 'healthy' FROM dep
     UNION ALL SELECT 'partidos', count(*), false, true, 'healthy' FROM part
-    UNION ALL SELECT 'circulos', count(*), false, true, 'healthy' FROM circ""")
+    UNION ALL SELECT 'circulos', count(*), false, true, 'healthy' FROM circ
+    UNION ALL SELECT 'info_base', count(*), false, true, 'healthy' FROM base""")
 def _(w):
     w.build(*inventory.CHECKED)
-    # How many documents hold the base data is the layout's business.
-    return inventory.inventory(w.spark, w.silver).where(F.col("dataset") != "info_base")
+    return inventory.inventory(w.spark, w.silver)
 
 
 @entry("q34_coverage", "SELECT DISTINCT legislatura FROM ini")

@@ -114,8 +114,8 @@ VIEWS: dict[str, str] = {
         SELECT 'L' || k AS legislatura, CAST(n_nationkey AS DOUBLE) AS cp_id, n_name AS cp_des
         FROM nation CROSS JOIN legs""",
     "part": """
-        SELECT 'L' || k AS legislatura, gp AS gp_sigla, 'Partido ' || gp AS gp_nome
-        FROM legs JOIN gps ON i <= k - 8""",
+        SELECT DISTINCT legislatura, dep_gp.gp AS gp_sigla, 'Partido ' || dep_gp.gp AS gp_nome
+        FROM dep_gp JOIN dep ON dep.c_custkey = dep_gp.c_custkey WHERE n = 1""",
     "base": """
         SELECT 'L' || k AS legislatura,
           CASE k WHEN 13 THEN 'XIII' WHEN 14 THEN 'XIV' WHEN 15 THEN 'XV' WHEN 16 THEN 'XVI' ELSE 'XVII' END AS sigla,

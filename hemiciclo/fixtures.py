@@ -302,11 +302,17 @@ def info_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("n_nationkey").cast("double").alias("cpId"), F.col("n_name").alias("cpDes")).alias("circle"),
     )
     circles = nations.groupBy("leg", "chunk").agg(F.collect_list("circle").alias("CirculosEleitorais"))
-    size = F.substring("leg", 2, 3).cast("int") - 13 + 6
-    groups = F.slice(F.array(*[
-        F.struct(F.lit(gp).alias("sigla"), F.lit(f"Partido {gp}").alias("nome")) for gp in PARTIES
-    ]), F.lit(1), size)
-    places = circles.withColumn("GruposParlamentares", F.when(F.col("chunk") == 0, groups)).drop("chunk")
+    # The parties of a legislature are those its deputies first sat for: at most a codebook's worth.
+    # A party that deputies only changed to isn't one of them.
+    sitting = _deputies(spark, sf_dir).select("leg", F.get("deputy.DepGP.gpSigla", F.lit(0)).alias("gp"))
+    sitting = sitting.where("gp is not null").distinct()
+    groups = sitting.groupBy("leg").agg(F.collect_list(F.struct(
+        F.col("gp").alias("sigla"), F.concat(F.lit("Partido "), "gp").alias("nome")
+    )).alias("GruposParlamentares"))
+    first = F.col("chunk") == 0
+    places = circles.join(groups, "leg", "left").withColumn(
+        "GruposParlamentares", F.when(first, F.col("GruposParlamentares"))
+    ).drop("chunk")
     both = deputies.drop("chunk").unionByName(places, allowMissingColumns=True)
     empty = {f: F.coalesce(f, F.array().cast(both.schema[f].dataType))
              for f in ("Deputados", "CirculosEleitorais", "GruposParlamentares")}

@@ -80,8 +80,10 @@ def list_initiatives(
 
 
 def initiative(initiatives: DataFrame, ini_id: str) -> DataFrame:
-    """The full nested record (a row a part); no row if there is none."""
-    return initiatives.where(F.col("ini_id") == ini_id)
+    """The full nested record, a row a part, each with the first day of all its events; no row if there is none."""
+    parts = initiatives.where(F.col("ini_id") == ini_id)
+    first = parts.groupBy("ini_id").agg(F.min("ini_data").alias("ini_data"))  # one row
+    return parts.drop("ini_data").join(F.broadcast(first), "ini_id").select(initiatives.columns)
 
 
 def events(initiatives: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -98,7 +100,7 @@ def list_events(
     data_ate: date | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0,
 ) -> Listing:
     """Events of one initiative, oldest first. An unknown id has none; `initiative` tells it apart."""
-    rows = events(initiative(initiatives, ini_id))
+    rows = events(initiatives.where(F.col("ini_id") == ini_id))
     rows = select_where(
         rows, at_least("data_fase", data_desde), at_most("data_fase", data_ate), one_of("fase", comma_list(evento_fase))
     )

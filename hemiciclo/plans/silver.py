@@ -14,7 +14,7 @@ from hemiciclo.functions.columns import (
 )
 from hemiciclo.functions.positions import parse_positions
 from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, LOOKUP_KEYS, PART_COUNT_FIELD, PART_FIELD, SILVER
-from hemiciclo.sources.readers import activities_in, bronze_path, legislature_in_path, read_documents, read_topics
+from hemiciclo.sources.readers import activities_in, bronze_path, legislature_in_path, path_exists, read_documents, read_topics
 from hemiciclo.sources.writers import cluster, legislature_of_slice, stored_bytes, write_dataset
 
 log = logging.getLogger(__name__)
@@ -126,13 +126,16 @@ def topics(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Job:
-    """``build`` makes the rows, ``order`` clusters them, ``finish`` adds what needn't be shuffled."""
+    """``build`` makes the rows, ``order`` clusters them, ``finish`` adds what needn't be shuffled.
+
+    ``records`` counts what a legislature's rows stand for."""
 
     build: Callable[[DataFrame], DataFrame]
     parent: str | None = None
     order: Callable[[], list[Column]] | None = None
     finish: Callable[[DataFrame], DataFrame] = lambda df: df
     optional: bool = True
+    records: Callable[[Column], Column] = F.count_if
 
     def plan(self, source: DataFrame) -> DataFrame:
         rows = self.build(source)
@@ -144,9 +147,10 @@ def _recent_votes() -> list[Column]:
 
 
 JOBS: dict[str, Job] = {
-    "iniciativas": Job(initiatives, optional=False),
+    "iniciativas": Job(initiatives, optional=False, records=lambda mine: F.count_if(mine & (F.col("parte") == 0))),
     "votacoes": Job(vote_rows, "iniciativas", _recent_votes, vote_details),
-    "info_base": Job(info_base),
+    # One record a legislature, in as many rows as documents.
+    "info_base": Job(info_base, records=lambda mine: F.coalesce(F.max(mine.cast("int")), F.lit(0))),
     "deputados": Job(deputies, "info_base", lambda: [F.col("nome_parlamentar").asc_nulls_last(), F.col("dep_cad_id")]),
     "circulos": Job(circles, "info_base", lambda: [F.col("cp_des").asc_nulls_last(), F.col("cp_id")]),
     "partidos": Job(parties, "info_base", lambda: [F.col("gp_sigla").asc_nulls_last()]),
@@ -167,7 +171,7 @@ def run_job(
     else:
         paths = [p for leg in legislatures if (p := bronze_path(spark, bronze, name, leg))]
         source = read_topics(spark, paths) if name == "cap" else read_documents(spark, name, paths, multiline)
-    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()))
+    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()), job.records)
 
 
 def run_all(
@@ -187,7 +191,11 @@ def run_all(
         ready = []
         for leg in legislatures:
             if job.parent:
-                there, otherwise = status.get((job.parent, leg)) == "ok", "skipped"
+                # A parent that isn't run now may lie there from before.
+                there = status[job.parent, leg] == "ok" if (job.parent, leg) in status else path_exists(
+                    spark, f"{silver}/{job.parent}/legislatura={leg}"
+                )
+                otherwise = "skipped"
             else:
                 there = bronze_path(spark, bronze, name, leg) is not None
                 otherwise = "missing" if job.optional else "failed"

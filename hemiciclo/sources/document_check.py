@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hemiciclo.schemas import PART_FIELD
 from hemiciclo.sources.readers import legislature_in_path
 
 # Keys each kind of document must hold; an array root has none.
@@ -14,7 +15,7 @@ EXPECTED_KEYS = {
     "atividades": ("AtividadesGerais",),
 }
 _COUNTED = {
-    "iniciativas": "$", "info_base": "$.Deputados", "atividades": "$.AtividadesGerais.Atividades",
+    "info_base": "$.Deputados", "atividades": "$.AtividadesGerais.Atividades",
 }
 _INNER_KEYS = {"atividades": ("$.AtividadesGerais", "Atividades")}
 
@@ -37,7 +38,13 @@ def check_documents(spark: SparkSession, dataset: str, paths: str | list[str], w
         inner = F.json_object_keys(F.get_json_object(text, path))
         missing.append(F.when(F.array_contains(keys, path[2:]), _missing(inner, key, F.lit(f"{path[2:]}.{key}"))))
     missing_keys = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
-    records = F.json_array_length(F.get_json_object(text, _COUNTED[dataset]) if dataset != "iniciativas" else text)
+    if dataset == "iniciativas":
+        # Further parts of a long initiative are no records of their own.
+        parts = F.from_json(text, f"array<struct<{PART_FIELD}:int>>")
+        # A lone object would be read as an array of one.
+        records = F.when(is_array, F.array_size(F.filter(parts, lambda r: F.coalesce(r[PART_FIELD], F.lit(0)) == 0)))
+    else:
+        records = F.json_array_length(F.get_json_object(text, _COUNTED[dataset]))
     return lines.select(
         F.lit(dataset).alias("dataset"), "legislatura", F.coalesce(root_ok, F.lit(False)).alias("root_ok"),
         missing_keys.alias("missing_keys"), F.coalesce(records, F.lit(0)).cast("bigint").alias("n_records"),

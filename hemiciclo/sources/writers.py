@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -35,16 +35,21 @@ def cluster(df: DataFrame, order: Sequence[Column], task_bytes: int = INPUT_BYTE
 
 
 def write_dataset(
-    df: DataFrame, path: str, legislatures: Sequence[str] = (), lookup: Sequence[str] = ()
+    df: DataFrame, path: str, legislatures: Sequence[str] = (), lookup: Sequence[str] = (),
+    records: Callable[[Column], Column] = F.count_if,
 ) -> dict[str, int]:
     """Write ``df`` by legislature, replacing the slices it holds and no others.
 
-    Gives the rows of each named legislature, counted while writing. A named one without rows
+    Gives the records of each named legislature, counted while writing: its rows, or what ``records``
+    makes of the condition that a row is of it. A named one without rows
     becomes an empty slice. ``lookup`` columns get Bloom filters: a point lookup then skips the row
     groups that don't hold its key.
     """
     counted = Observation()
-    counts = [F.count_if(F.col("legislatura") == leg).alias(leg) for leg in legislatures]
+    counts = [
+        c for leg in legislatures for mine in [F.col("legislatura") == leg]
+        for c in (F.count_if(mine).alias(leg), records(mine).cast("bigint").alias(f"{leg} records"))
+    ]
     out = df.observe(counted, F.count(F.lit(1)).alias("_all"), *counts)
     # A slice that wasn't asked for is never replaced: rows of other legislatures are left out, and told of.
     if legislatures:
@@ -59,7 +64,7 @@ def write_dataset(
     for leg, n in rows.items():
         if n == 0:
             _parquet(df.drop("legislatura").limit(0)).parquet(f"{path}/legislatura={leg}")
-    return rows
+    return {leg: counted.get[f"{leg} records"] for leg in legislatures}
 
 
 def _parquet(df: DataFrame):

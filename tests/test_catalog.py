@@ -2,11 +2,13 @@
 
 import os
 import re
+from functools import partial
 
 import pytest
 
 from compare import difference, oracle
-from hemiciclo.catalog import EXPECTED, QUERIES
+from hemiciclo import fixtures
+from hemiciclo.catalog import EXPECTED, QUERIES, workspace
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -21,6 +23,22 @@ def test_equals_expected(spark, con, name):
     assert difference(name, spark, con, SF_DIR, QUERIES, EXPECTED) is None
 
 
+@pytest.fixture(scope="module")
+def cut_small():
+    """Initiatives of more than two events come in parts, base data in documents of few rows."""
+    patch = pytest.MonkeyPatch()
+    patch.setattr(workspace, "write_bronze", partial(fixtures.write_bronze, max_events=2))
+    patch.setattr(fixtures, "ROWS_PER_DOCUMENT", 7)
+    patch.setattr(workspace, "_built", {})
+    yield
+    patch.undo()
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_equals_expected_however_records_are_cut(spark, con, cut_small, name):
+    assert difference(name, spark, con, SF_DIR, QUERIES, EXPECTED) is None
+
+
 def test_every_query_has_expected_rows():
     assert QUERIES.keys() == EXPECTED.keys()
 

@@ -171,7 +171,7 @@ def test_checks_find_faults(spark, w):
     codes = [(str(c), c, t) for c, t in TOPIC_LABELS.items()] + [("x", 11, "Saúde"), ("y", 3, ""), ("z", 3, "Energia"), ("n", None, None)]
     coded = spark.createDataFrame(codes, "ini_id string, cap int, cap_label string")
     assert sorted(r.ini_id for r in quality.bad_topics(coded).collect()) == ["n", "x", "y", "z"]
-    assert quality.wrong_counts(w.table("partidos"), {"L13": 6, "L99": 1}).collect() == [("L99", 0, 1)]
+    assert quality.wrong_counts(w.table("partidos"), {"L13": 2, "L99": 1}).collect() == [("L99", 0, 1)]
     more = w.table("cap").unionAll(w.table("cap")).unionAll(w.table("cap"))
     assert quality.over_classified(more, w.table("iniciativas")).count() == 5
     listing = votes.list_votes(w.table("votacoes"), limit=20)
