@@ -158,6 +158,15 @@ def test_csv_types_are_enforced(spark, tmp_path):
         readers.read_topics(spark, str(tmp_path / "cap_l17.csv")).collect()
 
 
+def test_children_of_a_table_from_before(spark, bronze, tmp_path):
+    root = str(tmp_path / "silver")
+    silver.run_all(spark, str(bronze), root, LEGS, ["iniciativas"])
+    again = silver.run_all(spark, str(bronze), root, [*LEGS, "L18"], ["votacoes"])
+    assert {(r.legislatura, r.status, r.rows) for r in again.collect()} == {
+        ("L16", "ok", 2), ("L17", "ok", 0), ("L18", "skipped", None),
+    }
+
+
 def test_document_check(spark, bronze):
     (bronze / "iniciativas_l15.json").write_text('{"IniId": "1"}')
     (bronze / "info_base_l15.json").write_text('{"Deputados": []}')
