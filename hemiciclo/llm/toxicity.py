@@ -8,7 +8,11 @@ weights of its matches but for those inside an exception phrase; its sum and its
 become a probability by a logistic curve fitted to the same rows.
 
 The classifier is fitted on a bounded sample: of each label the MAX_TOXIC or MAX_CLEAN rows whose ids
-have the smallest hashes, MAX_CANDIDATES terms at most and a lexicon of at most MAX_TERMS.
+have the smallest hashes, MAX_CANDIDATES terms at most and a lexicon of at most MAX_TERMS. The two labels
+may so be sampled at different rates. Where the share of toxic texts counts (the curve, MIN_PRECISION) a row
+stands for all the labels of its kind by total / sampled. The likelihood-ratio test and the log odds compare
+a term's rates within the labels, which sampling leaves as they are, so they take the rows as they were seen;
+weights there would pass off a few rows as many.
 
 Edge cases: null and empty texts have no match and get the curve's value at zero; without labelled rows
 of both kinds no term is known and every text gets the share of toxic labels (0 without labels); several
@@ -106,12 +110,17 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, x)))), n
 
 
-def sampled(labels: DataFrame) -> DataFrame:
-    """Ids and labels that the lexicon may learn from: not of the fifth whose id's CRC-32 divides by 5."""
+def sampled(labels: DataFrame) -> tuple[DataFrame, dict[bool, float]]:
+    """Ids and labels that the lexicon may learn from, and how many labels of its kind one of them stands for.
+
+    Not of the fifth whose id's CRC-32 divides by 5."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    labels = settled(labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    limits = {True: MAX_TOXIC, False: MAX_CLEAN}
+    weights = {r.toxic: max(1.0, r.n / limits[r.toxic]) for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return labels.where("toxic").orderBy(*order).limit(MAX_TOXIC).unionAll(labels.where("not toxic").orderBy(*order).limit(MAX_CLEAN))
+    ids = labels.where("toxic").orderBy(*order).limit(MAX_TOXIC).unionAll(labels.where("not toxic").orderBy(*order).limit(MAX_CLEAN))
+    return ids, weights
 
 
 def counted(texts: DataFrame, candidates: frozenset | None = None) -> DataFrame:
@@ -126,7 +135,8 @@ def counted(texts: DataFrame, candidates: frozenset | None = None) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    ids = settled(sampled(labels))
+    ids, stands_for = sampled(labels)
+    ids = settled(ids)
     rows = settled(of_ids(docs.select("doc_id", "text"), ids.select("doc_id"), "doc_id").join(F.broadcast(ids), "doc_id").select("text", "toxic"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
@@ -135,16 +145,18 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     common = counted(rows.where("toxic")).where("n >= 3").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
     toxic = {r.term: r.n for r in common.collect()}
     clean = {r.term: r.n for r in counted(rows.where("not toxic"), frozenset(toxic)).collect()}
-    weights = chosen(toxic, clean, n_toxic, n_clean)
+    weights = chosen(toxic, clean, n_toxic, n_clean, stands_for[True], stands_for[False])
     lexicon = Lexicon(weights, exceptions=exceptions)
     raws = with_struct(rows, "text", lambda texts: [dict(zip(("total", "n_words"), lexicon.raw(t)[::2], strict=True)) for t in texts], "r", "total double, n_words bigint")
     points = raws.select("r.total", "r.n_words", F.col("toxic").cast("double")).toPandas().to_numpy(float)
-    lexicon.curve = fitted(points)
+    lexicon.curve = fitted(points, np.where(points[:, 2] > 0, stands_for[True], stands_for[False]))
     return lexicon
 
 
-def chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms that speak for a toxic text, the strongest first; a term that a chosen one begins, or is begun by, is left out."""
+def chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, of_toxic: float = 1.0, of_clean: float = 1.0) -> dict[str, float]:
+    """Terms that speak for a toxic text, the strongest first; a term that a chosen one begins, or is begun by, is left out.
+
+    A toxic row stands for ``of_toxic`` rows, a clean one for ``of_clean``."""
     bar, base = 2 * math.log(max(2, len(toxic))), n_toxic / (n_toxic + n_clean)
 
     def gain(t, c):
@@ -163,22 +175,23 @@ def chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         if term in begun or starts & weights.keys():
             continue
         t, c = toxic[term], clean.get(term, 0)
-        if t < MIN_PRECISION * (t + c):
+        if t * of_toxic < MIN_PRECISION * (t * of_toxic + c * of_clean):
             continue
         weights[term] = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
         begun |= starts
     return weights
 
 
-def fitted(points: np.ndarray, penalty: float = 1e-3) -> tuple[float, float, float]:
-    """Logistic curve over the sum and the sum a thousand words, by Newton's method with a small ridge."""
+def fitted(points: np.ndarray, weights: np.ndarray, penalty: float = 1e-3) -> tuple[float, float, float]:
+    """Logistic curve over the sum and the sum a thousand words of weighted rows, by Newton's method with a small ridge."""
     total, n_words, y = points.T
+    weights = weights / weights.mean()
     x = np.stack([np.ones_like(y), np.log1p(total), np.log1p(1000 * total / np.maximum(n_words, 1))], 1)
     w = np.zeros(3)
     ridge = np.diag([1e-6, penalty, penalty]) * len(y)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weights * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

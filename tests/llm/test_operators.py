@@ -232,6 +232,28 @@ def test_toxicity_held_out(spark):
     assert all(0 <= x.score <= 1 for x in out) and len(out) == 1502
 
 
+def test_toxicity_of_labels_sampled_at_two_rates(spark, monkeypatch):
+    """A cut sample of the clean labels gives about the lexicon and the scores of all labels."""
+    r, rows, known = random.Random(4), [], []
+    for i in range(6000):
+        toxic = i % 10 == 0
+        words = prose(i, 30).split()
+        for word, in_toxic, in_clean in (("mudface", 0.5, 0.01), ("amberish", 0.4, 0.1)):  # right in 85% and in 31%
+            if r.random() < (in_toxic if toxic else in_clean):
+                words[r.randrange(30)] = word
+        rows.append((i, " ".join(words)))
+        known.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    whole = toxicity.learn(docs, labels)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 900)
+    cut = toxicity.learn(docs, labels)
+    assert set(cut.weights) == set(whole.weights) and not any(w.startswith("amb") for w in cut.weights)
+    scores = np.array([[x.score(t)[0] for x in (whole, cut)] for _, t in rows])
+    assert abs(scores[:, 0] - scores[:, 1]).max() < 0.1
+    assert abs(scores[:, 1].mean() - 0.1) < 0.02
+
+
 def test_toxicity_odd_rows(odd, empty, labels):
     assert {r.score < 0.5 for r in toxicity.report(odd, labels).collect()} == {True}
     assert toxicity.report(empty, labels).count() == 0
