@@ -216,6 +216,26 @@ def test_licenses_near_phrases_and_pieces(spark, monkeypatch):
     assert got == {1: "mit", 2: "cc-by,cc-by-nc", 3: "", 4: "reserved"}
 
 
+def test_licenses_of_edited_sentences(spark):
+    """Sentences with as many words lost or replaced as are allowed: the same labels as if every diagonal were verified."""
+    r, rows = random.Random(7), []
+    sentences = [words for words, _, base in licenses.PHRASES if not base]
+    for sentence in sentences * 25:
+        words = [w.decode() for w in sentence]
+        spare = next(n for n in range(len(words), -1, -1) if (len(words) - n) / len(words) >= licenses.MIN_SHARE)
+        for at in sorted(r.sample(range(len(words)), spare), reverse=True):
+            words[at:at + 1] = r.choice([[], [], ["other"]])
+        rows.append((len(rows), f"{prose(len(rows), r.randrange(4))} {' '.join(words)} {prose(-len(rows) - 1, 9)}"))
+    long = max(sentences, key=len)
+    lost = [w.decode() for i, w in enumerate(long) if i % 4 != 3]
+    assert len(lost) / len(long) >= licenses.MIN_SHARE
+    rows.append((len(rows), "x y " + " ".join(lost) + " z"))
+    got = {x.doc_id: x.labels for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    everywhere = lambda text: [{"phrase": p, "diagonals": list(range(-30, len(text.split())))} for p in range(len(licenses.PHRASES))]
+    assert got == {i: licenses.verified(t, everywhere(t))["labels"] for i, t in rows}
+    assert all(got.values())
+
+
 def test_toxicity_held_out(spark):
     r, rows, known = random.Random(3), [], []
     for i in range(1500):
