@@ -1,7 +1,8 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is cut into leaf blocks: runs of text between block-level tags, each with its open ancestors. What
-browsers don't show (head, scripts, styles, templates, comments of the markup) makes no block. A block's
+browsers don't show (head, scripts, styles, templates, comments of the markup) makes no block; formulas and
+drawings are text inside a block, but for their titles, descriptions and annotations. A block's
 features are its ancestors' tags, the words of their class, id and role, and its text's shape. A chain with
 two labels, main text or not, is trained on labelled pages by maximum likelihood and decoded by Viterbi.
 
@@ -30,7 +31,10 @@ from hemiciclo.llm.common import with_struct
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul button textarea".split())
-HIDDEN = frozenset("head script style template noscript title iframe object svg math audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas".split())
+#: Inline elements with a markup of their own, whose tags may close themselves, and the parts that aren't shown.
+FOREIGN = frozenset(("math", "svg"))
+UNSHOWN = frozenset("annotation annotation-xml desc metadata".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>|[^>]*>|[^>]*\Z)|[!?][^>]*(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -79,6 +83,10 @@ def blocks(page: str | None) -> list[Block]:
         links -= sum(t == "a" for t, _ in stack[to:])
         del stack[to:]
 
+    def foreign() -> bool:
+        """Whether what is open is part of a formula or drawing."""
+        return next((t in FOREIGN for t, _ in reversed(stack) if t in BLOCKS or t in FOREIGN), False)
+
     while True:
         m = _TAG.search(page, at)
         text = page[at:m.start() if m else len(page)]
@@ -93,6 +101,8 @@ def blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if name == "text" and foreign():
+            parts.append(" ")  # texts of a drawing stand apart
         if m[1]:
             if name in BLOCKS:
                 close()
@@ -106,11 +116,12 @@ def blocks(page: str | None) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        if name in HIDDEN:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at) if not m[3].rstrip(">").endswith("/") or name not in ("svg", "math") else None
+        empty = name in EMPTY or (m[3].rstrip(">").endswith("/") and (name in FOREIGN or foreign()))
+        if name in HIDDEN or (name in UNSHOWN and foreign()):
+            end = None if empty else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             if end is not None:
                 at = end.end()
-            elif name not in ("svg", "math"):
+            elif not empty:
                 at = len(page) if name in ("script", "style", "template") else at
             continue
         if name in BLOCKS:
@@ -129,7 +140,7 @@ def blocks(page: str | None) -> list[Block]:
                         break
                     if stack[i][0] in _SAME[name]:
                         break
-        if name not in EMPTY:
+        if not empty:
             stack.append((name, _named(m[3])))
             links += name == "a"
 

@@ -349,6 +349,13 @@ def test_html(spark):
     assert out[6].text == "A sentence deep inside, and one more." and out[7].text == ""
 
 
+def test_html_formulas_and_drawings_are_text():
+    page = ("<p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><mspace/></mrow><annotation encoding='x'>tex</annotation></semantics></math> here.</p>"
+            "<p>A plot <svg viewBox='0'><title/><desc>hidden</desc><g><path d='M0'/><text>high</text><text>low</text></g></svg>of it.<p><svg/>Next <math>x<p>last <desc>shown</desc></p>")
+    assert [(b.text, b.tags) for b in html.blocks(page)][:2] == [("Energy is E=m here.", ("p",)), ("A plot high low of it.", ("p",))]
+    assert [b.text for b in html.blocks(page)][2:] == ["Next x", "last shown"]
+
+
 def test_html_of_given_pages(spark):
     import html as entities
     import re
