@@ -22,7 +22,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hemiciclo.llm.common import free_name, of_ids, with_struct
@@ -104,9 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_rejected:
     rows = of_ids(docs.select("doc_id", "text", F.col(stratum).alias("stratum")), good.select("doc_id"), "doc_id")
     labelled = with_features(rows, "f").join(good, "doc_id")
     labelled = settled(labelled.select("good", "stratum", (F.crc32(F.col("doc_id").cast("string")) % 2).alias("part"), *[F.col(f"f.{r}").alias(r) for r in RULES], (~F.col("f.base_failed")).alias("stays")).where("stays"))
-    wanted = [1 - level for level in LADDER]
-    found = labelled.where("good and part = 0").agg(*[F.percentile(F.col(r), F.array(*map(F.lit, wanted))).alias(r) for r in RULES]).first()
-    if found[0] is None:
+    found = percentiles(labelled.where("good and part = 0"), RULES, [1 - level for level in LADDER])
+    if found is None:
         return Cutoffs((), labelled.sparkSession.createDataFrame([], "stratum string, level int"))
     by_level = tuple(tuple(found[r][i] for r in RULES) for i in range(len(LADDER)))
     counts = labelled.where("good and part = 1").groupBy("stratum").agg(
@@ -131,6 +130,46 @@ def fit(docs: DataFrame, labels: DataFrame, stratum: str = "lang", max_rejected:
     return Cutoffs(by_level, counts.mapInPandas(walk, "stratum string, level int").where("level >= 0"))
 
 
+def by_value(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """How often each value of each column occurs, in ranges of (column, value): name, value, n, range."""
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
+    counts = df.select(named.alias("v")).select("v.*").where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    return settled(counts.repartitionByRange("name", "value").withColumn("range", F.spark_partition_id()))
+
+
+def percentiles(df: DataFrame, columns: tuple[str, ...], shares: list[float]) -> dict[str, list[float]] | None:
+    """The exact percentiles of columns, as F.percentile gives them; None without rows.
+
+    F.percentile holds all values of a column in one task. Here ranges of values are counted, and only the
+    ranges with a wanted rank are looked into.
+    """
+    counts = by_value(df, columns)
+    sizes = counts.groupBy("name", "range").agg(F.sum("n").alias("n"), F.min("value").alias("low")).collect()
+    if not sizes:
+        return None
+    total, wanted = {}, []
+    for c in columns:
+        ranges = sorted((r for r in sizes if r.name == c), key=lambda r: r.low)
+        total[c] = sum(r.n for r in ranges)
+        places = [(total[c] - 1) * share for share in shares]
+        before = 0
+        for r in ranges:
+            wanted += [(c, r.range, rank, rank - before) for rank in {f(x) for x in places for f in (math.floor, math.ceil)} if before <= rank < before + r.n]
+            before += r.n
+    ranks = F.broadcast(df.sparkSession.createDataFrame(wanted, "name string, range int, rank bigint, at bigint"))
+    running = counts.join(ranks.select("name", "range"), ["name", "range"], "left_semi").withColumn("upto", F.sum("n").over(Window.partitionBy("name", "range").orderBy("value")))
+    found = running.join(ranks, ["name", "range"]).where("at < upto and at >= upto - n").select("name", "rank", "value").collect()
+    at = {(r.name, r.rank): r.value for r in found}
+
+    def value(c, share):
+        place = (total[c] - 1) * share
+        low, high = math.floor(place), math.ceil(place)
+        a, b = at[c, low], at[c, high]
+        return a if a == b else (high - place) * a + (place - low) * b
+
+    return {c: [value(c, share) for share in shares] for c in columns}
+
+
 def exceeds(cuts, of: str = ""):
     """Whether any rule's feature lies beyond its cutoff."""
     test = F.lit(False)

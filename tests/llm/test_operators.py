@@ -114,6 +114,25 @@ def test_quality_cutoffs_reject_bad_and_spare_good(spark):
     assert quality.judge(docs, few, "q").where("q.kept").count() == 3000  # too few to be sure of anything
 
 
+def test_quality_percentiles_without_a_task_of_all_values(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    df = spark.createDataFrame([(r.random(), r.choice([0.0, 0.0, 0.5, r.random()]), float(i < 3)) for i in range(3001)], "a double, b double, c double")
+    shares = [1 - level for level in quality.LADDER] + [0.0, 0.37, 0.5]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part in (df, df.limit(1), df.limit(10)):
+            wanted = part.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in "abc"]).first()
+            assert quality.percentiles(part, tuple("abc"), shares) == wanted.asDict()
+        sizes = [x["count"] for x in quality.by_value(df, tuple("abc")).groupBy("range").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < sum(sizes) / 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert quality.percentiles(df.limit(0), tuple("abc"), shares) is None
+
+
 def test_binomial_tail():
     assert quality.binomial_tail(0, 10, 0.5) == pytest.approx(0.5**10)
     assert quality.binomial_tail(10, 10, 0.3) == pytest.approx(1)
