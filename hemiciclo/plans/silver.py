@@ -162,8 +162,8 @@ JOBS: dict[str, Job] = {
 
 def run_job(
     spark: SparkSession, name: str, bronze: str, silver: str, legislatures: Sequence[str], multiline: bool = True
-) -> dict[str, int]:
-    """Write one dataset for these legislatures in one job; gives their row counts."""
+) -> dict[str | None, int]:
+    """Write one dataset for these legislatures in one job; gives their row counts, under None that of the strays."""
     job = JOBS[name]
     if job.parent:
         source = spark.read.schema(SILVER[job.parent]).parquet(f"{silver}/{job.parent}")
@@ -171,7 +171,8 @@ def run_job(
     else:
         paths = [p for leg in legislatures if (p := bronze_path(spark, bronze, name, leg))]
         source = read_topics(spark, paths) if name == "cap" else read_documents(spark, name, paths, multiline)
-    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()), job.records)
+    strays = f"{silver}/strays/{name}/asked={'-'.join(sorted(legislatures))}"
+    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()), job.records, strays)
 
 
 def run_all(
@@ -182,10 +183,12 @@ def run_all(
 
     Each dataset is one job over all legislatures. If it fails it runs again a legislature at a
     time, so that only the bad ones fail; what depends on them is skipped. Status: ok, failed,
-    missing (no such optional document), skipped (its input isn't there).
+    missing (no such optional document), skipped (its input isn't there). A dataset with rows of
+    legislatures that weren't asked for has one more row, without a legislature and with the status
+    diverted: so many rows lie in ``strays/<dataset>/asked=<legislatures>`` instead.
     """
-    status: dict[tuple[str, str], str] = {}
-    counts: dict[tuple[str, str], int] = {}
+    status: dict[tuple[str, str | None], str] = {}
+    counts: dict[tuple[str, str | None], int] = {}
     for name in [n for n in JOBS if n in include]:
         job = JOBS[name]
         ready = []
@@ -208,14 +211,17 @@ def run_all(
             if done is None and len(batch) > 1:
                 done = {}
                 for leg in batch:
-                    done |= _attempt(spark, name, bronze, silver, [leg], multiline) or {}
+                    one = _attempt(spark, name, bronze, silver, [leg], multiline) or {}
+                    done |= {k: n + done.get(k, 0) for k, n in one.items()}
             for leg in batch:
                 status[name, leg] = "ok" if leg in (done or {}) else "failed"
+            if None in (done or {}):
+                status[name, None] = "diverted"
             counts |= {(name, leg): n for leg, n in (done or {}).items()}
     return _report(spark, bronze, silver, status, counts)
 
 
-def _attempt(spark, name, bronze, silver, legislatures, multiline) -> dict[str, int] | None:
+def _attempt(spark, name, bronze, silver, legislatures, multiline) -> dict[str | None, int] | None:
     try:
         return run_job(spark, name, bronze, silver, legislatures, multiline)
     except Exception as e:  # a failed dataset must not stop the others

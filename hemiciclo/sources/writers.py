@@ -9,6 +9,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from hemiciclo.sources.readers import path_exists
+
 ROW_GROUP_ROWS = 100_000  # Fixed value.
 MAX_ROWS_PER_FILE = 5_000_000
 INPUT_BYTES_PER_TASK = 64 * 2**20  # compressed; several times that once exploded and sorted
@@ -36,13 +38,14 @@ def cluster(df: DataFrame, order: Sequence[Column], task_bytes: int = INPUT_BYTE
 
 def write_dataset(
     df: DataFrame, path: str, legislatures: Sequence[str] = (), lookup: Sequence[str] = (),
-    records: Callable[[Column], Column] = F.count_if,
-) -> dict[str, int]:
+    records: Callable[[Column], Column] = F.count_if, strays: str | None = None,
+) -> dict[str | None, int]:
     """Write ``df`` by legislature, replacing the slices it holds and no others.
 
     Gives the records of each named legislature, counted while writing: its rows, or what ``records``
     makes of the condition that a row is of it. A named one without rows
-    becomes an empty slice. ``lookup`` columns get Bloom filters: a point lookup then skips the row
+    becomes an empty slice. Rows of other legislatures are written to the folder ``strays``, in place of those
+    of the last such run, and counted under None if there are any. ``lookup`` columns get Bloom filters: a point lookup then skips the row
     groups that don't hold its key.
     """
     counted = Observation()
@@ -51,20 +54,25 @@ def write_dataset(
         for c in (F.count_if(mine).alias(leg), records(mine).cast("bigint").alias(f"{leg} records"))
     ]
     out = df.observe(counted, F.count(F.lit(1)).alias("_all"), *counts)
-    # A slice that wasn't asked for is never replaced: rows of other legislatures are left out, and told of.
+    # A slice that wasn't asked for is never replaced: rows of other legislatures go elsewhere, and are told of.
+    asked = F.coalesce(F.col("legislatura").isin(list(legislatures)), F.lit(False))
     if legislatures:
-        out = out.where(F.col("legislatura").isin(list(legislatures)))
+        out = out.where(asked)
     writer = _parquet(out).option("parquet.bloom.filter.adaptive.enabled", True)
     for column in lookup:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("legislatura").parquet(path)
     rows = {leg: counted.get[leg] for leg in legislatures}
-    if legislatures and (others := counted.get["_all"] - sum(rows.values())):
+    others = counted.get["_all"] - sum(rows.values()) if legislatures else 0
+    if others:
         warnings.warn(f"{others} rows of legislatures other than {', '.join(legislatures)} aren't written to {path}", stacklevel=2)
+    if strays and (others or path_exists(df.sparkSession, strays)):
+        _parquet(df.where(~asked) if others else df.limit(0)).parquet(strays)
     for leg, n in rows.items():
         if n == 0:
             _parquet(df.drop("legislatura").limit(0)).parquet(f"{path}/legislatura={leg}")
-    return {leg: counted.get[f"{leg} records"] for leg in legislatures}
+    diverted = {None: others} if strays and others else {}
+    return {leg: counted.get[f"{leg} records"] for leg in legislatures} | diverted
 
 
 def _parquet(df: DataFrame):

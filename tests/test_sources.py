@@ -311,6 +311,22 @@ def test_rows_of_other_legislatures_leave_their_slices_alone(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
+def test_rows_of_other_legislatures_are_kept_apart_and_reported(spark, bronze, tmp_path):
+    root, head = str(tmp_path / "silver"), "ini_id,legislatura,cap,cap_label,model_version\n"
+
+    def run():
+        report = silver.run_all(spark, str(bronze), root, ["L17"], ["cap"]).collect()
+        strays = [r.ini_id for r in spark.read.parquet(f"{root}/strays/cap/asked=L17").collect()]
+        return {(r.dataset, r.legislatura, r.status, r.rows) for r in report}, sorted(strays)
+
+    (bronze / "cap_l17.csv").write_text(head + "5,L17,7,Ambiente,m1\n6,L16,7,Ambiente,m1\n7,,7,Ambiente,m1\n")
+    with pytest.warns(UserWarning, match="2 rows"):
+        assert run() == ({("cap", "L17", "ok", 1), ("cap", None, "diverted", 2)}, ["6", "7"])
+    (bronze / "cap_l17.csv").write_text(head + "5,L17,7,Ambiente,m1\n")
+    assert run() == ({("cap", "L17", "ok", 1)}, [])
+    assert [r.ini_id for r in readers.read_dataset(spark, root, "cap").collect()] == ["5"]
+
+
 def test_codes_with_a_line_end_are_refused(spark):
     from hemiciclo.operators.predicates import LEGISLATURE_PATTERN, legislature_code, normalize_codes
 
