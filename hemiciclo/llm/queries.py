@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hemiciclo.llm import chat, decontamination, html, licenses, near_dedup, quality, segmentation, sharding, suffix_dedup, toxicity
+from hemiciclo.llm import chat, decontamination, embedding_dedup, html, licenses, near_dedup, quality, segmentation, sharding, suffix_dedup, toxicity
 from hemiciclo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.report(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
