@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hemiciclo.llm import chat, decontamination, embedding_dedup, html, licenses, near_dedup, prefix_trie, quality, segmentation, sharding, suffix_dedup, toxicity
+from hemiciclo.llm import chat, decontamination, embedding_dedup, html, licenses, near_dedup, prefix_trie, quality, segmentation, sharding, suffix_dedup, token_alignment, toxicity
 from hemiciclo.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,11 @@ def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.report(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op13_token_alignment(spark, sf_dir):
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -108,7 +108,8 @@ def vectors(rows, cosine=0.95):
     units = []
     for _, v in rows:
         x = np.array([np.nan if c is None else c for c in v or []], float)
-        units.append(x / np.linalg.norm(x) if len(x) and np.isfinite(x).all() and x.any() else None)
+        some = len(x) and np.isfinite(x).all() and x.any()
+        units.append(x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) if some else None)
     n = len(rows)
     near = [[i != j and units[i] is not None and units[j] is not None and len(units[i]) == len(units[j]) and units[i] @ units[j] >= cosine for j in range(n)] for i in range(n)]
     out = []
