@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -63,6 +64,20 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean() -> None:
+    """Give what this worker has freed back to the machine, from now on large blocks as soon as they are freed.
+
+    Workers serve one stage after the other, and the C library would keep each stage's peak.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has its own ways
+        pass
+
+
 def with_struct(df: DataFrame, columns: str | list[str], function: Callable[..., list], name: str, kind: str) -> DataFrame:
     """``df`` with one more column ``name`` of the struct type ``kind``, made from ``columns`` of a batch.
 

@@ -16,11 +16,15 @@ time, and only those that can matter are ever moved:
    but in the document with the group's smallest id.
 3. Each document adds up its covered windows.
 
-Bounds: a task of step 1 holds one bucket (a share of the anchors, chosen by the number of shuffle partitions),
-and a document's or a task's repeated contexts are combined before they move. Step 2 sorts BLOCK rows
-at a time; anchor strings with very many contexts are split by the bytes beside the anchor. Texts move twice
+Bounds: a task of step 1 holds one bucket, the anchors of some BUCKET_BYTES of texts on average, and a document's
+or a task's repeated contexts are combined before they move. Step 2 sorts BLOCK rows at a time, or one group if that
+is larger: anchor strings with very many contexts are split by the bytes beside the anchor, but the contexts at the
+edge of a passage that many documents share stay one group, which grows with those documents. Texts move twice
 (to meet their marks); each step's result is written to the shared folder.
 
+Chances: strings meet by 40 bits of an anchor's hash and 48 of its context's, so two different ones are taken for
+equal with a chance of 2 ** -88 a pair; in a document a context is found again by the 48 bits alone.
+
 Edge cases: a null or empty text has no bytes; texts shorter than SPAN bytes lose nothing; rows with one
 id don't cover each other; a null id counts as larger than all others; an empty table gives no rows.
 """
@@ -41,14 +45,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hemiciclo.llm.common import ROWS_PER_BATCH, free_name, schema_of, small_batches
+from hemiciclo.llm.common import ROWS_PER_BATCH, free_name, lean, schema_of, small_batches
 from hemiciclo.sources.shared import settled
+from hemiciclo.sources.writers import input_bytes
 
 SPAN, GRAM = 50, 20
 WINDOWS = SPAN - GRAM + 1  # places of an anchor in a window
 COVER, PERIOD, RANKED = (0, 1, 3), 7, 24
 #: Bytes that are hashed together, anchors that a task combines, rows that are sorted together.
-PIECE, ANCHORS, BLOCK = 1 << 19, 1_000_000, 50_000
+PIECE, ANCHORS, BLOCK = 1 << 19, 250_000, 50_000
+#: Stored bytes of texts whose anchors make up a bucket.
+BUCKET_BYTES = 8 << 20
 #: An anchor string with more contexts than this is split by the bytes before or after it.
 MANY = 4_096
 LAST_ID = 2**63 - 1
@@ -185,11 +192,12 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, size = [], 0
 
         def flush():
             gram, mark, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
+            held.clear()  # before the sorted copies are made
             order = np.lexsort((ids, mark, gram))
             gram, mark, ids = gram[order], mark[order], ids[order]
             head = _heads(gram, mark)
@@ -232,7 +240,8 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """By document its contexts that are covered, open, or open with very many others: id, kind, marks."""
-    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(usual, -(-input_bytes(docs) // BUCKET_BYTES))
     kind = schema_of("id bigint, kind int, marks array<bigint>")
     arrow = to_arrow_schema(kind)
 
@@ -259,6 +268,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 _lists(np.diff(np.append(head, len(rows))), mark[rows], arrow.field(2).type)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         now, blobs = None, []
         for batch in batches:
             known = batch.filter(pa.compute.is_null(batch.column(1)))
@@ -305,6 +315,7 @@ def open_contexts(docs: DataFrame, marks: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                 ids, texts, plain, split = (c.to_pylist() for c in batch.slice(start, ROWS_PER_BATCH).columns)
@@ -395,6 +406,7 @@ def resolved(contexts: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, size = [], 0
 
         def sort(rows: pa.Table):
@@ -485,6 +497,7 @@ def _meet(docs: DataFrame, columns: list[str], function, kind: str) -> DataFrame
     struct = to_arrow_schema(T.StructType([T.StructField(made, fields)])).field(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(start, ROWS_PER_BATCH)
