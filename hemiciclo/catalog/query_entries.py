@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from hemiciclo.catalog import flat
 from hemiciclo.catalog.registry import big, entry, joined
 from hemiciclo.plans import (
     activities, initiatives, inventory, legislatures, people, statistics, topics, votes,
@@ -49,7 +50,8 @@ def _(w):
 
 
 @entry("q1_initiatives_by_author", """
-    WITH hit AS (SELECT * FROM ini WHERE autor_tipo = 'Grupos Parlamentares' AND dep_id = '77')
+    WITH hit AS (SELECT * FROM ini WHERE autor_tipo = 'Grupos Parlamentares'
+      AND o_orderkey IN (SELECT o_orderkey FROM signer WHERE dep_id = '77'))
     SELECT ini_id, ini_nr, legislatura, ini_tipo, ini_desc_tipo, ini_titulo, autor_gp, (SELECT count(*) FROM hit) AS total
     FROM hit LEFT JOIN authors ON authors.o_orderkey = hit.o_orderkey
     ORDER BY ini_data DESC NULLS LAST, ini_id DESC LIMIT 50""")
@@ -59,28 +61,22 @@ def _(w):
     ), "autor_gp")
 
 
-@entry("q2_initiative_record", """
-    SELECT ini.ini_id, ini_nr, legislatura, ini_titulo, data_inicio_leg, ini_data, autor_tipo, dep_id, evt_id, fase,
-      data_fase FROM ini LEFT JOIN evt ON l_orderkey = o_orderkey WHERE ini_id = '77'""")
+@entry("q2_initiative_record", f"{flat.INITIATIVE_RECORD_SQL} WHERE ini_id = '77'")
 def _(w):
-    """The nested record of one id, its events laid out."""
-    return initiatives.initiative(w.table("iniciativas"), "77").select(
-        "ini_id", "ini_nr", LEG, "ini_titulo", "data_inicio_leg", "ini_data",
-        F.col("ini_autor_outros.nome").alias("autor_tipo"),
-        F.get("ini_autor_deputados.idCadastro", F.lit(0)).alias("dep_id"), F.explode_outer("ini_eventos").alias("e"),
-    ).select("*", F.col("e.EvtId").alias("evt_id"), F.col("e.Fase").alias("fase"), F.col("e.DataFase").alias("data_fase")).drop("e")
+    """The nested record of one id, every field of it, its events and their votes laid out."""
+    return flat.initiative_record(initiatives.initiative(w.table("iniciativas"), "77"))
 
 
-@entry("q3_initiative_events", """
-    WITH hit AS (SELECT * FROM evt JOIN ini ON l_orderkey = o_orderkey WHERE ini_id = '77'
-      AND data_fase >= DATE '1995-06-01' AND data_fase <= DATE '2001-06-01')
-    SELECT ini_id, ini_nr, legislatura, ini_titulo, ini_tipo, evt_id, fase, data_fase,
-      (SELECT count(*) FROM hit) AS total FROM hit ORDER BY data_fase NULLS LAST, evt_id LIMIT 50""")
+@entry("q3_initiative_events", f"""
+    WITH hit AS (SELECT ini_id, ini_nr, legislatura, ini_titulo, ini_tipo, e.* EXCLUDE (l_orderkey) FROM ini JOIN ({flat.EVENT_SQL}) e
+      ON e.l_orderkey = o_orderkey WHERE ini_id = '77' AND data_fase >= DATE '1995-06-01' AND data_fase <= DATE '2001-06-01')
+    SELECT *, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY data_fase NULLS LAST, evt_id LIMIT 50""")
 def _(w):
+    """All 13 columns of the events, beside those of the initiative."""
     page = initiatives.list_events(
         w.table("iniciativas"), "77", data_desde=date(1995, 6, 1), data_ate=date(2001, 6, 1)
     ).page_with_total()
-    return page.select("ini_id", "ini_nr", LEG, "ini_titulo", "ini_tipo", "evt_id", "fase", "data_fase", "total")
+    return page.select("ini_id", "ini_nr", LEG, "ini_titulo", "ini_tipo", *flat.event_columns(), "total")
 
 
 # --- votes --------------------------------------------------------------------------------------
@@ -116,17 +112,12 @@ def _(w):
     return votes.list_votes(w.table("votacoes"), partido_contra="ch").page_with_total()
 
 
-@entry("q5_vote_record", """
-    SELECT vot_id, ini_id, ini_nr, legislatura, ini_titulo, ini_tipo, fase, data_fase, data, resultado, reuniao,
-      tipo_reuniao, unanime, is_nominal FROM vot WHERE vot_id = (SELECT max(vot_id) FROM vot)""")
+@entry("q5_vote_record", f"{flat.VOTE_SQL} WHERE vot.vot_id = (SELECT max(vot_id) FROM vot)")
 def _(w):
-    """The record of the largest id, whichever that is in the data."""
+    """The whole record of the largest id, whichever that is in the data."""
     table = w.table("votacoes")
     last = table.agg(F.max("vot_id"))
-    return table.where(F.col("vot_id") == last.scalar()).limit(1).select(
-        "vot_id", "ini_id", "ini_nr", LEG, "ini_titulo", "ini_tipo", "fase", "data_fase", "data", "resultado",
-        "reuniao", "tipo_reuniao", "unanime", "is_nominal",
-    )
+    return table.where(F.col("vot_id") == last.scalar()).limit(1).select(*flat.vote_columns())
 
 
 # --- legislatures -------------------------------------------------------------------------------
@@ -154,13 +145,15 @@ def _(w):
     SELECT 'deputado' AS kind, legislatura, nome_completo AS name FROM dep WHERE legislatura = 'L17'
     UNION ALL SELECT 'grupo', legislatura, gp_nome FROM part WHERE legislatura = 'L17'
     UNION ALL SELECT 'circulo', legislatura, cp_des FROM circ WHERE legislatura = 'L17'
-    UNION ALL SELECT 'estado', legislatura, 'described' FROM (SELECT DISTINCT legislatura FROM ini)""")
+    UNION ALL SELECT 'estado', legislatura, 'described' FROM (SELECT DISTINCT legislatura FROM ini)
+    UNION ALL SELECT 'registos', 'L17', '1'""")
 def _(w):
     base = w.table("info_base")
     docs = legislatures.legislature(base, "l17")
     parts = [("deputado", "Deputados.DepNomeCompleto"), ("grupo", "GruposParlamentares.nome"), ("circulo", "CirculosEleitorais.cpDes")]
     status = legislatures.legislature_status(base, w.table("iniciativas"))
     out = status.select(F.lit("estado").alias("kind"), LEG, F.col("status").alias("name"))
+    out = out.unionByName(docs.groupBy(LEG).agg(F.lit("registos").alias("kind"), F.count(F.lit(1)).cast("string").alias("name")))
     for kind, field in parts:
         out = out.unionByName(docs.select(F.lit(kind).alias("kind"), LEG, F.explode(field).alias("name")))
     return out
@@ -201,7 +194,8 @@ _INI = "ini_id, ini_nr, legislatura, ini_tipo, ini_desc_tipo, ini_titulo"
 
 
 @entry("q10_deputy_initiatives", f"""
-    WITH hit AS (SELECT * FROM ini WHERE dep_id = '77' AND legislatura = 'L15')
+    WITH hit AS (SELECT * FROM ini WHERE o_orderkey IN (SELECT o_orderkey FROM signer WHERE dep_id = '77')
+      AND legislatura = 'L15')
     SELECT {_INI}, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY ini_nr DESC, ini_id LIMIT 50""")
 def _(w):
     return people.deputy_initiatives(w.table("deputados"), w.table("iniciativas"), "77.0", "L15").page_with_total()
@@ -265,16 +259,14 @@ _SUPPORT = """
 
 @entry("q18_vote_support", f"{_SUPPORT} GROUP BY pos.legislatura, a.gp, fase, party")
 def _(w):
-    support = statistics.vote_support(w.table("iniciativas"), w.table("votacoes"))
+    support = statistics.vote_support(w.table("votacoes"))
     return statistics.ranked(support, None, "author", "fase", "party")
 
 
 @entry("q18_vote_support_of_party", f"""
     {_SUPPORT} AND a.gp = 'JPP' AND pos.legislatura = 'L17' GROUP BY pos.legislatura, a.gp, fase, party""")
 def _(w):
-    nested = statistics.party_vote_support(
-        w.table("partidos"), w.table("iniciativas"), w.table("votacoes"), "jpp", "l17"
-    )
+    nested = statistics.party_vote_support(w.table("partidos"), w.table("votacoes"), "jpp", "l17")
     return nested.select(LEG, "author", "fase", F.inline("vote_details")).withColumnsRenamed(
         {p: f"{p}_count" for p in statistics.VOTED}
     )
@@ -306,17 +298,12 @@ def _(w):
     return listed(activities.list_activities(w.table("atividades"), limit=500), "ativ_autores_gp")
 
 
-@entry("q20_activity_record", """
-    SELECT ativ_id, legislatura, tipo AS ativ_tipo, desc_tipo AS ativ_desc_tipo, numero AS ativ_numero,
-      assunto AS ativ_assunto, data_entrada, CASE WHEN has_votes THEN 'av-' || event_id END AS vot_id
-    FROM act WHERE ativ_id = (SELECT min(ativ_id) FROM act)""")
+@entry("q20_activity_record", f"{flat.ACTIVITY_SQL} WHERE act.ativ_id = (SELECT min(ativ_id) FROM act)")
 def _(w):
+    """The whole record of the smallest key, all votes of its list included."""
     table = w.table("atividades")
     first = table.agg(F.min("ativ_id")).scalar()
-    return table.where(F.col("ativ_id") == first).limit(1).select(
-        "ativ_id", LEG, "ativ_tipo", "ativ_desc_tipo", "ativ_numero", "ativ_assunto", "data_entrada",
-        F.get("votacao_debate", F.lit(0))["id"].alias("vot_id"),
-    )
+    return table.where(F.col("ativ_id") == first).limit(1).select("ativ_id", LEG, *flat.activity_columns())
 
 
 _AVOT = "vot_id, ativ_id, legislatura, assunto, tipo, data, resultado, has_party_details"
@@ -346,16 +333,11 @@ def _(w):
     ).page_with_total()
 
 
-@entry("q22_activity_vote_record", f"""
-    SELECT {_AVOT}, numero, data_entrada, autores_gp FROM avot LEFT JOIN act_authors ON act_authors.event_id = avot.event_id
-    WHERE vot_id = (SELECT max(vot_id) FROM avot)""")
+@entry("q22_activity_vote_record", f"{flat.ACTIVITY_VOTE_SQL} WHERE avot.vot_id = (SELECT max(vot_id) FROM avot)")
 def _(w):
     table = w.table("atividades_votacoes")
     last = table.agg(F.max("vot_id")).scalar()
-    return table.where(F.col("vot_id") == last).limit(1).select(
-        *activities.VOTE_COLUMNS, "numero", "data_entrada",
-        F.when(F.array_size("autores_gp") > 0, joined("autores_gp")).alias("autores_gp"),
-    )
+    return table.where(F.col("vot_id") == last).limit(1).select(*flat.activity_vote_columns())
 
 
 # --- topics -------------------------------------------------------------------------------------

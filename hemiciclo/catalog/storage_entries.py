@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from hemiciclo.catalog import flat
 from hemiciclo.catalog.registry import big, entry, joined, rows
 from hemiciclo.catalog.workspace import Workspace
 from hemiciclo.fixtures import LEGISLATURES
 from hemiciclo.plans import inventory, silver
 from hemiciclo.plans.initiatives import headers
+from hemiciclo.plans.legislatures import records
 from hemiciclo.plans.silver import JOBS
 from hemiciclo.schemas import PART_FIELD, POSITIONS, SILVER
 from hemiciclo.sources import readers, writers
@@ -184,26 +186,20 @@ def _lists():
 # --- jobs ---------------------------------------------------------------------------------------
 
 
-@entry("t1_initiatives", """
-    SELECT ini_id, ini_nr, legislatura, ini_tipo, ini_desc_tipo, ini_titulo, data_inicio_leg, ini_data,
-      autor_tipo, dep_id, autor_gp, n_events
-    FROM ini LEFT JOIN authors ON authors.o_orderkey = ini.o_orderkey""")
+@entry("t1_initiatives", flat.INITIATIVE_SQL)
 def _(w: Workspace):
-    authors, table = F.col("ini_autor_grupos_parlamentares.GP"), w.table("iniciativas")
+    """All columns of the table, its events counted."""
+    table = w.table("iniciativas")
     sizes = table.groupBy("ini_id").agg(F.sum(F.array_size("ini_eventos.EvtId")).alias("n_events"))
-    return headers(table).join(sizes, "ini_id").select(
-        "ini_id", "ini_nr", "legislatura", "ini_tipo", "ini_desc_tipo", "ini_titulo", "data_inicio_leg", "ini_data",
-        F.col("ini_autor_outros.nome").alias("autor_tipo"),
-        F.get("ini_autor_deputados.idCadastro", F.lit(0)).alias("dep_id"),
-        F.when(F.array_size(authors) > 0, joined(authors)).alias("autor_gp"), "n_events",
-    )
+    return headers(table).select(*flat.initiative_columns(), "ini_data").join(sizes, "ini_id")
 
 
 @entry("t2_info_base", """
     SELECT b.legislatura, sigla, dtini, dtfim, dep_cad_id, nome_completo FROM base b
     JOIN dep ON dep.legislatura = b.legislatura""")
 def _(w: Workspace):
-    return w.table("info_base").select("legislatura", "DetalheLegislatura.*", F.explode("Deputados").alias("d")).select(
+    """From the one nested record of each legislature."""
+    return records(w.table("info_base")).select("legislatura", "DetalheLegislatura.*", F.explode("Deputados").alias("d")).select(
         "legislatura", "sigla", "dtini", "dtfim", F.col("d.DepCadId").alias("dep_cad_id"),
         F.col("d.DepNomeCompleto").alias("nome_completo"),
     )
@@ -253,15 +249,10 @@ def _(w: Workspace):
     return w.table("partidos").select("legislatura", "gp_sigla", "gp_nome")
 
 
-@entry("t7_activities", """
-    SELECT ativ_id, legislatura, assunto AS ativ_assunto, tipo AS ativ_tipo, desc_tipo AS ativ_desc_tipo,
-      numero AS ativ_numero, data_entrada, autores_gp
-    FROM act LEFT JOIN act_authors ON act_authors.event_id = act.event_id""")
+@entry("t7_activities", flat.ACTIVITY_SQL)
 def _(w: Workspace):
-    return w.table("atividades").select(
-        "ativ_id", "legislatura", "ativ_assunto", "ativ_tipo", "ativ_desc_tipo", "ativ_numero", "data_entrada",
-        joined("ativ_autores_gp").alias("autores_gp"),
-    )
+    """All columns of the table, lists and votes as text."""
+    return w.table("atividades").select("ativ_id", "legislatura", *flat.activity_columns())
 
 
 @entry("t8_activity_votes", """

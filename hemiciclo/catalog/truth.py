@@ -26,7 +26,16 @@ VIEWS: dict[str, str] = {
     "evt": f"""
         SELECT *, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS evt_id,
           CASE l_linenumber {_PHASE} END AS fase,
-          CASE WHEN l_suppkey % 11 <> 0 THEN CAST(l_shipdate AS DATE) END AS data_fase
+          CASE WHEN l_suppkey % 11 <> 0 THEN CAST(l_shipdate AS DATE) END AS data_fase,
+          CASE l_suppkey % 10 WHEN 0 THEN 'oev-' || evt_id END AS oev_id,
+          CASE l_suppkey % 10 WHEN 2 THEN CAST(l_linenumber + 100 AS VARCHAR) END AS codigo_fase,
+          CASE l_suppkey % 10 WHEN 3 THEN 'Obs ' || evt_id END AS obs_fase,
+          CASE l_suppkey % 10 WHEN 4 THEN 'Comissão ' || l_suppkey % 12 END AS comissao,
+          CASE l_suppkey % 20 WHEN 5 THEN 'af-' || evt_id || '|anexo' END AS anexos_fase,
+          CASE l_suppkey % 10 WHEN 6 THEN 'https://example.org/fase/' || l_linenumber END AS links_fase,
+          CASE l_suppkey % 10 WHEN 7 THEN CAST(l_partkey AS VARCHAR) END AS act_id,
+          CASE l_suppkey % 20 WHEN 8 THEN 'aj-' || l_linenumber END AS atividades_conjuntas,
+          CASE l_suppkey % 20 WHEN 9 THEN l_partkey || '|' || l_partkey || 'b' END AS iniciativas_conjuntas
         FROM lineitem""",
     "ini": f"""
         SELECT o_orderkey, o_custkey, CAST(o_orderkey AS VARCHAR) AS ini_id,
@@ -38,11 +47,34 @@ VIEWS: dict[str, str] = {
           DATE '1995-01-01' + CAST(365 * (o_orderkey % 5) AS INTEGER) AS data_inicio_leg,
           CASE o_custkey % 10 WHEN 0 THEN 'Governo' WHEN 1 THEN 'Comissões'
             ELSE 'Grupos Parlamentares' END AS autor_tipo,
-          CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS dep_id,
+          CASE o_custkey % 10 WHEN 0 THEN 'G' WHEN 1 THEN 'C' END AS autor_sigla,
+          CASE WHEN o_orderkey % 5 < 4 THEN DATE '1995-01-01' + CAST(365 * (o_orderkey % 5) + 364 AS INTEGER) END AS data_fim_leg,
+          CASE o_orderkey % 10 WHEN 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'XIII' END END AS ini_leg,
+          CASE o_orderkey % 10 WHEN 1 THEN CAST(o_orderkey % 4 + 1 AS VARCHAR) END AS ini_sel,
+          CASE o_orderkey % 10 WHEN 2 THEN 'SIM' END AS ini_texto_subst,
+          CASE o_orderkey % 10 WHEN 3 THEN 'https://example.org/texto/' || o_orderkey END AS ini_link_texto,
+          CASE o_orderkey % 11 WHEN 0 THEN 'Epígrafe ' || o_orderkey END AS ini_epigrafe,
+          CASE o_orderkey % 11 WHEN 1 THEN 'Obs ' || o_orderkey END AS ini_obs,
+          CASE o_orderkey % 11 WHEN 2 THEN 'Campo ' || o_orderkey END AS ini_texto_subst_campo,
+          CASE o_orderkey % 17 WHEN 0 THEN 'COM(' || o_orderkey || ')' END AS iniciativas_europeias,
+          CASE o_orderkey % 17 WHEN 1 THEN '[{{"url":"https://example.org/' || o_orderkey || '"}}]' END AS links,
+          CASE o_orderkey % 17 WHEN 2 THEN 'PA ' || o_orderkey END AS propostas_alteracao,
+          CASE o_orderkey % 13 WHEN 0 THEN 'anexo-' || o_orderkey || '|anexo' END AS ini_anexos,
+          CASE o_orderkey % 13 WHEN 1 THEN CAST(o_orderkey - 1 AS VARCHAR) END AS iniciativas_origem,
+          CASE o_orderkey % 13 WHEN 2 THEN (o_orderkey + 1) || '|' || (o_orderkey + 2) END AS iniciativas_originadas,
+          CASE o_orderkey % 13 WHEN 3 THEN 'P-' || o_orderkey END AS peticoes,
           first_day AS ini_data, COALESCE(n_events, 0) AS n_events
         FROM orders LEFT JOIN (
           SELECT l_orderkey, min(data_fase) AS first_day, count(*) AS n_events FROM evt GROUP BY l_orderkey
         ) e ON l_orderkey = o_orderkey""",
+    "signer": """
+        SELECT o_orderkey, 1 AS k, CAST(o_custkey AS VARCHAR) AS dep_id,
+          CASE WHEN o_custkey % 4 = 0 THEN 'Deputado ' || o_custkey END AS nome FROM orders WHERE o_custkey % 3 <> 0
+        UNION ALL
+        SELECT o_orderkey, 2, CAST(o_custkey + 1 AS VARCHAR), CASE WHEN o_custkey % 4 = 3 THEN 'Deputado ' || (o_custkey + 1) END
+        FROM orders WHERE o_custkey % 9 = 4""",
+    "signers": """
+        SELECT o_orderkey, string_agg(concat_ws(':', dep_id, nome), '|' ORDER BY k) AS autores_deputados FROM signer GROUP BY o_orderkey""",
     "author": """
         SELECT o_orderkey, i, gp FROM orders JOIN gps ON (o_custkey + i) % 4 = 0 WHERE o_custkey % 10 NOT IN (0, 1)
         UNION ALL
@@ -55,9 +87,28 @@ VIEWS: dict[str, str] = {
             ELSE 'Rejeitado' END AS resultado,
           CAST(l_linenumber AS VARCHAR) AS reuniao, 'RP' AS tipo_reuniao,
           CASE WHEN l_suppkey % 7 = 0 THEN 'unanime' END AS unanime,
+          CASE l_suppkey % 10 WHEN 1 THEN 'Requerimento ' || l_linenumber END AS descricao, l_suppkey,
           l_suppkey % 7 <> 0 AND l_quantity >= 48 AS is_nominal, l_suppkey % 7 <> 0 AS parsed,
           l_orderkey AS o_orderkey, l_partkey, l_linenumber, l_quantity
         FROM evt JOIN ini ON l_orderkey = o_orderkey WHERE l_returnflag <> 'N'""",
+    "named": """
+        SELECT r, string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((r + i) % 7 = 0) AS absent,
+          string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((r + i) % 7 <> 0 AND (r + i) % 3 = 0) AS favour,
+          string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((r + i) % 7 <> 0 AND (r + i) % 3 = 1) AS against,
+          string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((r + i) % 7 <> 0 AND (r + i) % 3 = 2) AS abstained
+        FROM gps CROSS JOIN range(21) t(r) GROUP BY r""",
+    "members": """
+        SELECT string_agg('Deputado Exemplo ' || k || ' (PSD)', ', ' ORDER BY k) AS many FROM range(1, 61) t(k)""",
+    "vot_text": """
+        SELECT vot_id, g.gp || '|ZZ' AS ausencias, CASE WHEN parsed THEN concat_ws('<BR>',
+            CASE WHEN l_quantity = 25 THEN 'Contra: <I>ZZ</I>' END,
+            'A Favor: ' || concat_ws(', ', favour, CASE WHEN l_linenumber = 6 AND l_partkey % 2 = 0 THEN 'Membro Exemplo (Ninsc)' END,
+              CASE WHEN l_quantity >= 40 THEN '6-PSD, Maria Exemplo (PS), 12' END, CASE WHEN l_quantity >= 48 THEN many END),
+            'Contra: ' || COALESCE(against, ''), 'Abstenção: ' || COALESCE(abstained, ''),
+            CASE WHEN l_quantity < 10 THEN 'Ausência: ' || COALESCE(absent, '') WHEN l_quantity < 20 THEN 'Ausencia: ' || COALESCE(absent, '') END)
+          WHEN l_partkey % 3 = 0 THEN '   ' END AS detalhe
+        FROM vot JOIN named ON r = l_partkey % 21 CROSS JOIN members
+        LEFT JOIN gps g ON l_suppkey % 12 = 2 AND g.i = l_partkey % 10""",
     "pos": """
         SELECT v.*, gp AS party, CASE WHEN (l_partkey + i) % 7 = 0 THEN 'ausencia'
             WHEN (l_partkey + i) % 3 = 0 THEN 'a_favor' WHEN (l_partkey + i) % 3 = 1 THEN 'contra'
@@ -67,6 +118,11 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT v.*, 'Membro Exemplo (Ninsc)', 'a_favor' FROM vot v
         WHERE parsed AND l_linenumber = 6 AND l_partkey % 2 = 0""",
+    "vot_lists": """
+        SELECT vot_id, string_agg(party, '|' ORDER BY party) FILTER (position = 'a_favor') AS a_favor,
+          string_agg(party, '|' ORDER BY party) FILTER (position = 'contra') AS contra,
+          string_agg(party, '|' ORDER BY party) FILTER (position = 'abstencao') AS abstencao,
+          string_agg(party, '|' ORDER BY party) FILTER (position = 'ausencia') AS ausencia FROM pos GROUP BY vot_id""",
     "ativ": f"""
         SELECT event_id, {_leg('user_id')} AS legislatura, user_id,
           CASE event_type WHEN 'view' THEN 'VOT' WHEN 'click' THEN 'MOC' WHEN 'purchase' THEN 'PRG'
@@ -76,7 +132,14 @@ VIEWS: dict[str, str] = {
           CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS VARCHAR) END AS numero,
           CASE WHEN event_id % 20 <> 11 THEN event_type || ' ' || event_id END AS assunto,
           CASE WHEN event_id % 9 <> 0 THEN CAST(ts AS DATE) END AS data_entrada,
-          value > 10 AS has_votes, CAST(ts AS DATE) AS day
+          value > 10 AS has_votes, CAST(ts AS DATE) AS day,
+          CASE event_id % 10 WHEN 0 THEN CAST(event_id % 4 + 1 AS VARCHAR) END AS sessao,
+          CASE event_id % 10 WHEN 1 THEN CAST(ts AS DATE) + 7 END AS data_agendamento_debate,
+          CASE event_id % 10 WHEN 2 THEN CAST(ts AS DATE) + 1 END AS data_anuncio,
+          CASE user_id % 10 WHEN 3 THEN 'Grupo Parlamentar' END AS tipo_autor,
+          CASE event_id % 10 WHEN 4 THEN 'DAR ' || event_id END AS publicacao,
+          CASE event_id % 10 WHEN 5 THEN 'DAR-D ' || event_id || '|II' END AS publicacao_debate,
+          CASE event_id % 10 WHEN 6 THEN 'Nota ' || event_id END AS observacoes
         FROM events""",
     "act": """
         SELECT *, CASE WHEN numero IS NOT NULL THEN legislatura || '_' || tipo || '_' || numero ELSE
@@ -91,8 +154,19 @@ VIEWS: dict[str, str] = {
           CASE WHEN event_id % 13 <> 0 THEN day + 1 END AS data,
           CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'Rejeitado'
             ELSE 'Aprovado' END AS resultado,
-          event_id % 8 = 0 AS has_party_details, event_id
+          event_id % 8 = 0 AS has_party_details, event_id,
+          CASE event_id % 20 WHEN 2 THEN 'Requerimento ' || event_id % 7 END AS descricao,
+          CASE event_id % 20 WHEN 3 THEN CAST(event_id % 30 AS VARCHAR) END AS reuniao,
+          CASE event_id % 20 WHEN 4 THEN 'unanime' END AS unanime, CASE event_id % 20 WHEN 5 THEN 'PS|L' END AS ausencias
         FROM act WHERE has_votes""",
+    "avot_text": """
+        SELECT vot_id, 'A Favor: ' || string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((event_id + i) % 3 = 0)
+            || '<BR>Contra: ' || string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((event_id + i) % 3 = 1)
+            || '<BR>Abstenção: ' || string_agg('<I>' || gp || '</I>', ', ' ORDER BY i) FILTER ((event_id + i) % 3 = 2) AS detalhe,
+          string_agg(gp, '|' ORDER BY gp) FILTER ((event_id + i) % 3 = 0) AS a_favor,
+          string_agg(gp, '|' ORDER BY gp) FILTER ((event_id + i) % 3 = 1) AS contra,
+          string_agg(gp, '|' ORDER BY gp) FILTER ((event_id + i) % 3 = 2) AS abstencao
+        FROM avot CROSS JOIN gps WHERE has_party_details GROUP BY vot_id""",
     "apos": """
         SELECT v.*, gp AS party, CASE (event_id + i) % 3 WHEN 0 THEN 'a_favor' WHEN 1 THEN 'contra'
           ELSE 'abstencao' END AS position
@@ -115,7 +189,7 @@ VIEWS: dict[str, str] = {
         FROM nation CROSS JOIN legs""",
     "part": """
         SELECT DISTINCT legislatura, dep_gp.gp AS gp_sigla, 'Partido ' || dep_gp.gp AS gp_nome
-        FROM dep_gp JOIN dep ON dep.c_custkey = dep_gp.c_custkey WHERE n = 1""",
+        FROM dep_gp JOIN dep ON dep.c_custkey = dep_gp.c_custkey""",
     "base": """
         SELECT 'L' || k AS legislatura,
           CASE k WHEN 13 THEN 'XIII' WHEN 14 THEN 'XIV' WHEN 15 THEN 'XV' WHEN 16 THEN 'XVI' ELSE 'XVII' END AS sigla,

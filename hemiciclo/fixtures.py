@@ -85,21 +85,32 @@ def _initiative_vote_text() -> Column:
     )
 
 
+def _some(condition: Column, *parts: str | Column) -> Column:
+    """A text of ``parts`` on a share of the rows: fields that few records have."""
+    return F.when(condition, F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+
+
+def _few(condition: Column, *items: Column) -> Column:
+    return F.when(condition, F.array(*items))
+
+
 def _phase_day() -> Column:
     return F.when(F.col("l_suppkey") % 11 != 0, F.col("l_shipdate").cast("date"))
 
 
 def _event(event_id: Column) -> Column:
-    supplier, shipped = F.col("l_suppkey"), F.col("l_shipdate").cast("date")
+    supplier, shipped, number, part = F.col("l_suppkey"), F.col("l_shipdate").cast("date"), F.col("l_linenumber"), F.col("l_partkey")
     unanimous = supplier % 7 == 0
     vote = F.struct(
         F.concat(event_id, F.lit("-v")).alias("id"),
         F.when(supplier % 13 != 0, F.date_add(shipped, 1)).alias("data"),
         F.when(supplier % 17 == 0, None).when(F.col("l_returnflag") == "A", "Aprovado")
         .otherwise("Rejeitado").alias("resultado"),
-        F.col("l_linenumber").cast("string").alias("reuniao"),
+        _some(supplier % 10 == 1, "Requerimento ", number).alias("descricao"),
+        number.cast("string").alias("reuniao"),
         F.lit("RP").alias("tipoReuniao"),
         F.when(unanimous, "unanime").alias("unanime"),
+        _few(supplier % 12 == 2, _by_index(F.col("l_partkey") % 10), F.lit("ZZ")).alias("ausencias"),
         F.when(~unanimous, _initiative_vote_text()).when(F.col("l_partkey") % 3 == 0, "   ").alias("detalhe"),
     )
     votes = F.when(F.col("l_returnflag") != "N", F.array(vote)).when(
@@ -108,15 +119,22 @@ def _event(event_id: Column) -> Column:
     phase = F.when(F.col("l_linenumber") <= len(PHASES), F.element_at(
         F.array(*[F.lit(p) for p in PHASES]), F.least("l_linenumber", F.lit(len(PHASES)))
     ))
+    tenth, twentieth = supplier % 10, supplier % 20
     return F.struct(
         event_id.alias("EvtId"), phase.alias("Fase"),
         _phase_day().alias("DataFase"), votes.alias("Votacao"),
+        _some(tenth == 0, "oev-", event_id).alias("OevId"), _some(tenth == 2, number + 100).alias("CodigoFase"),
+        _some(tenth == 3, "Obs ", event_id).alias("ObsFase"), _some(tenth == 4, "Comissão ", supplier % 12).alias("Comissao"),
+        _few(twentieth == 5, F.concat(F.lit("af-"), event_id), F.lit("anexo")).alias("AnexosFase"),
+        _some(tenth == 6, "https://example.org/fase/", number).alias("Links"), _some(tenth == 7, part).alias("ActId"),
+        _few(twentieth == 8, F.concat(F.lit("aj-"), number.cast("string"))).alias("ActividadesConjuntas"),
+        _few(twentieth == 9, part.cast("string"), F.concat(part.cast("string"), F.lit("b"))).alias("IniciativasConjuntas"),
     )
 
 
 _VOTE_TYPE = (
-    "struct<id:string,data:date,resultado:string,reuniao:string,tipoReuniao:string,"
-    "unanime:string,detalhe:string>"
+    "struct<id:string,data:date,resultado:string,descricao:string,reuniao:string,tipoReuniao:string,"
+    "unanime:string,ausencias:array<string>,detalhe:string>"
 )
 
 
@@ -170,6 +188,11 @@ def _whole(orders: DataFrame, lines: DataFrame) -> DataFrame:
     ).withColumns({"Parte": F.lit(0), "Partes": F.lit(1)})
 
 
+def _begins(number: Column) -> Column:
+    """First day of a legislature, counted from L13 as 0."""
+    return F.date_add(F.to_date(F.lit("1995-01-01")), (365 * number).cast("int"))
+
+
 def initiatives(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS) -> DataFrame:
     """Raw initiative records with their legislature."""
     records = _initiative_records(spark, sf_dir, max_events)
@@ -180,6 +203,10 @@ def initiatives(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS)
     authors = F.when(customer % 10 == 0, None).when(customer % 10 == 1, _array()).when(
         customer % 50 == 7, F.concat(author, twice)
     ).otherwise(author)
+
+    def signer(number: Column) -> Column:
+        return F.struct(number.cast("string").alias("idCadastro"), _some(number % 4 == 0, "Deputado ", number).alias("nome"))
+
     return records.select(
         legislature_of(key).alias("leg"),
         ini_id.alias("IniId"), (key % 400).cast("string").alias("IniNr"),
@@ -187,13 +214,23 @@ def initiatives(spark: SparkSession, sf_dir: str, max_events: int = MAX_EVENTS)
         F.when(status == "F", "Projeto de Lei").when(status == "O", "Projeto de Resolução")
         .otherwise("Proposta de Lei").alias("IniDescTipo"),
         F.concat(F.lit("Iniciativa "), "o_orderpriority", F.lit(" nº "), ini_id).alias("IniTitulo"),
-        F.date_add(F.to_date(F.lit("1995-01-01")), (365 * (key % 5)).cast("int")).alias("DataInicioleg"),
+        _begins(key % 5).alias("DataInicioleg"), F.when(key % 5 != 4, F.date_add(_begins(key % 5), 364)).alias("DataFimleg"),
+        _some(key % 10 == 0, _by_index(key % 5, tuple(ROMAN.values()))).alias("IniLeg"), _some(key % 10 == 1, key % 4 + 1).alias("IniSel"),
+        _some(key % 10 == 2, "SIM").alias("IniTextoSubst"), _some(key % 10 == 3, "https://example.org/texto/", key).alias("IniLinkTexto"),
+        _some(key % 11 == 0, "Epígrafe ", key).alias("IniEpigrafe"), _some(key % 11 == 1, "Obs ", key).alias("IniObs"),
+        _some(key % 11 == 2, "Campo ", key).alias("IniTextoSubstCampo"), _some(key % 17 == 0, "COM(", key, ")").alias("IniciativasEuropeias"),
+        _some(key % 17 == 1, '[{"url":"https://example.org/', key, '"}]').alias("Links"), _some(key % 17 == 2, "PA ", key).alias("PropostasAlteracao"),
+        _few(key % 13 == 0, F.concat(F.lit("anexo-"), ini_id), F.lit("anexo")).alias("IniAnexos"),
+        _few(key % 13 == 1, (key - 1).cast("string")).alias("IniciativasOrigem"),
+        _few(key % 13 == 2, (key + 1).cast("string"), (key + 2).cast("string")).alias("IniciativasOriginadas"),
+        _few(key % 13 == 3, F.concat(F.lit("P-"), ini_id)).alias("Peticoes"),
         F.struct(
+            F.when(customer % 10 == 0, "G").when(customer % 10 == 1, "C").alias("sigla"),
             F.when(customer % 10 == 0, "Governo").when(customer % 10 == 1, "Comissões")
             .otherwise("Grupos Parlamentares").alias("nome")
         ).alias("IniAutorOutros"),
         F.transform(authors, lambda gp: F.struct(gp.alias("GP"))).alias("IniAutorGruposParlamentares"),
-        F.when(customer % 3 != 0, F.array(F.struct(customer.cast("string").alias("idCadastro"))))
+        F.when(customer % 9 == 4, F.array(signer(customer), signer(customer + 1))).when(customer % 3 != 0, F.array(signer(customer)))
         .alias("IniAutorDeputados"),
         "IniEventos", *[F.when(F.col("Partes") > 1, F.col(c)).alias(c) for c in ("Parte", "Partes")],
     )
@@ -225,16 +262,25 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("av-"), event.cast("string")).alias("id"),
         F.when(event % 13 != 0, F.date_add(day, 1)).alias("data"),
         F.when(event % 17 == 0, None).when(event % 3 == 0, "Rejeitado").otherwise("Aprovado").alias("resultado"),
+        _some(event % 20 == 2, "Requerimento ", event % 7).alias("descricao"), _some(event % 20 == 3, event % 30).alias("reuniao"),
+        _some(event % 20 == 4, "unanime").alias("unanime"), _few(event % 20 == 5, F.lit("PS"), F.lit("L")).alias("ausencias"),
         F.when(event % 8 == 0, F.concat_ws(
             "<BR>", section("A Favor", 0), section("Contra", 1), section("Abstenção", 2)
         )).alias("detalhe"),
     )
-    no_votes = F.array().cast("array<struct<id:string,data:date,resultado:string,detalhe:string>>")
+    no_votes = F.array().cast(
+        "array<struct<id:string,data:date,resultado:string,descricao:string,reuniao:string,unanime:string,ausencias:array<string>,detalhe:string>>"
+    )
     activity = F.struct(
         F.when(event % 20 != 11, F.concat("event_type", F.lit(" "), event.cast("string"))).alias("Assunto"),
         kind(0).alias("Tipo"), kind(1).alias("DescTipo"),
         F.when(event % 4 != 0, event.cast("string")).alias("Numero"),
         F.when(event % 9 != 0, day).alias("DataEntrada"),
+        _some(event % 10 == 0, event % 4 + 1).alias("Sessao"), F.when(event % 10 == 1, F.date_add(day, 7)).alias("DataAgendamentoDebate"),
+        F.when(event % 10 == 2, F.date_add(day, 1)).alias("DataAnuncio"), _some(user % 10 == 3, "Grupo Parlamentar").alias("TipoAutor"),
+        _few(event % 10 == 4, F.concat(F.lit("DAR "), event.cast("string"))).alias("Publicacao"),
+        _few(event % 10 == 5, F.concat(F.lit("DAR-D "), event.cast("string")), F.lit("II")).alias("PublicacaoDebate"),
+        _some(event % 10 == 6, "Nota ", event).alias("Observacoes"),
         F.when(user % 6 != 0, parties_where(lambda i: (user + i) % 5 == 0)).alias("AutoresGP"),
         F.when(F.col("value") > 10, F.array(vote)).when(event % 2 == 0, no_votes).alias("VotacaoDebate"),
     )
@@ -302,10 +348,8 @@ def info_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("n_nationkey").cast("double").alias("cpId"), F.col("n_name").alias("cpDes")).alias("circle"),
     )
     circles = nations.groupBy("leg", "chunk").agg(F.collect_list("circle").alias("CirculosEleitorais"))
-    # The parties of a legislature are those its deputies first sat for: at most a codebook's worth.
-    # A party that deputies only changed to isn't one of them.
-    sitting = _deputies(spark, sf_dir).select("leg", F.get("deputy.DepGP.gpSigla", F.lit(0)).alias("gp"))
-    sitting = sitting.where("gp is not null").distinct()
+    # The parties of a legislature are all that its deputies sat for at any time: at most a codebook's worth.
+    sitting = _deputies(spark, sf_dir).select("leg", F.explode("deputy.DepGP.gpSigla").alias("gp")).distinct()
     groups = sitting.groupBy("leg").agg(F.collect_list(F.struct(
         F.col("gp").alias("sigla"), F.concat(F.lit("Partido "), "gp").alias("nome")
     )).alias("GruposParlamentares"))
@@ -313,7 +357,8 @@ def info_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = circles.join(groups, "leg", "left").withColumn(
         "GruposParlamentares", F.when(first, F.col("GruposParlamentares"))
     ).drop("chunk")
-    both = deputies.drop("chunk").unionByName(places, allowMissingColumns=True)
+    number = F.regexp_extract("chunk", r":(\d+)$", 1).cast("int") + 1
+    both = deputies.withColumn("Parte", number).drop("chunk").unionByName(places.withColumn("Parte", F.lit(0)), allowMissingColumns=True)
     empty = {f: F.coalesce(f, F.array().cast(both.schema[f].dataType))
              for f in ("Deputados", "CirculosEleitorais", "GruposParlamentares")}
     return both.withColumns(empty).withColumn("DetalheLegislatura", _legislature_head())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemiciclo.functions.columns import has_items
-from hemiciclo.operators.paging import Listing, newest_first
+from hemiciclo.operators.paging import Key, Listing, newest_first
 from hemiciclo.operators.predicates import (
     DEFAULT_LIMIT, at_least, at_most, contains_text, equals, holds, legislature_code, party_code, select_where,
 )
@@ -34,7 +34,7 @@ def list_activities(
         holds("ativ_autores_gp", party_code(autor_gp)), contains_text("ativ_assunto", q),
     )
     columns = [*ACTIVITY_COLUMNS, has_items("votacao_debate.id").alias("has_votes")]
-    return Listing(rows, newest_first("data_entrada", F.col("ativ_id").asc()), columns, limit, offset)
+    return Listing(rows, newest_first("data_entrada", Key("ativ_id")), columns, limit, offset)
 
 
 def activity(activities: DataFrame, ativ_id: str) -> DataFrame:
@@ -54,7 +54,7 @@ def list_activity_votes(
         at_least("data", data_desde), at_most("data", data_ate),
         *party_filters(partido_favor, partido_contra, partido_abstencao), contains_text("assunto", q),
     )
-    return Listing(rows, newest_first("data", F.col("vot_id").asc()), VOTE_COLUMNS, limit, offset)
+    return Listing(rows, newest_first("data", Key("vot_id")), VOTE_COLUMNS, limit, offset)
 
 
 def activity_vote(votes: DataFrame, vot_id: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hemiciclo.functions.columns import picked
-from hemiciclo.operators.paging import Listing, ascending, newest_first
+from hemiciclo.operators.paging import Key, Listing, ascending, newest_first
 from hemiciclo.operators.predicates import (
     DEFAULT_LIMIT, all_of, at_least, at_most, comma_list, contains_text, equals, holds, legislature_code, one_of,
     party_code, select_where,
@@ -32,8 +32,8 @@ def headers(initiatives: DataFrame) -> DataFrame:
     return initiatives.where(F.col("parte") == 0)
 
 
-def recent_initiatives() -> list[Column]:
-    return newest_first("ini_data", F.col("ini_id").desc())
+def recent_initiatives() -> list[Key]:
+    return newest_first("ini_data", Key("ini_id", descending=True))
 
 
 def _event_condition(day: Column, phase: Column, since, until, phases) -> Column | None:
@@ -46,16 +46,17 @@ def with_matching_event(
     """Headers of the initiatives with one event that meets all conditions at once.
 
     The test runs on each row's own event list, so nothing is shuffled, and reads no more than the
-    two fields. Only for initiatives in several parts are
-    matches joined back to a header; where there are none, statistics skip the files of that branch.
+    two fields. Initiatives in several parts lie in files of their own: only those are read again,
+    to find which of them have the event in any part.
     """
     found = F.exists(picked("ini_eventos", "Fase", "DataFase"), lambda e: _event_condition(e["DataFase"], e["Fase"], since, until, phases))
     found = F.coalesce(found, F.lit(False))
-    later = initiatives.where((F.col("parte") > 0) & found).select("legislatura", "ini_id").distinct()
-    heads = headers(initiatives)
-    return heads.where(found).unionByName(
-        heads.where((F.col("partes") > 1) & ~found).join(later, ["legislatura", "ini_id"], "left_semi").select(heads.columns)
-    )
+    # Rows that aren't read from the table tell by the number of their parts.
+    stored = "longa" in initiatives.columns
+    several, whole = (F.col("longa") == 1, F.col("longa") == 0) if stored else (F.col("partes") > 1, F.col("partes") == 1)
+    long_ones = initiatives.where(several)
+    matched = long_ones.where(found).select("legislatura", "ini_id").distinct()
+    return initiatives.where(whole & found).unionByName(headers(long_ones).join(matched, ["legislatura", "ini_id"], "left_semi").select(initiatives.columns))
 
 
 def list_initiatives(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hemiciclo.operators.paging import Listing, ascending
 from hemiciclo.operators.predicates import MAX_LIMIT, legislature_code
 from hemiciclo.plans.initiatives import headers
+from hemiciclo.schemas import INFO_BASE_RAW, PART_FIELD, SOURCE
 
 COLUMNS = ["legislatura", "sigla", "dtini", "dtfim", "num_deputados", "num_grupos"]
 
@@ -42,9 +44,30 @@ def list_legislatures(
     return Listing(rows, ascending("legislatura"), COLUMNS, limit, offset)
 
 
+def records(info_base: DataFrame) -> DataFrame:
+    """The nested base document of each legislature, one row each: partial documents are put together.
+
+    Their lists are joined in the order of the parts. A record holds a parliament's seats, circles and
+    groups; `deputados`, `circulos` and `partidos` have them as rows.
+    """
+    part = F.coalesce(PART_FIELD, F.lit(0))
+    kept = [f.name for f in INFO_BASE_RAW.fields if not isinstance(f.dataType, T.ArrayType)]
+    lists = [f.name for f in INFO_BASE_RAW.fields if isinstance(f.dataType, T.ArrayType)]
+
+    def joined(name: str) -> Column:
+        parts = F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct(part.alias("part"), F.col(name).alias("items")))))
+        return F.flatten(F.transform(parts, lambda p: p["items"]))
+
+    whole = info_base.groupBy("legislatura").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), part)).alias(c) for c in kept],
+        *[F.when(F.count(c) > 0, joined(c)).alias(c) for c in lists], F.first(SOURCE, ignorenulls=True).alias(SOURCE),
+    )
+    return whole.select(*INFO_BASE_RAW.names, SOURCE, "legislatura")
+
+
 def legislature(info_base: DataFrame, legislatura: str) -> DataFrame:
-    """The nested base documents of a legislature."""
-    return info_base.where(F.col("legislatura") == legislature_code(legislatura))
+    """The nested base document of a legislature; no row if there is none."""
+    return records(info_base.where(F.col("legislatura") == legislature_code(legislatura)))
 
 
 def legislature_status(info_base: DataFrame, initiatives: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.operators.paging import Listing, ascending
+from hemiciclo.operators.paging import Key, Listing, ascending
 from hemiciclo.operators.predicates import (
     DEFAULT_LIMIT, contains_text, equals, holds, legislature_code, party_code, select_where,
 )
@@ -53,7 +53,7 @@ def deputy_initiatives(
         headers(initiatives), equals("legislatura", legislature_code(legislatura)),
         holds(AUTHOR_MEMBERS, str(int(float(dep_cad_id)))),
     ).where(parent.exists())
-    order = [F.col("ini_nr").desc_nulls_last(), F.col("ini_id").asc()]
+    order = [Key("ini_nr", descending=True), Key("ini_id")]
     return Listing(rows, order, INITIATIVE_COLUMNS, limit, offset)
 
 
@@ -82,6 +82,16 @@ def circle_deputies(
     return Listing(rows, _deputy_order(), DEPUTY_COLUMNS, limit, offset)
 
 
+def deputies_of_circles(circles: DataFrame, deputies: DataFrame) -> DataFrame:
+    """Deputies of every circle of every legislature, whatever their status."""
+    return children_of_known(deputies, circles, {"circulo_id": "cp_id", "legislatura": "legislatura"})
+
+
+def sitting_deputies(circles: DataFrame, deputies: DataFrame) -> DataFrame:
+    """What `circle_deputies` lists, for all circles at once."""
+    return deputies_of_circles(circles, deputies.where(F.col("situacao_atual") == ACTIVE))
+
+
 def list_parties(
     parties: DataFrame, *, legislatura: str | None = None, limit: int = DEFAULT_LIMIT, offset: int = 0
 ) -> Listing:

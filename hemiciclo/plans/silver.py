@@ -13,7 +13,8 @@ from hemiciclo.functions.columns import (
     activity_key, as_structs, first_date, has_text, is_nominal, last_of, picked, rename_to,
 )
 from hemiciclo.functions.positions import parse_positions
-from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, LOOKUP_KEYS, PART_COUNT_FIELD, PART_FIELD, SILVER
+from hemiciclo.plans.initiatives import AUTHOR_GROUPS
+from hemiciclo.schemas import ACTIVITY_NAMES, ACTIVITY_RAW, INITIATIVE_NAMES, LOOKUP_KEYS, PART_COUNT_FIELD, PART_FIELD, SILVER, SOURCE
 from hemiciclo.sources.readers import activities_in, bronze_path, legislature_in_path, path_exists, read_documents, read_topics
 from hemiciclo.sources.writers import cluster, legislature_of_slice, stored_bytes, write_dataset
 
@@ -26,23 +27,28 @@ def initiatives(documents: DataFrame) -> DataFrame:
         *rename_to(INITIATIVE_NAMES),
         first_date("IniEventos", "DataFase").alias("ini_data"),
         F.coalesce(PART_FIELD, F.lit(0)).alias("parte"),
-        F.coalesce(PART_COUNT_FIELD, F.lit(1)).alias("partes"),
+        F.coalesce(PART_COUNT_FIELD, F.lit(1)).alias("partes"), SOURCE,
         F.current_timestamp().alias("etl_timestamp"),
-        "legislatura",
+        "legislatura", (F.coalesce(PART_COUNT_FIELD, F.lit(1)) > 1).cast("int").alias("longa"),
     )
 
 
 def vote_rows(initiatives: DataFrame) -> DataFrame:
-    """Votes of the events of the initiatives, still unparsed."""
+    """Votes of the events of the initiatives, still unparsed.
+
+    Each brings its initiative's author parties along, as every part of an initiative has them: reports by author
+    then need no join of votes with initiatives.
+    """
     head = ["ini_id", "ini_nr", "legislatura", "ini_titulo", "ini_tipo"]
-    events = initiatives.select(*head, F.explode(picked("ini_eventos", "Fase", "DataFase", "Votacao")).alias("e"))
+    authors = F.coalesce(F.col(AUTHOR_GROUPS), F.array().cast("array<string>")).alias("ini_autores_gp")
+    events = initiatives.select(*head, authors, F.explode(picked("ini_eventos", "Fase", "DataFase", "Votacao")).alias("e"))
     votes = events.select(
-        *head, F.col("e.Fase").alias("fase"), F.col("e.DataFase").alias("data_fase"),
+        *head, "ini_autores_gp", F.col("e.Fase").alias("fase"), F.col("e.DataFase").alias("data_fase"),
         F.explode("e.Votacao").alias("v"),
     )
     return votes.select(
         F.col("v.id").alias("vot_id"), *head, "fase", "data_fase", "v.data", "v.resultado", "v.descricao",
-        "v.reuniao", F.col("v.tipoReuniao").alias("tipo_reuniao"), "v.unanime", "v.ausencias", "v.detalhe",
+        "v.reuniao", F.col("v.tipoReuniao").alias("tipo_reuniao"), "v.unanime", "v.ausencias", "v.detalhe", "ini_autores_gp",
     )
 
 
@@ -93,7 +99,7 @@ def activities(documents: DataFrame) -> DataFrame:
         F.col("legislatura"), F.col("Tipo"), F.col("Numero"), F.col("Assunto"), F.col("DataEntrada")
     )
     return activities_in(documents).select(
-        key.alias("ativ_id"), *rename_to({n: ACTIVITY_NAMES[n] for n in ACTIVITY_RAW.names}),
+        key.alias("ativ_id"), *rename_to({n: ACTIVITY_NAMES[n] for n in ACTIVITY_RAW.names}), SOURCE,
         F.current_timestamp().alias("etl_timestamp"), "legislatura",
     )
 
@@ -128,14 +134,19 @@ def topics(rows: DataFrame) -> DataFrame:
 class Job:
     """``build`` makes the rows, ``order`` clusters them, ``finish`` adds what needn't be shuffled.
 
-    ``records`` counts what a legislature's rows stand for."""
+    ``records`` counts what a legislature's rows stand for, if not themselves. ``closed``: rows take their
+    legislature from where they were found, not from what they say, so there are none of others.
+    ``halves`` names a column of 0 and 1 that divides the files of a legislature.
+    """
 
     build: Callable[[DataFrame], DataFrame]
     parent: str | None = None
     order: Callable[[], list[Column]] | None = None
     finish: Callable[[DataFrame], DataFrame] = lambda df: df
     optional: bool = True
-    records: Callable[[Column], Column] = F.count_if
+    records: Callable[[Column], Column] | None = None
+    closed: bool = True
+    halves: str | None = None
 
     def plan(self, source: DataFrame) -> DataFrame:
         rows = self.build(source)
@@ -147,7 +158,7 @@ def _recent_votes() -> list[Column]:
 
 
 JOBS: dict[str, Job] = {
-    "iniciativas": Job(initiatives, optional=False, records=lambda mine: F.count_if(mine & (F.col("parte") == 0))),
+    "iniciativas": Job(initiatives, optional=False, records=lambda mine: F.count_if(mine & (F.col("parte") == 0)), halves="longa"),
     "votacoes": Job(vote_rows, "iniciativas", _recent_votes, vote_details),
     # One record a legislature, in as many rows as documents.
     "info_base": Job(info_base, records=lambda mine: F.coalesce(F.max(mine.cast("int")), F.lit(0))),
@@ -156,7 +167,7 @@ JOBS: dict[str, Job] = {
     "partidos": Job(parties, "info_base", lambda: [F.col("gp_sigla").asc_nulls_last()]),
     "atividades": Job(activities, order=lambda: [F.col("data_entrada").desc_nulls_last(), F.col("ativ_id")]),
     "atividades_votacoes": Job(activity_vote_rows, "atividades", _recent_votes, activity_vote_details),
-    "cap": Job(topics, order=lambda: [F.col("ini_id").asc_nulls_last()]),
+    "cap": Job(topics, order=lambda: [F.col("ini_id").asc_nulls_last()], closed=False),
 }
 
 
@@ -172,7 +183,7 @@ def run_job(
         paths = [p for leg in legislatures if (p := bronze_path(spark, bronze, name, leg))]
         source = read_topics(spark, paths) if name == "cap" else read_documents(spark, name, paths, multiline)
     strays = f"{silver}/strays/{name}/asked={'-'.join(sorted(legislatures))}"
-    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()), job.records, strays)
+    return write_dataset(job.plan(source), f"{silver}/{name}", legislatures, LOOKUP_KEYS.get(name, ()), job.records, strays, job.closed, job.halves)
 
 
 def run_all(

@@ -13,6 +13,7 @@ from hemiciclo.functions.positions import vote_positions
 from hemiciclo.operators.predicates import equals, legislature_code, select_where
 from hemiciclo.plans.initiatives import AUTHOR_GROUPS, headers
 from hemiciclo.plans.people import party
+from hemiciclo.sources.shared import settled
 
 LEG = "legislatura"
 VOTED = ("a_favor", "contra", "abstencao")  # absences are parsed but never counted
@@ -42,52 +43,53 @@ def initiatives_by_phase(votes: DataFrame, legislatura: str | None = None) -> Da
     )
 
 
-def _author_lists(initiatives: DataFrame, legislatura: str | None) -> DataFrame:
-    return _of(headers(initiatives), legislatura).select(LEG, "ini_id", F.col(AUTHOR_GROUPS).alias("authors")).where(
-        F.array_size("authors") > 0
-    )
+def authors_of(votes: DataFrame) -> Column:
+    """The author parties of a vote's initiative; a table from before they were stored is an error, not empty."""
+    return F.coalesce("ini_autores_gp", F.raise_error(F.lit("votacoes holds no authors: write it anew")).cast("array<string>"))
 
 
 def party_totals(initiatives: DataFrame, legislatura: str | None = None) -> DataFrame:
     """Distinct initiatives by author party."""
-    authors = _author_lists(initiatives, legislatura).select(
-        LEG, "ini_id", F.explode(F.array_distinct("authors")).alias("party")
-    )
+    lists = _of(headers(initiatives), legislatura).select(LEG, "ini_id", F.col(AUTHOR_GROUPS).alias("authors"))
+    authors = lists.select(LEG, "ini_id", F.explode(F.array_distinct("authors")).alias("party"))
     return authors.where(F.col("party").isNotNull()).groupBy(LEG, "party").agg(
         F.countDistinct("ini_id").alias("total_initiatives")
     )
 
 
-def party_outcomes(initiatives: DataFrame, votes: DataFrame, legislatura: str | None = None) -> DataFrame:
-    """Votes by author party, phase and result; a party listed twice on an initiative counts twice.
-
-    The join carries each initiative's whole author list, so it doesn't fan out. Votes are counted
-    by author list, of which there are few, and only those counts are spread over the parties.
-    """
-    known = _of(votes, legislatura, F.col("fase").isNotNull(), F.col("resultado").isNotNull())
-    joined = known.select(LEG, "ini_id", "fase", "resultado").join(
-        _author_lists(initiatives, legislatura), [LEG, "ini_id"]
-    )
-    by_list = joined.groupBy(LEG, "authors", "fase", "resultado").agg(_rows().alias("n"))
-    spread = by_list.select(LEG, F.explode("authors").alias("party"), "fase", "resultado", "n")
+def _by_author(counted: DataFrame) -> DataFrame:
+    """Counts ``n`` by author list, phase and result spread over the parties of the lists."""
+    known = counted.where(F.col("fase").isNotNull() & F.col("resultado").isNotNull())
+    spread = known.select(LEG, F.explode("authors").alias("party"), "fase", "resultado", "n")
     return spread.where(F.col("party").isNotNull()).groupBy(LEG, "party", "fase", "resultado").agg(
         F.sum("n").alias("vote_count")
     )
 
 
+def party_outcomes(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
+    """Votes by author party, phase and result; a party listed twice on an initiative counts twice.
+
+    Votes hold their initiative's author list, so there is no join. They are counted by list, of
+    which there are few, and only those counts are spread over the parties.
+    """
+    listed = _of(votes, legislatura).select(LEG, authors_of(votes).alias("authors"), "fase", "resultado")
+    return _by_author(listed.groupBy(LEG, "authors", "fase", "resultado").agg(_rows().alias("n")))
+
+
+def _with_outcomes(totals: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Parties with their outcomes as a list of at most phases x results entries."""
+    outcome = F.struct("fase", "resultado", F.col("vote_count").alias("count"))
+    nested = outcomes.groupBy(LEG, "party").agg(F.sort_array(F.collect_list(outcome)).alias("fase_outcomes"))
+    empty = F.array().cast(nested.schema["fase_outcomes"].dataType)
+    return totals.join(nested, [LEG, "party"], "left").withColumn("fase_outcomes", F.coalesce("fase_outcomes", empty))
+
+
 def initiatives_by_party(initiatives: DataFrame, votes: DataFrame, legislatura: str | None = None) -> DataFrame:
     """(party, total_initiatives, fase_outcomes[fase, resultado, count]); no votes give an empty list.
 
-    The nested list has at most phases x results entries.
+    Both sides of the join are aggregates: a row a party.
     """
-    outcome = F.struct("fase", "resultado", F.col("vote_count").alias("count"))
-    outcomes = party_outcomes(initiatives, votes, legislatura).groupBy(LEG, "party").agg(
-        F.sort_array(F.collect_list(outcome)).alias("fase_outcomes")
-    )
-    empty = F.array().cast(outcomes.schema["fase_outcomes"].dataType)
-    return party_totals(initiatives, legislatura).join(outcomes, [LEG, "party"], "left").withColumn(
-        "fase_outcomes", F.coalesce("fase_outcomes", empty)
-    )
+    return _with_outcomes(party_totals(initiatives, legislatura), party_outcomes(votes, legislatura))
 
 
 def votes_by_phase(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
@@ -96,16 +98,19 @@ def votes_by_phase(votes: DataFrame, legislatura: str | None = None) -> DataFram
     )
 
 
-def votes_by_party_and_position(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
-    """How often each party voted which way: one pass over the votes, counted before the shuffle."""
-    cast_votes = vote_positions(_of(votes, legislatura), [LEG], VOTED).where(F.col("party").isNotNull())
-    counted = cast_votes.groupBy(LEG, "party", "position").agg(_rows().alias("vote_count"))
+def _labelled(counted: DataFrame) -> DataFrame:
     label = F.col("position")
     for position, text in POSITION_LABELS.items():
         label = F.when(F.col("position") == position, text).otherwise(label)
     return counted.select(LEG, "party", label.alias("vote_type"), "vote_count")
 
 
+def votes_by_party_and_position(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
+    """How often each party voted which way: one pass over the votes, counted before the shuffle."""
+    cast_votes = vote_positions(_of(votes, legislatura), [LEG], VOTED).where(F.col("party").isNotNull())
+    return _labelled(cast_votes.groupBy(LEG, "party", "position").agg(_rows().alias("vote_count")))
+
+
 def activities_by_type(activities: DataFrame, legislatura: str | None = None) -> DataFrame:
     return _of(activities, legislatura, F.col("ativ_tipo").isNotNull()).groupBy(
         LEG, F.col("ativ_tipo").alias("tipo")
@@ -118,41 +123,40 @@ def activity_votes_by_type(activity_votes: DataFrame, legislatura: str | None =
     )
 
 
-def vote_sources(votes: DataFrame, activity_votes: DataFrame, legislatura: str | None = None) -> DataFrame:
-    """Votes on initiatives, votes on activities and their total. One legislature always has a row."""
-    both = _of(votes, legislatura).select(LEG, F.lit(1).alias("i"), F.lit(0).alias("a")).unionByName(
-        _of(activity_votes, legislatura).select(LEG, F.lit(0).alias("i"), F.lit(1).alias("a"))
-    )
-
+def _sources(votes: DataFrame, activity_votes: DataFrame, legislatura: str | None) -> DataFrame:
     def n(c: str) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
 
+    both = votes.unionByName(activity_votes)
     counts = [n("i").alias("iniciativas"), n("a").alias("atividades"), (n("i") + n("a")).alias("total")]
     if legislatura is not None:
         return both.agg(F.lit(legislature_code(legislatura)).alias(LEG), *counts)
     return both.groupBy(LEG).agg(*counts)
 
 
-def vote_support(
-    initiatives: DataFrame, votes: DataFrame, gp_sigla: str | None = None, legislatura: str | None = None
-) -> DataFrame:
+def vote_sources(votes: DataFrame, activity_votes: DataFrame, legislatura: str | None = None) -> DataFrame:
+    """Votes on initiatives, votes on activities and their total. One legislature always has a row."""
+    return _sources(
+        _of(votes, legislatura).select(LEG, F.lit(1).alias("i"), F.lit(0).alias("a")),
+        _of(activity_votes, legislatura).select(LEG, F.lit(0).alias("i"), F.lit(1).alias("a")), legislatura,
+    )
+
+
+def vote_support(votes: DataFrame, gp_sigla: str | None = None, legislatura: str | None = None) -> DataFrame:
     """How every party voted on the initiatives of each author party, by phase.
 
-    One author party needs no more than a semi-join. For all of them the votes are counted by whole
-    author list first, as in `party_outcomes`, so a vote is unpivoted once and not once an author.
+    Votes hold their initiative's authors, so nothing is joined. They are counted by whole author
+    list first, as in `party_outcomes`: a vote is unpivoted once and not once an author.
     """
-    known = _of(votes, legislatura, F.col("fase").isNotNull(), F.col("detalhe_parsed").isNotNull()).select(
-        LEG, "ini_id", "fase", "detalhe_parsed"
-    )
-    lists = _author_lists(initiatives, legislatura)
+    known = _of(votes, legislatura, F.col("fase").isNotNull(), F.col("detalhe_parsed").isNotNull())
+    authors = authors_of(votes)
     if gp_sigla is not None:
-        own = lists.where(F.array_contains("authors", gp_sigla.upper())).select(LEG, "ini_id")
-        joined = known.join(own, [LEG, "ini_id"], "left_semi").withColumn("author", F.lit(gp_sigla.upper()))
-        by = "author"
+        known, by = known.where(F.array_contains(authors, gp_sigla.upper())), "author"
+        kept = known.select(LEG, F.lit(gp_sigla.upper()).alias(by), "fase", "detalhe_parsed")
     else:
-        distinct = F.array_sort(F.array_distinct("authors")).alias("authors")
-        joined, by = known.join(lists.select(LEG, "ini_id", distinct), [LEG, "ini_id"]), "authors"
-    cast_votes = vote_positions(joined, [LEG, by, "fase"], VOTED).where(F.col("party").isNotNull())
+        by = "authors"
+        kept = known.select(LEG, F.array_sort(F.array_distinct(authors)).alias(by), "fase", "detalhe_parsed").where(F.array_size(by) > 0)
+    cast_votes = vote_positions(kept, [LEG, by, "fase"], VOTED).where(F.col("party").isNotNull())
     counts = [F.count_if(F.col("position") == p).alias(f"{p}_count") for p in VOTED]
     counted = cast_votes.groupBy(LEG, by, "fase", "party").agg(*counts)
     if gp_sigla is None:
@@ -171,12 +175,38 @@ def nested_vote_support(support: DataFrame) -> DataFrame:
     return support.groupBy(LEG, "author", "fase").agg(F.sort_array(F.collect_list(detail)).alias("vote_details"))
 
 
-def party_vote_support(
-    parties: DataFrame, initiatives: DataFrame, votes: DataFrame, gp_sigla: str, legislatura: str
-) -> DataFrame:
+def party_vote_support(parties: DataFrame, votes: DataFrame, gp_sigla: str, legislatura: str) -> DataFrame:
     """The nested support report of one party; nothing if the legislature doesn't know the party."""
     gate = party(parties, gp_sigla, legislatura)
-    return nested_vote_support(vote_support(initiatives, votes, gp_sigla, legislatura)).where(gate.exists())
+    return nested_vote_support(vote_support(votes, gp_sigla, legislatura)).where(gate.exists())
+
+
+_CELL = ["kind", "fase", "resultado", "authors", "party", "position"]
+
+
+def vote_cells(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
+    """What the reports count in votes, in one pass over them: (legislatura, kind, ..., n, initiatives).
+
+    Kinds: `vote`, by phase, result and author list; `initiative`, distinct ones by phase and result; and
+    `position`, by party. Each vote gives a row for each, and they are combined before the shuffle.
+    """
+    def cell(kind: str, **values: Column) -> Column:
+        kinds = dict.fromkeys([*_CELL[1:], "ini_id"], "string") | {"authors": "array<string>"}
+        return F.struct(F.lit(kind).alias("kind"), *[(values.get(c, F.lit(None)).cast(t)).alias(c) for c, t in kinds.items()])
+
+    phase = {c: F.col(c) for c in ("fase", "resultado")}
+    known = F.col("fase").isNotNull() & F.col("resultado").isNotNull()
+    once = F.array_compact(F.array(
+        cell("vote", authors=authors_of(votes), **phase), F.when(known, cell("initiative", ini_id=F.col("ini_id"), **phase))
+    ))
+
+    def positions(p: str) -> Column:
+        parties = F.array_compact(F.coalesce(F.col(f"detalhe_parsed.{p}"), F.array().cast("array<string>")))
+        return F.transform(parties, lambda x: cell("position", party=x, position=F.lit(p)))
+
+    rows = _of(votes, legislatura).select(LEG, F.explode(F.concat(once, *map(positions, VOTED))).alias("c")).select(LEG, "c.*")
+    counted = rows.groupBy(LEG, *_CELL, "ini_id").agg(_rows().alias("n"))
+    return counted.groupBy(LEG, *_CELL).agg(F.sum("n").alias("n"), F.count("ini_id").alias("initiatives"))
 
 
 def bundle(
@@ -185,17 +215,38 @@ def bundle(
 ) -> DataFrame:
     """All reports as one nested record a legislature.
 
-    The lists are built from aggregates (parties, phases, types), never from data rows. Report
-    rows are stacked, a column each, and gathered in one shuffle.
+    Each table is read once, into counts by parties, phases and types (`vote_cells`). Those few rows
+    are written down, and the reports, whose lists hold them and never data rows, are made of them.
     """
+    def counts(df: DataFrame, kind: str, by: str, measure: Column = _rows()) -> DataFrame:
+        return df.groupBy(LEG, F.col(by).alias("by")).agg(measure.alias("n")).withColumn("kind", F.lit(kind))
+
+    parts = [
+        vote_cells(votes, legislatura), counts(_of(activities, legislatura), "activity", "ativ_tipo"),
+        counts(_of(activity_votes, legislatura), "activity_vote", "tipo"),
+        counts(party_totals(initiatives, legislatura), "party", "party", F.first("total_initiatives")),
+    ]
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part, allowMissingColumns=True)
+    cells = settled(cells)
+
+    def of_kind(kind: str, *columns: str | Column) -> DataFrame:
+        return cells.where(F.col("kind") == kind).select(LEG, *columns)
+
+    in_votes = of_kind("vote", "fase", "resultado", "authors", "n")
+    phases = in_votes.where("fase is not null")
+    by_result = of_kind("initiative", "fase", "resultado", F.col("n").alias("vote_count"), F.col("initiatives").alias("initiative_count"))
     reports = {
-        "initiatives_by_fase": initiatives_by_phase(votes, legislatura),
-        "initiatives_by_party": initiatives_by_party(initiatives, votes, legislatura),
-        "votes_by_event_type": votes_by_phase(votes, legislatura),
-        "votes_by_party_and_type": votes_by_party_and_position(votes, legislatura),
-        "atividades_by_tipo": activities_by_type(activities, legislatura),
-        "atividades_votes_by_tipo": activity_votes_by_type(activity_votes, legislatura),
-        "vote_source_breakdown": vote_sources(votes, activity_votes, legislatura),
+        "initiatives_by_fase": by_result,
+        "initiatives_by_party": _with_outcomes(of_kind("party", F.col("by").alias("party"), F.col("n").alias("total_initiatives")), _by_author(in_votes)),
+        "votes_by_event_type": phases.groupBy(LEG, "fase").agg(F.sum("n").alias("vote_count")),
+        "votes_by_party_and_type": _labelled(of_kind("position", "party", "position", F.col("n").alias("vote_count"))),
+        "atividades_by_tipo": of_kind("activity", F.col("by").alias("tipo"), F.col("n").alias("count")).where("tipo is not null"),
+        "atividades_votes_by_tipo": of_kind("activity_vote", F.col("by").alias("tipo"), F.col("n").alias("vote_count")).where("tipo is not null"),
+        "vote_source_breakdown": _sources(
+            in_votes.select(LEG, F.col("n").alias("i"), F.lit(0).alias("a")), of_kind("activity_vote", F.lit(0).alias("i"), F.col("n").alias("a")), legislatura
+        ),
     }
     stacked = None
     for name, report in reports.items():

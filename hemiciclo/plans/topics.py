@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.operators.paging import Listing
+from hemiciclo.operators.paging import Key, Listing
 from hemiciclo.operators.predicates import (
     DEFAULT_LIMIT, contains_text, equals, holds, legislature_code, party_code, select_where,
 )
@@ -34,7 +34,7 @@ def list_topics(
         headers(initiatives), equals("ini_tipo", tipo), holds(AUTHOR_GROUPS, party_code(autor_gp or None)),
         contains_text("ini_titulo", q),
     )
-    order = [F.col("legislatura").desc(), F.col("ini_data").desc_nulls_last(), F.col("ini_id").desc()]
+    order = [Key(c, descending=True) for c in ("legislatura", "ini_data", "ini_id")]
     return Listing(topics_with_initiative(coded, heads), order, COLUMNS, limit, offset)
 
 

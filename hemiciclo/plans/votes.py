@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hemiciclo.operators.paging import Listing, newest_first
+from hemiciclo.operators.paging import Key, Listing, newest_first
 from hemiciclo.operators.predicates import (
     DEFAULT_LIMIT, at_least, at_most, contains_text, equals, holds, legislature_code, party_code, select_where,
 )
@@ -34,8 +34,8 @@ def list_votes(
         equals("resultado", resultado), at_least("data", data_desde), at_most("data", data_ate),
         *party_filters(partido_favor, partido_contra, partido_abstencao), contains_text("ini_titulo", q),
     )
-    return Listing(rows, newest_first("data", F.col("vot_id").desc()), LIST_COLUMNS, limit, offset)
+    return Listing(rows, newest_first("data", Key("vot_id", descending=True)), LIST_COLUMNS, limit, offset)
 
 
 def vote(votes: DataFrame, vot_id: str) -> DataFrame:
-    return votes.where(F.col("vot_id") == vot_id).limit(1)
+    return votes.where(F.col("vot_id") == vot_id).drop("ini_autores_gp").limit(1)

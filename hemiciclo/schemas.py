@@ -1,7 +1,8 @@
 """Explicit schemas of the raw documents (bronze) and of the Parquet tables (silver).
 
-Nothing is inferred at read time: a field a document lacks is NULL, a field not listed here is
-ignored, so legislatures whose documents differ still land in one table.
+Nothing is inferred at read time: a field a document lacks is NULL, so legislatures whose documents
+differ still land in one table. A record with a field, at any depth, that isn't listed here also
+keeps its whole source as a VARIANT (`SOURCE`) beside the typed columns; other records have none.
 """
 
 from __future__ import annotations
@@ -58,6 +59,10 @@ INITIATIVES_READ = T.StructType(
     INITIATIVES_RAW.fields + [T.StructField(PART_FIELD, INT), T.StructField(PART_COUNT_FIELD, INT)]
 )
 
+#: The whole source of a record that holds more than what is declared.
+SOURCE = "fonte"
+VARIANT = T.VariantType()
+
 INFO_BASE_RAW = struct(
     DetalheLegislatura=struct(sigla=STR, dtini=DATE, dtfim=DATE),
     Deputados=list_of(
@@ -80,8 +85,11 @@ ACTIVITIES_RAW = struct(AtividadesGerais=struct(Atividades=T.ArrayType(ACTIVITY_
 
 TOPICS_RAW = struct(ini_id=STR, legislatura=STR, cap=INT, cap_label=STR, model_version=STR)
 
+# The base document of a legislature may come in parts too; their lists are joined in this order.
+INFO_BASE_READ = T.StructType([*INFO_BASE_RAW.fields, T.StructField(PART_FIELD, INT)])
+
 BRONZE = {
-    "iniciativas": INITIATIVES_READ, "info_base": INFO_BASE_RAW, "atividades": ACTIVITIES_RAW,
+    "iniciativas": INITIATIVES_READ, "info_base": INFO_BASE_READ, "atividades": ACTIVITIES_RAW,
     "cap": TOPICS_RAW,
 }
 
@@ -116,14 +124,17 @@ def _renamed(raw: T.StructType, names: dict[str, str], **more: T.DataType) -> T.
 
 SILVER = {
     "iniciativas": _renamed(
-        INITIATIVES_RAW, INITIATIVE_NAMES, ini_data=DATE, parte=INT, partes=INT, etl_timestamp=TS, legislatura=STR
+        INITIATIVES_RAW, INITIATIVE_NAMES, ini_data=DATE, parte=INT, partes=INT, fonte=VARIANT, etl_timestamp=TS,
+        legislatura=STR, longa=INT,  # 1: in several parts. Such records lie in files of their own.
     ),
     "votacoes": struct(
         vot_id=STR, ini_id=STR, ini_nr=STR, ini_titulo=STR, ini_tipo=STR, fase=STR, data_fase=DATE,
         data=DATE, resultado=STR, descricao=STR, reuniao=STR, tipo_reuniao=STR, unanime=STR,
-        ausencias=STRINGS, detalhe=STR, detalhe_parsed=PARSED, is_nominal=BOOL, legislatura=STR,
+        ausencias=STRINGS, detalhe=STR, detalhe_parsed=PARSED, is_nominal=BOOL,
+        ini_autores_gp=STRINGS,  # our own addition: the initiative's author parties, never NULL
+        legislatura=STR,
     ),
-    "info_base": T.StructType(INFO_BASE_RAW.fields + [T.StructField("legislatura", STR)]),
+    "info_base": T.StructType([*INFO_BASE_READ.fields, T.StructField(SOURCE, VARIANT), T.StructField("legislatura", STR)]),
     "deputados": struct(
         dep_cad_id=DBL, nome_parlamentar=STR, nome_completo=STR, circulo_atual=STR, circulo_id=DBL,
         partido_atual=STR, situacao_atual=STR,
@@ -135,7 +146,7 @@ SILVER = {
     "partidos": struct(gp_sigla=STR, gp_nome=STR, legislatura=STR),
     "atividades": struct(
         ativ_id=STR, **{ACTIVITY_NAMES[f.name]: f.dataType for f in ACTIVITY_RAW.fields},
-        etl_timestamp=TS, legislatura=STR,
+        fonte=VARIANT, etl_timestamp=TS, legislatura=STR,
     ),
     "atividades_votacoes": struct(
         vot_id=STR, ativ_id=STR, assunto=STR, tipo=STR, numero=STR, data_entrada=DATE,

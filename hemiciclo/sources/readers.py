@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hemiciclo.schemas import BRONZE, CORE_DATASETS, SILVER
+from hemiciclo.schemas import ACTIVITY_RAW, BRONZE, CORE_DATASETS, SILVER, SOURCE
 
 _SUFFIX = {"cap": "csv"}
 
@@ -31,27 +33,60 @@ def bronze_path(spark: SparkSession, root: str, dataset: str, legislature: str)
     return next((p for p in (f"{root}/{n}" for n in names) if path_exists(spark, p)), None)
 
 
+def declared_shape(kind: T.DataType) -> str:
+    """A pattern of what `schema_of_variant` says of values that hold nothing but ``kind`` declares.
+
+    Text takes a value of any shape, as its JSON. Where the shapes of a list's entries don't fit
+    together the function says VARIANT, which may hide anything and so matches text alone.
+    """
+    def bracketed(depth: int) -> str:
+        return r"[^<>]*" if depth == 0 else rf"[^<>]*(?:<{bracketed(depth - 1)}>[^<>]*)*"
+
+    if isinstance(kind, T.ArrayType):
+        return rf"(?:VOID|ARRAY<{declared_shape(kind.elementType)}>)"
+    if isinstance(kind, T.StructType):
+        fields = "|".join(f"{re.escape(f.name)}: {declared_shape(f.dataType)}" for f in kind.fields)
+        return rf"(?:VOID|OBJECT<(?:(?:{fields})(?:, (?!>)|(?=>)))*>)"
+    if isinstance(kind, T.StringType):
+        return rf"[A-Z]+(?:\([0-9,]+\)|<{bracketed(9)}>)?"
+    return r"[A-Z]+(?:\([0-9,]+\))?"
+
+
+def undeclared(source: Column, kind: T.DataType) -> Column:
+    """``source``, a VARIANT, if it holds a field that ``kind`` doesn't declare; else NULL."""
+    return F.when(~F.schema_of_variant(source).rlike(f"^{declared_shape(kind)}$"), source)
+
+
 def read_documents(spark: SparkSession, dataset: str, paths: str | Sequence[str], multiline: bool = True) -> DataFrame:
-    """JSON documents as rows, with the legislature their path names.
+    """JSON documents as rows, with the legislature their path names and, where they hold fields that
+    aren't declared, their source.
 
     An array root gives one row an element, an object root one row. ``multiline`` is for files that
     are one document each (a task a file); without it each line is a document and files split.
     """
-    raw = (
-        spark.read.schema(BRONZE[dataset]).option("multiLine", multiline).option("mode", "FAILFAST")
-        .json(paths if isinstance(paths, str) else list(paths))
-    )
-    # Named columns only: a folder name such as leg=L17 would add one.
-    return raw.select(
-        *BRONZE[dataset].names, legislature_in_path(F.col("_metadata.file_path")).alias("legislatura")
+    # An object root is read as a list of one.
+    typed = F.from_json("value", T.ArrayType(BRONZE[dataset]), {"mode": "FAILFAST"})
+    parsed = F.parse_json("value")
+    sources = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.variant_get(parsed, "$", "array<variant>")).otherwise(F.array(parsed))
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=multiline).select(
+        "value", legislature_in_path(F.col("_metadata.file_path")).alias("legislatura")
     )
+    both = F.explode(F.arrays_zip(typed.alias("typed"), sources.alias("source")))
+    records = lines.where(F.trim("value") != "").select(both.alias("r"), "legislatura")
+    return records.select("r.typed.*", undeclared(F.col("r.source"), BRONZE[dataset]).alias(SOURCE), "legislatura")
 
 
 def activities_in(documents: DataFrame) -> DataFrame:
-    """The wrapped activity list, a row each; a document without it gives none."""
-    return documents.select(F.explode("AtividadesGerais.Atividades").alias("a"), "legislatura").select(
-        "a.*", "legislatura"
+    """The wrapped activity list, a row each; a document without it gives none.
+
+    Each has its own part of the document's source, if that holds fields that aren't declared.
+    """
+    sources = F.variant_get(SOURCE, "$.AtividadesGerais.Atividades", "array<variant>")
+    kept = F.coalesce(sources, F.transform("AtividadesGerais.Atividades", lambda _: F.lit(None).cast("variant")))
+    each = documents.where(F.col("AtividadesGerais.Atividades").isNotNull()).select(
+        F.explode(F.arrays_zip(F.col("AtividadesGerais.Atividades").alias("a"), kept.alias("s"))).alias("e"), "legislatura"
     )
+    return each.select("e.a.*", undeclared(F.col("e.s"), ACTIVITY_RAW).alias(SOURCE), "legislatura")
 
 
 def read_topics(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from hemiciclo.sources.readers import path_exists
 
 ROW_GROUP_ROWS = 100_000  # Fixed value.
 MAX_ROWS_PER_FILE = 5_000_000
+BLOOM_BYTES = 128 * 1024  # 10 bits for each of ROW_GROUP_ROWS keys: one lookup in a hundred is in vain
 INPUT_BYTES_PER_TASK = 64 * 2**20  # compressed; several times that once exploded and sorted
 
 
@@ -38,48 +39,60 @@ def cluster(df: DataFrame, order: Sequence[Column], task_bytes: int = INPUT_BYTE
 
 def write_dataset(
     df: DataFrame, path: str, legislatures: Sequence[str] = (), lookup: Sequence[str] = (),
-    records: Callable[[Column], Column] = F.count_if, strays: str | None = None,
+    records: Callable[[Column], Column] | None = None, strays: str | None = None, closed: bool = False,
+    halves: str | None = None,
 ) -> dict[str | None, int]:
     """Write ``df`` by legislature, replacing the slices it holds and no others.
 
     Gives the records of each named legislature, counted while writing: its rows, or what ``records``
-    makes of the condition that a row is of it. A named one without rows
-    becomes an empty slice. Rows of other legislatures are written to the folder ``strays``, in place of those
-    of the last such run, and counted under None if there are any. ``lookup`` columns get Bloom filters: a point lookup then skips the row
-    groups that don't hold its key.
+    makes of the condition that a row is of it. A named one without rows becomes an empty slice.
+    Unless ``df`` is known to be ``closed``, to hold named legislatures only, rows of others are kept
+    out. They are written to the folder ``strays`` before anything is replaced, in place of those of
+    the last such run, and counted under None if there are any. ``lookup`` columns get Bloom filters:
+    a point lookup then skips the row groups that don't hold its key. ``halves``, a column of 0 and 1,
+    divides a slice's files once more; both halves are replaced together.
     """
-    counted = Observation()
-    counts = [
-        c for leg in legislatures for mine in [F.col("legislatura") == leg]
-        for c in (F.count_if(mine).alias(leg), records(mine).cast("bigint").alias(f"{leg} records"))
-    ]
-    out = df.observe(counted, F.count(F.lit(1)).alias("_all"), *counts)
+    spark, out, others = df.sparkSession, df, 0
     # A slice that wasn't asked for is never replaced: rows of other legislatures go elsewhere, and are told of.
     asked = F.coalesce(F.col("legislatura").isin(list(legislatures)), F.lit(False))
-    if legislatures:
-        out = out.where(asked)
-    writer = _parquet(out).option("parquet.bloom.filter.adaptive.enabled", True)
+    if legislatures and not closed:
+        others = df.where(~asked).count()
+        if strays and (others or path_exists(spark, strays)):
+            _parquet(df.where(~asked) if others else df.limit(0)).parquet(strays)
+        if others:
+            warnings.warn(f"{others} rows of legislatures other than {', '.join(legislatures)} aren't written to {path}", stacklevel=2)
+            out = df.where(asked)
+    counted = Observation()
+    slices = {leg: F.col("legislatura") == leg for leg in legislatures}
+    if halves:
+        slices = {f"{leg}/{halves}={k}": mine & (F.col(halves) == k) for leg, mine in slices.items() for k in (0, 1)}
+    counts = [F.count_if(mine).alias(name) for name, mine in slices.items()]
+    if records is not None:
+        counts += [records(F.col("legislatura") == leg).cast("bigint").alias(f"{leg} records") for leg in legislatures]
+    writer = _parquet(out.observe(counted, *counts) if counts else out)
     for column in lookup:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("legislatura").parquet(path)
-    rows = {leg: counted.get[leg] for leg in legislatures}
-    others = counted.get["_all"] - sum(rows.values()) if legislatures else 0
-    if others:
-        warnings.warn(f"{others} rows of legislatures other than {', '.join(legislatures)} aren't written to {path}", stacklevel=2)
-    if strays and (others or path_exists(df.sparkSession, strays)):
-        _parquet(df.where(~asked) if others else df.limit(0)).parquet(strays)
-    for leg, n in rows.items():
-        if n == 0:
-            _parquet(df.drop("legislatura").limit(0)).parquet(f"{path}/legislatura={leg}")
-    diverted = {None: others} if strays and others else {}
-    return {leg: counted.get[f"{leg} records"] for leg in legislatures} | diverted
+    by = ["legislatura", *([halves] if halves else [])]
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for name in slices:
+        folder = f"{path}/legislatura={name}"
+        # A slice without rows is there and empty, a second half only if it was there before.
+        if counted.get[name] == 0 and (not name.endswith("=1") or path_exists(spark, folder)):
+            _parquet(df.drop(*by).limit(0)).parquet(folder)
+    rows = {leg: sum(counted.get[name] for name in slices if name.split("/")[0] == leg) for leg in legislatures}
+    found = rows if records is None else {leg: counted.get[f"{leg} records"] for leg in legislatures}
+    return found | ({None: others} if strays and others else {})
 
 
 def _parquet(df: DataFrame):
+    """Bloom filters take the smallest of a few sizes that do, up to what a full row group's keys need."""
     return (
         df.write.mode("overwrite").option("compression", "zstd")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .option("parquet.block.row.count.limit", ROW_GROUP_ROWS)
+        .option("parquet.bloom.filter.adaptive.enabled", True)
+        .option("parquet.bloom.filter.max.bytes", BLOOM_BYTES)
+        .option("parquet.bloom.filter.candidates.number", 3)
     )
 
 

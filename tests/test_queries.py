@@ -101,13 +101,14 @@ def test_event_filter_wants_one_event_for_all_conditions(spark):
 def test_unknown_parent_has_no_children(w):
     deputies, parties = w.table("deputados"), w.table("partidos")
     assert people.party_deputies(parties, deputies, "PS", "L13").total.first().total > 0
-    # JPP has deputies in L14 but isn't a party of it.
+    # Deputies and initiatives of a party that the legislature doesn't know aren't listed.
+    parties = parties.where("gp_sigla <> 'JPP' OR legislatura <> 'L14'")
     assert deputies.where("partido_atual = 'JPP' AND legislatura = 'L14'").count() > 0
     assert people.party_deputies(parties, deputies, "jpp", "L14").total.first().total == 0
     assert people.circle_deputies(w.table("circulos"), deputies, 99, "L13").page.count() == 0
     ini = w.table("iniciativas")
     assert people.party_initiatives(parties, ini, "JPP", "L14").total.first().total == 0
-    assert statistics.party_vote_support(parties, ini, w.table("votacoes"), "jpp", "l14").count() == 0
+    assert statistics.party_vote_support(parties, w.table("votacoes"), "jpp", "l14").count() == 0
 
 
 def test_deputy_id_forms_agree(w):
@@ -121,9 +122,9 @@ def test_deputy_id_forms_agree(w):
 
 
 def test_one_party_report_equals_its_share_of_all(w):
-    ini, v = w.table("iniciativas"), w.table("votacoes")
-    every = statistics.vote_support(ini, v).where("author = 'PCP' AND legislatura = 'L17'")
-    one = statistics.vote_support(ini, v, "pcp", "l17").select(every.columns)
+    v = w.table("votacoes")
+    every = statistics.vote_support(v).where("author = 'PCP' AND legislatura = 'L17'")
+    one = statistics.vote_support(v, "pcp", "l17").select(every.columns)
     assert one.exceptAll(every).count() == 0 and every.exceptAll(one).count() == 0 and one.count() > 0
 
 
@@ -171,7 +172,7 @@ def test_checks_find_faults(spark, w):
     codes = [(str(c), c, t) for c, t in TOPIC_LABELS.items()] + [("x", 11, "Saúde"), ("y", 3, ""), ("z", 3, "Energia"), ("n", None, None)]
     coded = spark.createDataFrame(codes, "ini_id string, cap int, cap_label string")
     assert sorted(r.ini_id for r in quality.bad_topics(coded).collect()) == ["n", "x", "y", "z"]
-    assert quality.wrong_counts(w.table("partidos"), {"L13": 2, "L99": 1}).collect() == [("L99", 0, 1)]
+    assert quality.wrong_counts(w.table("partidos"), {"L13": 3, "L99": 1}).collect() == [("L99", 0, 1)]
     more = w.table("cap").unionAll(w.table("cap")).unionAll(w.table("cap"))
     assert quality.over_classified(more, w.table("iniciativas")).count() == 5
     listing = votes.list_votes(w.table("votacoes"), limit=20)
@@ -210,6 +211,43 @@ def test_position_report_counts_before_its_only_shuffle(w):
     assert "Union" not in text and "detalhe:" not in text
 
 
+def test_author_reports_join_no_initiatives(w):
+    for report in (statistics.party_outcomes(w.table("votacoes")), statistics.vote_support(w.table("votacoes")), statistics.vote_support(w.table("votacoes"), "PS")):
+        text = plan(report, "simple")
+        assert "Join" not in text and text.count("Scan parquet") == 1
+
+
+def test_authors_must_be_stored(w):
+    old = w.table("votacoes").withColumn("ini_autores_gp", F.lit(None).cast("array<string>"))
+    with pytest.raises(Exception, match="write it anew"):
+        statistics.party_outcomes(old).collect()
+
+
+def test_bundle_reads_votes_once(w):
+    assert plan(statistics.vote_cells(w.table("votacoes")), "simple").count("Scan parquet") == 1
+    tables = [w.table(n) for n in ("iniciativas", "votacoes", "atividades", "atividades_votacoes")]
+    assert "Scan parquet" not in plan(statistics.bundle(*tables), "simple")  # only the counts that are written down
+
+
+def test_bundle_is_made_of_the_reports(w):
+    ini, v, a, av = (w.table(n) for n in ("iniciativas", "votacoes", "atividades", "atividades_votacoes"))
+    whole = statistics.bundle(ini, v, a, av)
+    for name, report in {
+        "initiatives_by_fase": statistics.initiatives_by_phase(v), "initiatives_by_party": statistics.initiatives_by_party(ini, v),
+        "votes_by_event_type": statistics.votes_by_phase(v), "votes_by_party_and_type": statistics.votes_by_party_and_position(v),
+        "atividades_by_tipo": statistics.activities_by_type(a), "atividades_votes_by_tipo": statistics.activity_votes_by_type(av),
+    }.items():
+        laid = whole.select("legislatura", F.inline(name)).select(report.columns)
+        assert sorted(map(tuple, laid.collect()), key=repr) == sorted(map(tuple, report.collect()), key=repr), name
+
+
+def test_flags_and_counts_read_no_vote_texts(w):
+    from hemiciclo.catalog import QUERIES
+
+    for name in ("p5_struct_fields", "f12_null_and_empty_guards", "c3_list_flag", "c11_list_functions"):
+        assert "detalhe" not in plan(QUERIES[name](w.spark, SF_DIR)), name
+
+
 def test_activity_list_reads_no_vote_text(w):
     text = plan(activities.list_activities(w.table("atividades"), tipo="VOT").page)
     assert "votacao_debate:array<struct<id:string>>" in text and "detalhe" not in text

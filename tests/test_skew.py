@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from hemiciclo import fixtures
 from hemiciclo.operators.skew import oversized_keys, small_side
 from hemiciclo.plans import initiatives, silver, statistics
+from hemiciclo.schemas import SILVER
 from hemiciclo.sources.readers import read_documents
 from hemiciclo.sources.shared import settled, shared_folder
 
@@ -85,23 +86,22 @@ def shuffled_joins(spark):
 
 
 def test_votes_of_one_initiative_are_split(spark, shuffled_joins):
-    """A third of all votes on one initiative: the join splits that partition and counts stay right."""
+    """A third of all votes on one initiative: nothing is dealt by initiative, and counts are combined first."""
     n = 60_000
     votes = spark.range(0, n, 1, 12).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("ini_id"),
         F.lit("L17").alias("legislatura"), F.lit("F").alias("fase"),
         F.when(F.rand(1) < 0.5, "Aprovado").otherwise("Rejeitado").alias("resultado"),
+        F.array(F.lit("PS"), F.lit("IL")).alias("ini_autores_gp"), F.lit(None).cast(SILVER["votacoes"]["detalhe_parsed"].dataType).alias("detalhe_parsed"),
     )
-    ini = spark.range(0, n, 1, 12).select(
-        F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("ini_id"), F.lit("L17").alias("legislatura"),
-        F.lit(0).alias("parte"),
-        F.array(*[F.struct(F.lit(g).alias("GP")) for g in ("PS", "IL")]).alias("ini_autor_grupos_parlamentares"),
-    )
-    out = statistics.party_outcomes(ini, votes)
+    out = statistics.party_outcomes(votes)
     totals = {r.party: r.n for r in out.groupBy("party").agg(F.sum("vote_count").alias("n")).collect()}
     assert totals == {"PS": n, "IL": n}
-    out.collect()
-    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(ini_id" not in plan
+    cells = {(r.kind, r.resultado): (r.n, r.initiatives) for r in statistics.vote_cells(votes).collect()}
+    assert sum(k for (kind, _), (k, _) in cells.items() if kind == "vote") == n
+    assert sum(k for (kind, _), (_, k) in cells.items() if kind == "initiative") <= 2 + 2 * n // 3
 
 
 class Session:

@@ -1,7 +1,10 @@
 """Reading documents as the source delivers them, writing slices, and running all jobs."""
 
+import contextlib
 import datetime
+import io
 import json
+import re
 
 import pyarrow.parquet as pq
 import pytest
@@ -334,3 +337,100 @@ def test_codes_with_a_line_end_are_refused(spark):
         legislature_code("L17\n")
     rows = normalize_codes(spark.createDataFrame([("l17",), ("L17\n",)], "leg string"), "leg", LEGISLATURE_PATTERN).collect()
     assert [r.code_valid for r in rows] == [True, False]
+
+
+KNOWN = {"IniId": "1", "Links": [{"any": {"shape": [1]}}], "IniEventos": [{"EvtId": "e", "Fase": "F", "Votacao": [{"id": "v", "ausencias": ["PS"]}]}]}
+
+
+@pytest.mark.parametrize("change, kept", [
+    ({}, False), ({"IniEventos": None}, False), ({"IniEventos": []}, False), ({"IniTitulo": 5, "IniObs": 1.5, "IniSel": True}, False),
+    ({"Links": {"x": [[{"y": {"z": {"q": 1}}}]]}}, False), ({"Novo": 1}, True), ({"IniEventos": [{"Novo": {"a": 1}}]}, True),
+    ({"IniEventos": [{"EvtId": "e"}, {"Votacao": [{"id": "v"}, {"id": "w", "Links": "declared elsewhere"}]}]}, True),
+    ({"IniAutorOutros": {"sigla": "G", "cargo": "x"}}, True), ({"odd name": 1}, True),
+])
+def test_records_with_undeclared_fields_keep_their_source(spark, tmp_path, change, kept):
+    record = KNOWN | change
+    (tmp_path / "iniciativas_l17.json").write_text(json.dumps([record, KNOWN]))
+    rows = readers.read_documents(spark, "iniciativas", str(tmp_path / "iniciativas_l17.json"))
+    got = rows.select("IniId", F.to_json("fonte").alias("source")).collect()
+    assert [r.IniId for r in got] == ["1", "1"] and got[1].source is None
+    assert (json.loads(got[0].source) if got[0].source else None) == (record if kept else None)
+
+
+def test_undeclared_fields_reach_the_tables(spark, bronze, tmp_path):
+    root = str(tmp_path / "silver")
+    event = {"EvtId": "e9", "Fase": "Entrada", "Intervencoes": [{"orador": "Ana"}]}
+    (bronze / "iniciativas_l17.json").write_text(json.dumps([{"IniId": "9", "IniNr": "1", "IniEventos": [event]}, {"IniId": "8"}]))
+    (bronze / "atividades_l17.json").write_text(json.dumps(
+        {"AtividadesGerais": {"Atividades": [{"Tipo": "VOT", "Numero": "1", "Convidados": ["x"]}, {"Tipo": "VOT", "Numero": "2"}]}}
+    ))
+    base = {"DetalheLegislatura": {"sigla": "XVII"}, "Deputados": [{"DepCadId": 1.0, "DepCargo": "vice"}], "GruposParlamentares": [], "CirculosEleitorais": []}
+    (bronze / "info_base_l17.json").write_text(json.dumps(base))
+    report = silver.run_all(spark, str(bronze), root, ["L17"], ["iniciativas", "info_base", "atividades"]).collect()
+    assert {r.status for r in report} == {"ok"}
+
+    def found(name, key, path):
+        rows = readers.read_dataset(spark, root, name).select(key, F.try_variant_get("fonte", path, "string").alias("x")).collect()
+        return {r[0]: r.x for r in rows}
+
+    assert found("iniciativas", "ini_id", "$.IniEventos[0].Intervencoes[0].orador") == {"9": "Ana", "8": None}
+    assert found("atividades", "ativ_id", "$.Convidados[0]") == {"L17_VOT_1": "x", "L17_VOT_2": None}
+    assert found("info_base", "legislatura", "$.Deputados[0].DepCargo") == {"L17": "vice"}
+    typed = readers.read_dataset(spark, root, "iniciativas").select(F.col("ini_eventos.Fase"))
+    assert "fonte" not in typed._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<struct<Fase:string>>" in typed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partial_base_documents_make_one_record(spark, tmp_path):
+    from hemiciclo.plans import legislatures
+
+    folder = tmp_path / "info_base" / "leg=L17"
+    folder.mkdir(parents=True)
+    deputies = [{"Parte": k, "Deputados": [{"DepCadId": float(10 * k + i)} for i in (2, 1)]} for k in (3, 1, 2)]
+    head = {"DetalheLegislatura": {"sigla": "XVII"}, "GruposParlamentares": [{"sigla": "PS"}], "Deputados": []}
+    (folder / "part-0.txt").write_text("\n".join(json.dumps(d) for d in [*deputies, head]))
+    base = silver.info_base(readers.read_documents(spark, "info_base", str(tmp_path / "info_base"), multiline=False))
+    (one,) = legislatures.legislature(base, "l17").collect()
+    assert (one.DetalheLegislatura.sigla, [g.sigla for g in one.GruposParlamentares]) == ("XVII", ["PS"])
+    assert [d.DepCadId for d in one.Deputados] == [12.0, 11.0, 22.0, 21.0, 32.0, 31.0]
+    assert one.CirculosEleitorais is None and one.SessoesLegislativas is None
+    assert legislatures.legislature(base, "L16").count() == 0
+
+
+def test_long_initiatives_lie_in_files_of_their_own(spark, bronze, tmp_path):
+    """A long initiative is read again by the event filter, others aren't; a slice's halves are replaced together."""
+    from hemiciclo.plans.initiatives import with_matching_event
+
+    root, event = str(tmp_path / "silver"), {"EvtId": "e", "Fase": "F", "DataFase": "2024-01-01"}
+    parts = [{"IniId": "9", "IniNr": "1", "Parte": k, "Partes": 2, "IniEventos": [event | {"Fase": f}]} for k, f in enumerate("AB")]
+    (bronze / "iniciativas_l17.json").write_text(json.dumps([*parts, {"IniId": "8", "IniNr": "2", "IniEventos": [event]}]))
+    report = silver.run_all(spark, str(bronze), root, LEGS, ["iniciativas"]).collect()
+    assert {(r.legislatura, r.status, r.rows) for r in report} == {("L16", "ok", 1), ("L17", "ok", 2)}
+    ini = readers.read_dataset(spark, root, "iniciativas")
+    assert ini.schema == SILVER["iniciativas"] and {(r.ini_id, r.longa) for r in ini.collect()} == {("1", 0), ("8", 0), ("9", 1)}
+
+    found = with_matching_event(ini, phases=["B", "F"])
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        found.explain("formatted")
+    scans = re.findall(r"PartitionFilters: .*longa#\d+ = ([01])", out.getvalue())
+    assert sorted(scans) == ["0", "1", "1"]
+    assert sorted(r.ini_id for r in found.collect()) == ["8", "9"]
+
+    (bronze / "iniciativas_l17.json").write_text(json.dumps([{"IniId": "8", "IniNr": "2"}]))
+    silver.run_all(spark, str(bronze), root, ["L17"], ["iniciativas"])
+    assert sorted(r.ini_id for r in readers.read_dataset(spark, root, "iniciativas").collect()) == ["1", "8"]
+    (bronze / "iniciativas_l17.json").write_text(json.dumps(parts))
+    silver.run_all(spark, str(bronze), root, ["L17"], ["iniciativas"])
+    assert {(r.ini_id, r.parte) for r in readers.read_dataset(spark, root, "iniciativas").collect()} == {("1", 0), ("9", 0), ("9", 1)}
+
+
+def test_strays_are_written_before_slices_are_replaced(spark, tmp_path, monkeypatch):
+    path, strays = str(tmp_path / "slices"), str(tmp_path / "strays")
+    schema = "legislatura string, id int"
+    writers.write_dataset(spark.createDataFrame([("L17", 1)], schema), path, ["L17"])
+    kept = writers._parquet
+    monkeypatch.setattr(writers, "_parquet", lambda df: (_ for _ in ()).throw(OSError("disk full")) if "L16" in {r.legislatura for r in df.collect()} else kept(df))
+    with pytest.raises(OSError):
+        writers.write_dataset(spark.createDataFrame([("L16", 2), ("L17", 3)], schema), path, ["L17"], strays=strays)
+    assert [r.id for r in spark.read.parquet(path).collect()] == [1]
