@@ -13,7 +13,6 @@ from hemiciclo.functions.positions import vote_positions
 from hemiciclo.operators.predicates import equals, legislature_code, select_where
 from hemiciclo.plans.initiatives import AUTHOR_GROUPS, headers
 from hemiciclo.plans.people import party
-from hemiciclo.sources.shared import settled
 
 LEG = "legislatura"
 VOTED = ("a_favor", "contra", "abstencao")  # absences are parsed but never counted
@@ -188,25 +187,33 @@ def vote_cells(votes: DataFrame, legislatura: str | None = None) -> DataFrame:
     """What the reports count in votes, in one pass over them: (legislatura, kind, ..., n, initiatives).
 
     Kinds: `vote`, by phase, result and author list; `initiative`, distinct ones by phase and result; and
-    `position`, by party. Each vote gives a row for each, and they are combined before the shuffle.
+    `position`, by party. Votes are first counted by all that they share, whole lists included, and
+    beside that by initiative; only those counts are spread over cells.
     """
-    def cell(kind: str, **values: Column) -> Column:
-        kinds = dict.fromkeys([*_CELL[1:], "ini_id"], "string") | {"authors": "array<string>"}
-        return F.struct(F.lit(kind).alias("kind"), *[(values.get(c, F.lit(None)).cast(t)).alias(c) for c, t in kinds.items()])
-
-    phase = {c: F.col(c) for c in ("fase", "resultado")}
+    lists = {p: F.coalesce(F.col(f"detalhe_parsed.{p}"), F.array().cast("array<string>")) for p in VOTED}
     known = F.col("fase").isNotNull() & F.col("resultado").isNotNull()
-    once = F.array_compact(F.array(
-        cell("vote", authors=authors_of(votes), **phase), F.when(known, cell("initiative", ini_id=F.col("ini_id"), **phase))
-    ))
+
+    def row(kind: str, keep: bool) -> Column:
+        kept = {"authors": authors_of(votes), **lists}
+        none = F.lit(None).cast("array<string>")
+        return F.struct(F.lit(kind).alias("kind"), *[(c if keep else none).alias(n) for n, c in kept.items()],
+                        (F.lit(None).cast("string") if keep else F.col("ini_id")).alias("ini_id"))
+
+    each = F.array_compact(F.array(row("vote", True), F.when(known, row("initiative", False))))
+    rows = _of(votes, legislatura).select(LEG, "fase", "resultado", F.explode(each).alias("c")).select(LEG, "fase", "resultado", "c.*")
+    counted = rows.groupBy(LEG, "fase", "resultado", "kind", "authors", *VOTED, "ini_id").agg(_rows().alias("n"))
+
+    kinds = dict.fromkeys(_CELL[1:], "string") | {"authors": "array<string>"}
+
+    def cell(kind: Column, **values: Column) -> Column:
+        return F.struct(kind.alias("kind"), *[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
     def positions(p: str) -> Column:
-        parties = F.array_compact(F.coalesce(F.col(f"detalhe_parsed.{p}"), F.array().cast("array<string>")))
-        return F.transform(parties, lambda x: cell("position", party=x, position=F.lit(p)))
+        return F.transform(F.coalesce(F.array_compact(p), F.array()), lambda x: cell(F.lit("position"), party=x, position=F.lit(p)))
 
-    rows = _of(votes, legislatura).select(LEG, F.explode(F.concat(once, *map(positions, VOTED))).alias("c")).select(LEG, "c.*")
-    counted = rows.groupBy(LEG, *_CELL, "ini_id").agg(_rows().alias("n"))
-    return counted.groupBy(LEG, *_CELL).agg(F.sum("n").alias("n"), F.count("ini_id").alias("initiatives"))
+    own = F.array(cell(F.col("kind"), **{c: F.col(c) for c in ("fase", "resultado", "authors")}))
+    cells = counted.select(LEG, "n", "ini_id", F.explode(F.concat(own, *map(positions, VOTED))).alias("c")).select(LEG, "n", "ini_id", "c.*")
+    return cells.groupBy(LEG, *_CELL).agg(F.sum("n").alias("n"), F.count("ini_id").alias("initiatives"))
 
 
 def bundle(
@@ -216,42 +223,75 @@ def bundle(
     """All reports as one nested record a legislature.
 
     Each table is read once, into counts by parties, phases and types (`vote_cells`). Those few rows
-    are written down, and the reports, whose lists hold them and never data rows, are made of them.
+    become rows of the reports they count for, are added up in one more shuffle and gathered in
+    another. The lists hold such sums, never data rows.
     """
-    def counts(df: DataFrame, kind: str, by: str, measure: Column = _rows()) -> DataFrame:
-        return df.groupBy(LEG, F.col(by).alias("by")).agg(measure.alias("n")).withColumn("kind", F.lit(kind))
-
-    parts = [
-        vote_cells(votes, legislatura), counts(_of(activities, legislatura), "activity", "ativ_tipo"),
-        counts(_of(activity_votes, legislatura), "activity_vote", "tipo"),
-        counts(party_totals(initiatives, legislatura), "party", "party", F.first("total_initiatives")),
-    ]
-    cells = parts[0]
-    for part in parts[1:]:
+    def counts(df: DataFrame, kind: str, by: str) -> DataFrame:
+        return df.groupBy(LEG, F.col(by).alias("by")).agg(_rows().alias("n")).withColumn("kind", F.lit(kind))
+
+    totals = party_totals(initiatives, legislatura)
+    cells = vote_cells(votes, legislatura)
+    for part in (
+        counts(_of(activities, legislatura), "activity", "ativ_tipo"), counts(_of(activity_votes, legislatura), "activity_vote", "tipo"),
+        totals.select(LEG, F.col("party").alias("by"), F.col("total_initiatives").alias("n"), F.lit("party").alias("kind")),
+    ):
         cells = cells.unionByName(part, allowMissingColumns=True)
-    cells = settled(cells)
-
-    def of_kind(kind: str, *columns: str | Column) -> DataFrame:
-        return cells.where(F.col("kind") == kind).select(LEG, *columns)
-
-    in_votes = of_kind("vote", "fase", "resultado", "authors", "n")
-    phases = in_votes.where("fase is not null")
-    by_result = of_kind("initiative", "fase", "resultado", F.col("n").alias("vote_count"), F.col("initiatives").alias("initiative_count"))
-    reports = {
-        "initiatives_by_fase": by_result,
-        "initiatives_by_party": _with_outcomes(of_kind("party", F.col("by").alias("party"), F.col("n").alias("total_initiatives")), _by_author(in_votes)),
-        "votes_by_event_type": phases.groupBy(LEG, "fase").agg(F.sum("n").alias("vote_count")),
-        "votes_by_party_and_type": _labelled(of_kind("position", "party", "position", F.col("n").alias("vote_count"))),
-        "atividades_by_tipo": of_kind("activity", F.col("by").alias("tipo"), F.col("n").alias("count")).where("tipo is not null"),
-        "atividades_votes_by_tipo": of_kind("activity_vote", F.col("by").alias("tipo"), F.col("n").alias("vote_count")).where("tipo is not null"),
-        "vote_source_breakdown": _sources(
-            in_votes.select(LEG, F.col("n").alias("i"), F.lit(0).alias("a")), of_kind("activity_vote", F.lit(0).alias("i"), F.col("n").alias("a")), legislatura
+
+    def line(report: str, party: Column | None = None, fase: Column | None = None, rest: Column | None = None) -> Column:
+        values = {"party": party, "fase": fase, "rest": rest}
+        return F.struct(F.lit(report).alias("report"), *[F.lit(None).cast("string").alias(c) if v is None else v.alias(c) for c, v in values.items()])
+
+    fase, resultado, by, kind = (F.col(c) for c in ("fase", "resultado", "by", "kind"))
+    label = F.col("position")
+    for position, text in POSITION_LABELS.items():
+        label = F.when(F.col("position") == position, text).otherwise(label)
+    outcomes = F.when(fase.isNotNull() & resultado.isNotNull(), F.transform(F.array_compact("authors"), lambda x: line("outcome", x, fase, resultado)))
+    of_kind = {
+        "vote": F.concat(
+            F.array_compact(F.array(line("vote"), F.when(fase.isNotNull(), line("phase", fase=fase)))),
+            F.coalesce(outcomes, F.array().cast("array<struct<report:string,party:string,fase:string,rest:string>>")),
         ),
+        "initiative": F.array(line("initiative", fase=fase, rest=resultado)), "position": F.array(line("position", F.col("party"), rest=label)),
+        "activity": F.array(line("activity", rest=by)), "activity_vote": F.array(line("activity_vote", rest=by)), "party": F.array(line("party", by)),
     }
-    stacked = None
-    for name, report in reports.items():
-        rows = report.select(LEG, F.struct(*[c for c in report.columns if c != LEG]).alias(name))
-        stacked = rows if stacked is None else stacked.unionByName(rows, allowMissingColumns=True)
-    lists = {name: F.sort_array(F.collect_list(name)).alias(name) for name in reports}
-    lists["vote_source_breakdown"] = F.first("vote_source_breakdown", ignorenulls=True).alias("vote_source_breakdown")
-    return stacked.groupBy(LEG).agg(*lists.values())
+    lines = F.when(kind == "vote", of_kind.pop("vote"))
+    for name, made in of_kind.items():
+        lines = lines.when(kind == name, made)
+    rows = cells.select(LEG, "n", "initiatives", F.explode(lines).alias("r")).select(LEG, "r.*", "n", "initiatives")
+    summed = rows.groupBy(LEG, "report", "party", "fase", "rest").agg(F.sum("n").alias("n"), F.sum("initiatives").alias("initiatives"))
+
+    def listed(report: str, **fields: str) -> Column:
+        """The lines of a report as a sorted list; one without a type belongs to none."""
+        mine = F.col("report") == report
+        if report.startswith("activity"):
+            mine &= F.col("rest").isNotNull()
+        return F.sort_array(F.collect_list(F.when(mine, F.struct(*[F.col(c).alias(name) for name, c in fields.items()]))))
+
+    def of(report: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("report") == report, F.col("n"))), F.lit(0))
+
+    gathered = [
+        listed("initiative", fase="fase", resultado="rest", vote_count="n", initiative_count="initiatives").alias("initiatives_by_fase"),
+        listed("party", party="party", total_initiatives="n").alias("_parties"),
+        listed("outcome", party="party", fase="fase", resultado="rest", count="n").alias("_outcomes"),
+        listed("phase", fase="fase", vote_count="n").alias("votes_by_event_type"),
+        listed("position", party="party", vote_type="rest", vote_count="n").alias("votes_by_party_and_type"),
+        listed("activity", tipo="rest", count="n").alias("atividades_by_tipo"),
+        listed("activity_vote", tipo="rest", vote_count="n").alias("atividades_votes_by_tipo"),
+        F.struct(of("vote").alias("iniciativas"), of("activity_vote").alias("atividades"), (of("vote") + of("activity_vote")).alias("total"))
+        .alias("vote_source_breakdown"),
+    ]
+    if legislatura is not None:  # has a record even if nothing is known of it
+        whole = summed.agg(F.lit(legislature_code(legislatura)).alias(LEG), *gathered)
+    else:
+        whole = summed.groupBy(LEG).agg(*gathered)
+
+    def own(p: Column) -> Column:
+        mine = F.filter("_outcomes", lambda o: o["party"] == p["party"])
+        return F.transform(mine, lambda o: F.struct(*[o[c].alias(c) for c in ("fase", "resultado", "count")]))
+
+    parties = F.transform("_parties", lambda p: F.struct(p["party"].alias("party"), p["total_initiatives"].alias("total_initiatives"), own(p).alias("fase_outcomes")))
+    return whole.select(
+        LEG, "initiatives_by_fase", parties.alias("initiatives_by_party"), "votes_by_event_type", "votes_by_party_and_type", "atividades_by_tipo",
+        "atividades_votes_by_tipo", "vote_source_breakdown",
+    )
