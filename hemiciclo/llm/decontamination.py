@@ -5,9 +5,10 @@ through it: the automaton's state is the longest suffix read so far that some it
 to shorter suffixes tell which windows of ``window`` words end here and in which items. An item of fewer
 words than a window is a window of its own. Words inside a window's occurrence are hit.
 
-Items are dealt into automata of at most WORDS_PER_AUTOMATON words, so that what is sent to the executors
-is bounded however long the benchmark is; each automaton takes one pass over the documents, whose hits
-are merged as intervals.
+Items are dealt into automata of at most WORDS_PER_AUTOMATON words. Each takes one pass over the documents, whose
+hits are merged as intervals. AUTOMATA_AT_ONCE of them are sent to the executors and passed in one stage; then the
+documents with their hits are written down and the next ones take their place. So what the executors hold is bounded
+however long the benchmark is, and the driver holds the items of one automaton.
 
 Edge cases: null and empty texts have no words; an item without words has no window; items of one id are
 one item; an item without an id hits, but isn't counted or named; repeated documents are judged each.
@@ -23,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hemiciclo.llm.common import free_name, plain_words, with_struct
+from hemiciclo.sources.shared import settled
 
 WINDOW = 10
-WORDS_PER_AUTOMATON = 200_000
+WORDS_PER_AUTOMATON, AUTOMATA_AT_ONCE = 200_000, 4
 #: A document of which more is hit is dropped; else only its hit spans go.
 MAX_COVERAGE = 0.5
 KIND = "n_words bigint, starts array<int>, ends array<int>, items array<string>"
@@ -163,9 +165,17 @@ def merged(one: dict, other: dict) -> dict:
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with a struct ``name``: number of words, disjoint hit spans in words, ids of the items found."""
-    spark, passes = docs.sparkSession, []
-    for k, automaton in enumerate(automata(benchmark, window)):
+    spark, passes, sent_now = docs.sparkSession, [], []
+    for automaton in automata(benchmark, window):
+        if len(sent_now) == AUTOMATA_AT_ONCE:
+            # What the last ones found is written down, and they leave the executors.
+            docs, passes = _joined(docs, passes)
+            docs = settled(docs)
+            for sent in sent_now:
+                sent.destroy()
+            sent_now = []
         sent = spark.sparkContext.broadcast(automaton)
+        sent_now.append(sent)
 
         def found(texts, sent=sent):
             rows = []
@@ -175,11 +185,18 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", text: s
                 rows.append({"n_words": len(words), "starts": starts, "ends": ends, "items": sorted(x for x in items if x is not None)})
             return rows
 
-        passes.append(free_name(docs, f"_hits{k}"))
+        passes.append(free_name(docs, "_hits"))
         docs = with_struct(docs, text, found, passes[-1], KIND)
+    docs, (last,) = _joined(docs, passes)
+    return docs.withColumnRenamed(last, name)
+
+
+def _joined(docs: DataFrame, passes: list[str]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with one struct of hits in place of several."""
     if len(passes) == 1:
-        return docs.withColumnRenamed(passes[0], name)
-    return with_struct(docs, passes, lambda *found: [reduce(merged, row) for row in zip(*found, strict=True)], name, KIND).drop(*passes)
+        return docs, passes
+    whole = free_name(docs, "_hits")
+    return with_struct(docs, passes, lambda *found: [reduce(merged, row) for row in zip(*found, strict=True)], whole, KIND).drop(*passes), [whole]
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -9,6 +9,9 @@ two labels, main text or not, is trained on labelled pages by maximum likelihood
 Labelled pages: `labelled_pages` composes layouts (semantic tags, named containers, bare pages) out of parts
 whose labels are known, with filler of all lengths, so that no length or language decides by itself.
 
+Each open element takes one frame that shares its parent's sets, and only names the chain knows are kept, so time
+and memory stay in proportion to the page, however deep it is.
+
 Edge cases: null and empty html give an empty text; unclosed and stray tags are closed as browsers do it,
 nearly; a page that ends inside a tag, comment or script ends there; repeated rows are extracted each.
 """
@@ -18,8 +21,10 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +40,8 @@ HIDDEN = frozenset("head script style template noscript title iframe object audi
 #: Inline elements with a markup of their own, whose tags may close themselves, and the parts that aren't shown.
 FOREIGN = frozenset(("math", "svg"))
 UNSHOWN = frozenset("annotation annotation-xml desc metadata".split())
+#: Hidden elements whose content is text, not markup.
+_RAW = frozenset("script style title iframe".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>|[^>]*>|[^>]*\Z)|[!?][^>]*(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -42,15 +49,76 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: An open p ends where one of these begins.
 _ENDS_P = BLOCKS - {"option", "button", "select", "textarea", "legend", "summary", "caption"}
+#: Elements that end one another.
+_ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+class Frame(NamedTuple):
+    """An open element with what is open around it. Sets are those of the parent unless something new opens,
+    so a page with very many open elements takes no more than one frame for each."""
+
+    parent: Frame | None
+    tag: str
+    telling: frozenset[str]
+    inner: str  # the innermost telling tag
+    within: tuple[frozenset[str] | None, frozenset[str] | None]  # telling tags inside the outermost article and main
+    names: frozenset[str]
+
+
 @dataclass
 class Block:
     text: str
     linked: int = 0  # characters inside links
-    tags: tuple[str, ...] = ()
-    names: tuple[str, ...] = ()
+    frame: Frame | None = None
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """All open elements, the outermost first."""
+        out, frame = [], self.frame
+        while frame is not None:
+            out.append(frame.tag)
+            frame = frame.parent
+        return tuple(reversed(out))
+
+
+_NOTHING: frozenset[str] = frozenset()
+
+
+def opened(parent: Frame | None, tag: str, names: tuple[str, ...]) -> Frame:
+    telling, inner, within, known = parent[2:] if parent else (_NOTHING, "none", (None, None), _NOTHING)
+    if tag in _TELLING:
+        within = tuple(w if w is None or tag in w else w | {tag} for w in within)
+        within = tuple(_NOTHING if w is None and tag == t else w for w, t in zip(within, ("article", "main"), strict=True))
+        telling, inner = telling if tag in telling else telling | {tag}, tag
+    return Frame(parent, tag, telling, inner, within, known if known.issuperset(names) else known.union(names))
+
+
+def hidden_end(page: str, at: int, name: str) -> int | None:
+    """Where the hidden element that opened before ``at`` has ended; None if it doesn't end.
+
+    What looks like its end tag inside a script, style or comment isn't one.
+    """
+    if name in _RAW:
+        end = _end_tag(name).search(page, at)
+        return end.end() if end else None
+    while True:
+        m = _TAG.search(page, at)
+        if m is None:
+            return None
+        at, inner = m.end(), (m[2] or "").lower()
+        if m[1] and inner == name:
+            return at
+        if not m[1] and inner in _RAW:
+            end = _end_tag(inner).search(page, at)
+            if end is None:
+                return None
+            at = end.end()
+
+
+@lru_cache(256)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
 
 
 @lru_cache(4096)
@@ -61,38 +129,44 @@ def _named(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(words))
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order; white space inside a block is one blank, references are decoded."""
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order; white space inside a block is one blank, references are decoded.
+
+    Of names only ``known`` ones are kept, if given: then what a frame holds is bounded, however many are open.
+    """
     found: list[Block] = []
     if not page:
         return found
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Frame] = []
+    open_tags: Counter[str] = Counter()
+    endless: set[str] = set()  # hidden elements that don't end behind here
     parts: list[str] = []
-    linked = at = links = 0
+    linked = at = 0
 
     def close():
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, linked, tuple(t for t, _ in stack), tuple(n for _, names in stack for n in names)))
+            found.append(Block(text, linked, stack[-1] if stack else None))
         parts.clear()
         linked = 0
 
     def pop(to: int):
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[to:])
+        open_tags.subtract(f.tag for f in stack[to:])
         del stack[to:]
 
     def foreign() -> bool:
         """Whether what is open is part of a formula or drawing."""
-        return next((t in FOREIGN for t, _ in reversed(stack) if t in BLOCKS or t in FOREIGN), False)
+        if not any(open_tags[t] for t in FOREIGN):
+            return False
+        return next((f.tag in FOREIGN for f in reversed(stack) if f.tag in BLOCKS or f.tag in FOREIGN), False)
 
     while True:
         m = _TAG.search(page, at)
         text = page[at:m.start() if m else len(page)]
         if text:
             parts.append(text)
-            if links:
+            if open_tags["a"]:
                 linked += len(text)
         if m is None:
             close()
@@ -106,11 +180,11 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if name in BLOCKS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+            for i in range(len(stack) - 1, -1, -1) if open_tags[name] else ():
+                if stack[i].tag == name:
                     pop(i)
                     break
-                if name not in BLOCKS and stack[i][0] in BLOCKS:
+                if name not in BLOCKS and stack[i].tag in BLOCKS:
                     break  # an inline tag doesn't close a block
             continue
         if name == "br":
@@ -118,44 +192,48 @@ def blocks(page: str | None) -> list[Block]:
             continue
         empty = name in EMPTY or (m[3].rstrip(">").endswith("/") and (name in FOREIGN or foreign()))
         if name in HIDDEN or (name in UNSHOWN and foreign()):
-            end = None if empty else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            if end is not None:
-                at = end.end()
-            elif not empty:
-                at = len(page) if name in ("script", "style", "template") else at
+            if not empty and name not in endless:
+                end = hidden_end(page, at, name)
+                if end is not None:
+                    at = end
+                elif name in ("script", "style", "template"):
+                    at = len(page)
+                else:
+                    endless.add(name)
             continue
         if name in BLOCKS:
             close()
             if name in _ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
+                for i in range(len(stack) - 1, -1, -1) if open_tags["p"] else ():
+                    if stack[i].tag == "p":
                         pop(i)
                         break
-                    if stack[i][0] in ("button", "table", "td", "th"):
+                    if stack[i].tag in ("button", "table", "td", "th"):
                         break
             if name in _SAME:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name or (name in ("dt", "dd") and stack[i][0] in ("dt", "dd")) or (name in ("td", "th") and stack[i][0] in ("td", "th")):
+                alike = _ALIKE.get(name, (name,))
+                for i in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in alike) else ():
+                    if stack[i].tag in alike:
                         pop(i)
                         break
-                    if stack[i][0] in _SAME[name]:
+                    if stack[i].tag in _SAME[name]:
                         break
         if not empty:
-            stack.append((name, _named(m[3])))
-            links += name == "a"
+            names = _named(m[3])
+            stack.append(opened(stack[-1] if stack else None, name, names if known is None else tuple(w for w in names if w in known)))
+            open_tags[name] += 1
 
 
 def features(block: Block, at: int, of: int) -> list[str]:
     """Names of the features that hold for a block."""
     text, n = block.text, len(block.text)
     words = text.count(" ") + 1
+    frame = block.frame or opened(None, "none", ())
+    out = [f"tag:{t}" for t in frame.telling] + [f"name:{w}" for w in frame.names] + [f"in:{frame.inner}"]
     # Inside an article a heading area belongs to the article; elsewhere it is the page's.
-    tags = [t for t in block.tags if t in _TELLING]
-    inner = tags[-1] if tags else "none"
-    out = [f"tag:{t}" for t in set(tags)] + [f"name:{w}" for w in set(block.names)] + [f"in:{inner}"]
-    if "article" in tags or "main" in tags:
-        out += [f"article>{t}" for t in set(tags[tags.index("article" if "article" in tags else "main") + 1:])]
-    out.append(f"leaf:{block.tags[-1] if block.tags else 'none'}")
+    within = next((w for w in frame.within if w is not None), _NOTHING)
+    out += [f"article>{t}" for t in within]
+    out.append(f"leaf:{frame.tag}")
     out.append(f"words:{min(words.bit_length(), 6)}")
     out.append(f"links:{min(3, 4 * block.linked // max(n, 1))}")
     if text[-1] in ".!?…":
@@ -183,6 +261,7 @@ class Chain:
 
     def __post_init__(self):
         self.rows = self.state.tolist()
+        self.names = frozenset(f.removeprefix("name:") for f in self.index if f.startswith("name:"))
 
     def scores(self, page: list[list[str]]) -> list[tuple[float, float]]:
         out = []
@@ -373,8 +452,8 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[tuple[str, list[int]]]:
     return pages
 
 
-def page_features(page: str | None) -> tuple[list[Block], list[list[str]]]:
-    parts = blocks(page)
+def page_features(page: str | None, known: frozenset[str] | None = None) -> tuple[list[Block], list[list[str]]]:
+    parts = blocks(page, known)
     return parts, [features(b, i, len(parts)) for i, b in enumerate(parts)]
 
 
@@ -391,7 +470,7 @@ def default_chain() -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    parts, rows = page_features(page)
+    parts, rows = page_features(page, chain.names)
     return "\n".join(b.text for b, label in zip(parts, chain.decode(rows), strict=True) if label)
 
 

@@ -238,7 +238,8 @@ def test_licenses_near_phrases_and_pieces(spark, monkeypatch):
 def test_licenses_of_edited_sentences(spark):
     """Sentences with as many words lost or replaced as are allowed: the same labels as if every diagonal were verified."""
     r, rows = random.Random(7), []
-    sentences = [words for words, _, base in licenses.PHRASES if not base]
+    short = [p for p, (words, *_) in enumerate(licenses.PHRASES) if len(words) < 40]
+    sentences = [licenses.PHRASES[p][0] for p in short if not licenses.PHRASES[p][2]]
     for sentence in sentences * 25:
         words = [w.decode() for w in sentence]
         spare = next(n for n in range(len(words), -1, -1) if (len(words) - n) / len(words) >= licenses.MIN_SHARE)
@@ -250,7 +251,7 @@ def test_licenses_of_edited_sentences(spark):
     assert len(lost) / len(long) >= licenses.MIN_SHARE
     rows.append((len(rows), "x y " + " ".join(lost) + " z"))
     got = {x.doc_id: x.labels for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    everywhere = lambda text: [{"phrase": p, "diagonals": list(range(-30, len(text.split())))} for p in range(len(licenses.PHRASES))]
+    everywhere = lambda text: [{"phrase": p, "diagonals": list(range(-30, len(text.split())))} for p in short]
     assert got == {i: licenses.verified(t, everywhere(t))["labels"] for i, t in rows}
     assert all(got.values())
 
