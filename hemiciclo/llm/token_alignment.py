@@ -151,6 +151,8 @@ class Aligner:
     def __init__(self, file_a: str, file_b: str):
         self.a, self.b = SideA(file_a), SideB(file_b)
         self.sizes = [np.array([len(t) for t in side.raw]) for side in (self.a, self.b)]
+        if any(not size.all() for size in self.sizes):
+            raise ValueError("a token without bytes")
         self.n_b = len(self.b.raw)
         numbers = np.array([b"%d" % i for i in range(max(len(self.a.raw), self.n_b))], object)
         self.inner, self.side, self.group = (np.array([x + end for x in numbers], "S") for end in (b",", b"|", b";"))
@@ -171,13 +173,22 @@ class Aligner:
         ends = [np.cumsum(size[t]) for size, t in zip(self.sizes, tokens, strict=True)]
         last = [np.cumsum(n) for n in counts]
         doc_ends = np.array([e[k - 1] if k else 0 for e, k in [(ends[0], k) for k in last[0].tolist()]], np.int64)
-        cuts = np.unique(np.concatenate(ends))
-        at = [np.searchsorted(e, cuts) for e in ends]
+        # Which sides (1, 2 or both, 3) have a token's end at each byte.
+        marks = np.zeros(int(doc_ends[-1]) + 1 if len(doc_ends) else 1, np.uint8)
+        for side, e in enumerate(ends, 1):
+            marks[e] |= side
+        cuts = np.flatnonzero(marks)
+        here = [(marks[cuts] & side) // side for side in (1, 2)]
+        at = [np.cumsum(x, dtype=np.int64) - x for x in here]
         a, b = tokens[0][at[0]] if len(cuts) else cuts, tokens[1][at[1]] if len(cuts) else cuts
         links = np.searchsorted(cuts, doc_ends, "right")
-        both = cuts[(ends[0][at[0]] == cuts) & (ends[1][at[1]] == cuts)] if len(cuts) else cuts
+        common = marks[cuts] == 3
+        both = cuts[common]
         groups = np.searchsorted(both, doc_ends, "right")
-        digests = self.digests(tokens, ends, last, both)
+        before = np.cumsum(common) - common
+        of_group = [before[x > 0] for x in here]
+        until = [x[common] + 1 for x in at]
+        digests = self.digests(tokens, ends, last, both, of_group, until)
         rows = [
             {"run": number, "bucket": None, "doc_id": d, "n_a": x, "n_b": y, "n_groups": g, "n_links": n, "groups_sha256": s, "place": i}
             for i, (d, x, y, g, n, s) in enumerate(zip(
@@ -187,11 +198,9 @@ class Aligner:
         doc = np.repeat(np.arange(len(ids)), np.diff(links, prepend=0))
         return rows + self.buckets(a, b, doc, max(len(ids), 1), number)
 
-    def digests(self, tokens, ends, last, both) -> list[str]:
+    def digests(self, tokens, ends, last, both, group, until) -> list[str]:
         """Digests of each document's groups: first ids, second ids, in the order of the groups."""
-        group = [np.searchsorted(both, e) for e in ends]
-        a_until = np.searchsorted(ends[0], both, "right")
-        b_until = np.concatenate([[0], np.searchsorted(ends[1], both, "right")])
+        a_until, b_until = until[0], np.concatenate([[0], until[1]])
         n = len(tokens[0]) + len(tokens[1])
         written = np.empty(n, self.group.dtype)
         if n:
