@@ -52,10 +52,12 @@ from hemiciclo.sources.writers import input_bytes
 SPAN, GRAM = 50, 20
 WINDOWS = SPAN - GRAM + 1  # places of an anchor in a window
 COVER, PERIOD, RANKED = (0, 1, 3), 7, 24
-#: Bytes that are hashed together, anchors that a task combines, rows that are sorted together.
+#: Bytes of a text that are hashed in one go, anchors that a task combines, rows that are sorted together.
 PIECE, ANCHORS, BLOCK = 1 << 19, 250_000, 50_000
-#: Stored bytes of texts whose anchors make up a bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of short texts that are hashed together: arrays of 8 bytes for each stay below what ``lean`` maps anew each time.
+TOGETHER = 1 << 16
+#: Stored bytes of texts whose anchors make up a bucket; estimates above this are checked by adding the texts up.
+BUCKET_BYTES, DOUBTFUL_BYTES = 8 << 20, 100 << 30
 #: An anchor string with more contexts than this is split by the bytes before or after it.
 MANY = 4_096
 LAST_ID = 2**63 - 1
@@ -93,11 +95,11 @@ class Anchors(NamedTuple):
 
 
 def anchors(texts: list[bytes]) -> Anchors:
-    parts, group, size = [], [], 0
+    parts, group, size, most = [], [], 0, min(PIECE, TOGETHER)
     for i, text in enumerate(texts):
         for start in range(0, len(text) - SPAN + 1, PIECE):
             piece = text[start:start + PIECE + SPAN - 1]
-            if size + len(piece) > PIECE and group:
+            if size + len(piece) > most and group:
                 parts.append(_anchors(group))
                 group, size = [], 0
             group.append((i, start, piece))
@@ -238,10 +240,17 @@ def bucketed(docs: DataFrame, n_buckets: int) -> DataFrame:
     return small_batches(docs).mapInArrow(run, kind)
 
 
+def _buckets(docs: DataFrame) -> int:
+    """As many buckets as the bytes ask for. Rows made in memory and joins have no usable estimate: theirs is far too large."""
+    size = input_bytes(docs)
+    if size > DOUBTFUL_BYTES:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """By document its contexts that are covered, open, or open with very many others: id, kind, marks."""
-    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(usual, -(-input_bytes(docs) // BUCKET_BYTES))
+    n_buckets = _buckets(docs)
     kind = schema_of("id bigint, kind int, marks array<bigint>")
     arrow = to_arrow_schema(kind)
 
@@ -460,7 +469,7 @@ def masks(texts: list[bytes], whole: list[list[int] | None], parts: list[list[di
     found = anchors(own)
     keys = _of_texts(found.text, found.mark)
     base = np.cumsum([0, *(len(t) + 1 for t in own)])
-    change = np.zeros(int(base[-1]) + 1, np.int64)
+    change = np.zeros(int(base[-1]) + 1, np.int16)  # a byte is in 2 * SPAN covered strings at most
 
     def cover(rows, first, last):
         np.add.at(change, base[found.text[rows]] + first, 1)
@@ -481,7 +490,7 @@ def masks(texts: list[bytes], whole: list[list[int] | None], parts: list[list[di
         for place in range(WINDOWS):
             some = rows[(bits >> place) & 1 == 1]
             cover(some, found.at[some] - place, found.at[some] - place)
-    gone = np.cumsum(change) > 0
+    gone = np.cumsum(change, dtype=np.int16) > 0
     for k, i in enumerate(busy):
         out[i] = gone[base[k]:base[k] + len(own[k])]
     return out
