@@ -23,9 +23,9 @@ segmentations gives those it has; repeated keys with equal texts get equal sampl
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import ahocorasick
 import numpy as np
@@ -41,7 +41,7 @@ from hemiciclo.llm.common import ROWS_PER_BATCH, free_name, schema_of, small_bat
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SHARPNESS, SEED = 2, 1.0, 0
 #: Characters that are searched together, and nodes whose lattices a worker remembers.
-CHARS_AT_ONCE, MAX_NODES = 1_000_000, 2_500_000
+CHARS_AT_ONCE, MAX_NODES = 1_000_000, 3_500_000
 PLACES, CLASSES = 128, 128
 #: The largest value that a Gumbel variate made of 53 random bits can take.
 HIGHEST = 36.75
@@ -63,6 +63,12 @@ def bits(base, *places) -> np.ndarray:
     return x
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+
+
 def gumbel(random_bits: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(((random_bits >> np.uint64(11)).astype(float) + 0.5) / 2.0**53))
 
@@ -133,28 +139,58 @@ class Sampler:
                 self.trie[heads[head[:-1]], self.classes[ord(head[-1])]] = state
         for i, text in plain:
             self.accepts[heads[text]] = i
-        self.units: dict[str, int] = {}
-        self.forget(keep=0)
-
-    def forget(self, keep: int = 2) -> None:
-        """Drop lattices but of words used ``keep`` times or more since the last time."""
-        used = self.used[list(self.units.values())] >= keep if self.units and keep else ()
-        kept = [u for u, often in zip(self.units, used, strict=False) if often]
-        self.units = {}
+        # Words by the order in which they were met; of each: its first node, its nodes, batches that used it.
+        self.units: defaultdict[str, int] = defaultdict(count().__next__)
+        self.first, self.nodes, self.used = (np.empty(1 << 12, np.int32) for _ in range(3))
         self.n_nodes = self.n_edges = 0
         self.chance, self.costs = np.empty(1 << 16, np.float32), np.empty(1 << 16, np.float32)
         self.target, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32 if len(self.sizes) > 65_536 else np.uint16)
-        self.last, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)  # of each node: last edge; uses
-        if len(kept) * 8 < self.max_nodes // 2:
-            self.learn(kept)
-
-    def learn(self, units: list[str], at_once: int = 20_000) -> None:
-        """Add the lattices of new words."""
-        odd = [u for u in units if not self.common.issuperset(u)]
-        plain = set(units).difference(odd) if odd else units
-        for some, matches in ((odd, self._by_automaton), (list(plain), self._by_trie)):
+        self.last = np.empty(1 << 16, np.int32)  # of each node: last edge
+
+    def forget(self, keep: int = 2) -> None:
+        """Drop lattices but of words used ``keep`` times or more since the last time."""
+        kept = np.flatnonzero(self.used[:len(self.units)] >= keep)
+        if len(kept) * 8 >= self.max_nodes // 2:
+            kept = kept[:0]
+        chosen = np.zeros(len(self.units), bool)
+        chosen[kept] = True
+        words = [u for u, stays in zip(self.units, chosen.tolist(), strict=True) if stays]
+        self.units = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+        # Nodes and edges of a word lie side by side, in the order of the nodes.
+        by_node = np.argsort(self.first[kept])
+        first, sizes = self.first[kept][by_node].astype(np.int64), self.nodes[kept][by_node]
+        ends = np.cumsum(sizes)
+        begin = np.where(first > 0, self.last[first - 1] + 1, 0)
+        n_edges = self.last[first + sizes - 1] + 1 - begin
+        moved = (ends - sizes - first).astype(np.int32)
+        at = ranges(begin, n_edges)
+        for name in ("chance", "costs", "target", "piece"):
+            setattr(self, name, getattr(self, name)[at])
+        self.target += np.where(self.target >= 0, np.repeat(moved, n_edges), 0).astype(np.int32)
+        self.last = self.last[ranges(first, sizes)] + np.repeat((np.cumsum(n_edges) - n_edges - begin).astype(np.int32), sizes)
+        where = np.empty(len(kept), np.int32)
+        where[by_node] = ends - sizes
+        self.first, self.nodes, self.used = where, self.nodes[kept], np.zeros(len(kept), np.int32)
+        self.n_nodes, self.n_edges = len(self.last), len(at)
+
+    def numbers_of(self, units: Iterator[str], n: int) -> np.ndarray:
+        """Numbers of ``n`` words; the lattices of new ones are added."""
+        known = len(self.units)
+        numbers = np.fromiter(map(self.units.__getitem__, units), np.int64, n)
+        if len(self.units) > known:
+            self.learn(list(islice(reversed(self.units), len(self.units) - known))[::-1], known)
+        return numbers
+
+    def learn(self, units: list[str], known: int, at_once: int = 20_000) -> None:
+        """Add the lattices of new words, whose numbers begin with ``known``."""
+        self._grow(("first", "nodes", "used"), known, len(units))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = np.logical_or.reduceat(self.classes[codes] == 0, np.cumsum(sizes) - sizes)
+        for some, matches in ((np.flatnonzero(odd), self._by_automaton), (np.flatnonzero(~odd), self._by_trie)):
             for start in range(0, len(some), at_once):
-                self._learn(some[start:start + at_once], matches)
+                rows = some[start:start + at_once]
+                self._learn([units[i] for i in rows.tolist()], rows + known, matches)
 
     def _by_automaton(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin, and which ones; sorted by place and length."""
@@ -188,11 +224,11 @@ class Sampler:
             places[to], pieces[to] = place, piece
         return places, pieces
 
-    def _learn(self, units: list[str], find) -> None:
+    def _learn(self, units: list[str], numbers: np.ndarray, find) -> None:
         lengths = np.fromiter(map(len, units), np.int64, len(units)) + 1
         ends = np.cumsum(lengths)
         n = int(ends[-1])
-        self.units.update(zip(units, (self.n_nodes + ends - lengths).tolist(), strict=True))
+        self.first[numbers], self.nodes[numbers], self.used[numbers] = self.n_nodes + ends - lengths, lengths, 0
         joined = "\0".join(units) + "\0"
         a, piece = find(joined)
         b = a + self.sizes[piece]
@@ -212,22 +248,21 @@ class Sampler:
         after = np.cumsum(counts)
         chance = np.exp(cost)
         chance[(after - counts)[counts > 0]] = 2.0  # where a draw ends at the latest
-        self._grow(len(a), n)
+        self._grow(("chance", "costs", "target", "piece"), self.n_edges, len(a))
+        self._grow(("last",), self.n_nodes, n)
         e, v = self.n_edges, self.n_nodes
         self.chance[e:e + len(a)] = chance
         self.costs[e:e + len(a)] = cost
         self.target[e:e + len(a)] = np.where(b == closing[a], -1, v + b)
         self.piece[e:e + len(a)] = piece
         self.last[v:v + n] = e + after - 1
-        self.used[v:v + n] = 0
         self.n_edges += len(a)
         self.n_nodes += n
 
-    def _grow(self, edges: int, nodes: int) -> None:
-        for names, size, more in ((("chance", "costs", "target", "piece"), self.n_edges, edges), (("last", "used"), self.n_nodes, nodes)):
-            for name in names:
-                if size + more > len(old := getattr(self, name)):
-                    setattr(self, name, np.concatenate([old, np.empty(size + 2 * more, old.dtype)]))
+    def _grow(self, names: tuple[str, ...], size: int, more: int) -> None:
+        for name in names:
+            if size + more > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate([old, np.empty(size + 2 * more, old.dtype)]))
 
     def edges_of(self, edge: int) -> range:
         """All edges of the node that an edge leaves."""
@@ -292,10 +327,10 @@ class Sampler:
         cut = self.cut(texts)
         if self.n_nodes > self.max_nodes:
             self.forget()
-        self.learn(list(set(chain.from_iterable(cut)) - self.units.keys()))
         sizes = np.array([len(u) for u in cut])
-        start = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        self.used[start] += 1  # batches that use it
+        numbers = self.numbers_of(chain.from_iterable(cut), int(sizes.sum()))
+        self.used[numbers] += 1
+        start = self.first[numbers].astype(np.int64)
         doc = np.repeat(np.arange(len(cut)), sizes)
         at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         base = np.array(seeds, np.uint64)
@@ -375,15 +410,16 @@ class Sampler:
             # Variates at the masses, truncated at the value that was taken.
             value = -np.logaddexp(-np.array([x[4] for x in taken])[:, None], -free)
             best = np.argsort(-value, axis=1, kind="stable")[:, :k]
-            more, left = [], []
+            more, left, highest, passed = [], [], value.max(axis=1).tolist(), costs.sum(axis=1).tolist()
             for i, (d, path, t, taboo, bound) in enumerate(taken):
                 heap = regions[d]
-                for j in best[i]:
-                    if mass[i, j] > -np.inf:
-                        heap.append((float(value[i, j]), path, t + int(j), (*taboo, int(path[t])) if j == 0 else (int(path[t + j]),)))
-                heap.sort(key=lambda x: -x[0])
-                del heap[k:]
-                rest_of = before[i] + float(costs[i].sum())
+                if len(heap) < k or highest[i] > heap[-1][0]:
+                    for j in best[i]:
+                        if mass[i, j] > -np.inf:
+                            heap.append((float(value[i, j]), path, t + int(j), (*taboo, int(path[t])) if j == 0 else (int(path[t + j]),)))
+                    heap.sort(key=lambda x: -x[0])
+                    del heap[k:]
+                rest_of = before[i] + passed[i]
                 if t + PLACES < len(path) and (len(heap) < k or rest_of + HIGHEST >= heap[-1][0]):
                     more.append((d, path, t + PLACES, (), bound))
                     left.append(rest_of)
