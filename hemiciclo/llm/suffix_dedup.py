@@ -68,10 +68,9 @@ COVERED, OPEN, SPLIT = 0, 1, 2
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random odd number for each byte; powers of the base and of its inverse."""
     numbers = [int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "big") | 1 for i in range(256)]
-    size = 2 * PIECE
     powers, inverse = np.full(size, _K, np.uint64), np.full(size, pow(_K, -1, _M), np.uint64)
     powers[0] = inverse[0] = 1
     return np.array(numbers, np.uint64), np.cumprod(powers), np.cumprod(inverse)
@@ -113,7 +112,7 @@ def anchors(texts: list[bytes]) -> Anchors:
 
 
 def _anchors(group: list[tuple[int, int, bytes]]) -> Anchors:
-    numbers, powers, inverse = _tables()
+    numbers, powers, inverse = _tables(2 * PIECE)
     raw = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
     sizes = np.array([len(p) for _, _, p in group])
     starts = np.cumsum(sizes) - sizes
