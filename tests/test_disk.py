@@ -1,15 +1,16 @@
-"""Raw documents lie packed, shuffle files go with the job that wrote them."""
+"""Raw documents lie packed, shuffle files go with the job that wrote them, large tables are clustered in slices."""
 
 from __future__ import annotations
 
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from hemiciclo import fixtures
 from hemiciclo.fixtures import LEGISLATURES
 from hemiciclo.plans import silver
-from hemiciclo.sources.readers import is_packed, read_documents, read_topics
+from hemiciclo.sources.readers import is_packed, read_dataset, read_documents, read_topics
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -60,3 +61,18 @@ def test_no_shuffle_files_stay(spark, bronze, tmp_path):
     for name in ("iniciativas", "votacoes"):
         silver.run_job(spark, name, str(bronze), str(tmp_path / "tables"), LEGISLATURES, multiline=False)
     assert shuffle_files(spark) <= before
+
+
+def test_slices_make_the_same_table(spark, bronze, tmp_path, monkeypatch):
+    written, whole, sliced = [], str(tmp_path / "whole"), str(tmp_path / "sliced")
+    write = silver.write_dataset
+    monkeypatch.setattr(silver, "write_dataset", lambda df, path, legs, *more: written.append(tuple(legs)) or write(df, path, legs, *more))
+    asked = [*LEGISLATURES, "L20"]  # the last has no rows, but an empty slice
+    for root, bound in ((whole, silver.AT_ONCE_BYTES), (sliced, 0)):
+        monkeypatch.setattr(silver, "AT_ONCE_BYTES", bound)
+        counts = [silver.run_job(spark, name, str(bronze), root, asked if name == "votacoes" else LEGISLATURES, multiline=False) for name in ("iniciativas", "votacoes", "cap")]
+        assert counts[1].pop("L20") == 0 and sum(counts[1].values()) == read_dataset(spark, root, "votacoes").count()
+        assert (tmp_path / root.rsplit("/")[-1] / "votacoes" / "legislatura=L20").is_dir()
+    assert written == [LEGISLATURES, tuple(asked), LEGISLATURES, LEGISLATURES, *((leg,) for leg in asked), LEGISLATURES]
+    one, other = (read_dataset(spark, root, "votacoes").select(F.to_json(F.struct("*")).alias("row")) for root in (whole, sliced))
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
